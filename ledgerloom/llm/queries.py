@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import op9_decontaminate
+from ledgerloom.llm.pieces import op3_sentencepiece
 from ledgerloom.llm.quality_rules import op10_quality_rules
 from ledgerloom.llm.secret_scan import op2_secret_scan
 from ledgerloom.llm.simhash import op8_simhash
@@ -22,7 +23,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_secret_scan, op8_simhash, op9_decontaminate, op10_quality_rules]
+    named = [op2_secret_scan, op3_sentencepiece, op8_simhash, op9_decontaminate, op10_quality_rules]
     return {q.__name__: _shipped(q) for q in named}
 
 
