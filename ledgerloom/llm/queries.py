@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.decontaminate import op9_decontaminate
 from ledgerloom.llm.lm_score import op7_lm_score
 from ledgerloom.llm.pieces import op3_sentencepiece
+from ledgerloom.llm.quality_classifier import op1_quality_classifier
 from ledgerloom.llm.quality_rules import op10_quality_rules
 from ledgerloom.llm.secret_scan import op2_secret_scan
 from ledgerloom.llm.simhash import op8_simhash
+from ledgerloom.llm.substring_dedup import op4_suffix_dedup
 from ledgerloom.llm.token_orc import op5_token_orc
 from ledgerloom.session import ship_package
 
@@ -25,7 +27,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_secret_scan, op3_sentencepiece, op5_token_orc, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules]
+    named = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_suffix_dedup, op5_token_orc, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules]
     return {q.__name__: _shipped(q) for q in named}
 
 
