@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.decontaminate import op9_decontaminate
+from ledgerloom.llm import license_scan
+from ledgerloom.llm.license_scan import op6_license_scan
 from ledgerloom.llm.lm_score import op7_lm_score
 from ledgerloom.llm.pieces import op3_sentencepiece
 from ledgerloom.llm.quality_classifier import op1_quality_classifier
@@ -27,9 +29,9 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_suffix_dedup, op5_token_orc, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules]
+    named = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_suffix_dedup, op5_token_orc, op6_license_scan, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules]
     return {q.__name__: _shipped(q) for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan.oracle_sql()}
