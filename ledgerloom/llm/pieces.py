@@ -37,7 +37,10 @@ BLANK = "▁"
 WORDS, PAIRS = 400_000, 1_000_000
 #: Places beyond the longest piece after which the paths are searched for a common boundary.
 EVERY = 32
-_CHUNK = re.compile(r" *[^ \n]+| +|\n")
+_WORDS = re.compile(r" *[^ \n]+| +|\n")
+#: The same, cut between letters or digits (but the superscript two) and other characters as well.
+_FINE = re.compile(r" *[^\W_²]+| *(?:[^\w \n]|[_²])+| +|\n")
+_MIXED = re.compile(r"[^\W_²](?:\W|[_²])|(?:\W|[_²])[^\W_²]")
 
 
 def default_model() -> str:
@@ -65,6 +68,14 @@ class Vocabulary:
         self.raw = [b"" if model.is_control(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(self.text)]
         if not unigram:
             self.raw[self.unk] = " ⁇ ".encode()
+        #: Lengths of the pieces that end in two given characters, the longest first.
+        lengths: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], {1}).add(len(p))
+        self.lengths = {end: tuple(sorted(some, reverse=True)) for end, some in lengths.items()}
+        #: No piece spans a cut of this pattern: every path has a boundary there.
+        self.chunks = _WORDS if any(_MIXED.search(p.lstrip(BLANK)) for p in self.id) else _FINE
         self.blank_runs = sorted((len(p) for p in self.id if p.strip(BLANK) == ""), reverse=True)
         self._pairs: dict[int, bool] = {}
         self.rank = [-x for x in self.score]
@@ -134,16 +145,16 @@ def viterbi(vocabulary: Vocabulary, text: str, widest: list[int] | None = None)
     """The ids of a text whose characters all occur in pieces. Only the steps into the places since the last
     committed boundary are held; widest[0] gets the greatest number of them."""
     longest, get, pairs, allowed = vocabulary.longest, vocabulary.id.get, vocabulary._pairs, vocabulary.allowed
-    known, unigram, scores = pairs.get, vocabulary.unigram, vocabulary.score
+    known, unigram, scores, lengths = pairs.get, vocabulary.unigram, vocabulary.score, vocabulary.lengths.get
+    one = (1,)
     # Entry i is the best step into place base + i: where it came from, its piece and, for a unigram model, its sum.
     out, base, came, ids, total = [], 0, [0], [-1], [0.0]
     for end in range(1, len(text) + 1):
         best, best_from, best_id = -math.inf, -1, -1
-        for start in range(max(base, end - longest), end):
-            piece = get(text[start:end])
-            if piece is None:
+        for size in lengths(text[end - 2 : end], one) if end > 1 else one:
+            at = end - size - base
+            if at < 0 or (piece := get(text[end - size : end])) is None:
                 continue
-            at = start - base
             if unigram:
                 if came[at] >= 0 and (score := total[at] + scores[piece]) > best:
                     best, best_from, best_id = score, at, piece
@@ -222,7 +233,7 @@ class Codec:
         if not text:
             return b""
         words, parts = self.words, []
-        for chunk in _CHUNK.findall(" " + text.replace(BLANK, " ")):
+        for chunk in self.v.chunks.findall(" " + text.replace(BLANK, " ")):
             ids = words.get(chunk)
             if ids is None:
                 if len(words) >= WORDS:
