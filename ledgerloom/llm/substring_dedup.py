@@ -63,7 +63,7 @@ def runs(texts: DataFrame, width: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, f"anchor long, whole long, h long, doc_id {kind}, first int, windows int, skip int")
 
 
-def _extract(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _extract(texts: DataFrame, wanted: DataFrame, width: int, lead: int) -> DataFrame:
     """The bytes under the wanted runs: one row for each run, or for each of its sub-buckets."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     joined = texts.join(wanted.withColumnRenamed("doc_id", "d"), (F.col("h") == F.col("hw")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("h", "doc_id", "text", "wanted")
@@ -90,7 +90,7 @@ def _extract(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     for s in np.unique(sub).tolist():
                         starts = np.flatnonzero(sub == s).astype("<u4")
                         a, b = int(starts[0]), int(starts[-1]) + width
-                        rows.append((r, body[w["skip"] : w["skip"] + LEAD], w["anchor"], s, body[a:b], (starts - starts[0]).astype("<u4").tobytes(), w["times"], first + a))
+                        rows.append((r, body[w["skip"] : w["skip"] + lead], w["anchor"], s, body[a:b], (starts - starts[0]).astype("<u4").tobytes(), w["times"], first + a))
                     if len(rows) >= 20_000:
                         yield flush()
             if rows:
@@ -186,7 +186,7 @@ def repeated_intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) ->
     wanted = open_.groupBy("h", "doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows", "skip", "times", "runs")).alias("wanted")).withColumnRenamed("h", "hw")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows // (4 * SORTED))
     keys = ["lead", "anchor", "sub"]
-    suffixes = _extract(texts, wanted, width).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    suffixes = _extract(texts, wanted, width, min(LEAD, gram)).repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
     kind = texts.schema["doc_id"].dataType.simpleString()
     sorted_ = suffixes.mapInArrow(lambda it: _compare(it, width), f"h long, doc_id {kind}, start int, end int")
     return texts, alike.unionByName(materialize(sorted_, "sorted-suffixes"))
