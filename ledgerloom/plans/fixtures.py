@@ -67,9 +67,9 @@ USAGE_SQL = """usage AS (
 
 
 def rates(spark: SparkSession) -> DataFrame:
-    """Catalog rates in nano-dollars a token, for brands 11 to 45; every fifth brand has none."""
+    """Catalog rates in nano-dollars a token, for brands 1 to 25; every fifth brand has none."""
     n = F.col("n")
-    brands = spark.range(11, 56).select(F.col("id").alias("n")).filter("n % 5 <> 0")
+    brands = spark.range(1, 26).select(F.col("id").alias("n")).filter("n % 5 <> 0")
     return brands.select(
         F.concat(F.lit("Brand#"), n.cast("string")).alias("model"), (1000 * n).alias("input"), (5000 * n).alias("output"),
         F.when(n % 4 == 0, 0).otherwise(100 * n).alias("cache_read"), (1250 * n).alias("cache_write_5m"), (2000 * n).alias("cache_write_1h"),
@@ -78,15 +78,15 @@ def rates(spark: SparkSession) -> DataFrame:
 
 
 def overrides(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT * FROM VALUES ('Brand#11', 7000L, 9000L, 10L, CAST(NULL AS BIGINT)), ('Brand#12', 100L, 200L, CAST(NULL AS BIGINT), 300L) AS o(model, input, output, cache_read, cache_write)")
+    return spark.sql("SELECT * FROM VALUES ('Brand#1', 7000L, 9000L, 10L, CAST(NULL AS BIGINT)), ('Brand#2', 100L, 200L, CAST(NULL AS BIGINT), 300L) AS o(model, input, output, cache_read, cache_write)")
 
 
 RATES_SQL = """rates AS (
   SELECT model, input, output, cache_read, cache_write_5m, cache_write_1h, origin FROM (
     SELECT 'Brand#' || n::VARCHAR AS model, 1000 * n AS input, 5000 * n AS output, CASE WHEN n % 4 = 0 THEN 0 ELSE 100 * n END AS cache_read,
       1250 * n AS cache_write_5m, 2000 * n AS cache_write_1h, CASE n % 3 WHEN 0 THEN 'publisher' WHEN 1 THEN 'litellm' ELSE 'openrouter' END AS origin
-    FROM (SELECT unnest(range(11, 56)) AS n) WHERE n % 5 <> 0) WHERE model NOT IN ('Brand#11', 'Brand#12')
-  UNION ALL SELECT 'Brand#11', 7000, 9000, 10, 0, 0, 'override' UNION ALL SELECT 'Brand#12', 100, 200, 0, 300, 300, 'override')"""
+    FROM (SELECT unnest(range(1, 26)) AS n) WHERE n % 5 <> 0) WHERE model NOT IN ('Brand#1', 'Brand#2')
+  UNION ALL SELECT 'Brand#1', 7000, 9000, 10, 0, 0, 'override' UNION ALL SELECT 'Brand#2', 100, 200, 0, 300, 300, 'override')"""
 
 
 def hourly_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
