@@ -7,8 +7,8 @@ stripes and row groups. Each row carries its file's number and the place of its
 needs the files' totals only (as many rows as files) to place any document in the whole stream, and stripes can
 be read in parallel.
 
-Words between white space are encoded once and remembered: the tokenizer's normaliser and splitter never look
-across white space. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
+Words between white space are encoded once, in lower case, and remembered: the tokenizer's normaliser and splitter never
+look across white space, and the mark behind a word of letters is a word of its own to it. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
 one; equal doc_ids are ordered by their text, null doc_ids come first. Extra columns are ignored. An empty table
 gives files without rows and an empty result.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,8 @@ WORDS = 400_000
 ROWS = 256
 #: Characters at which Python splits words and the tokenizers' patterns don't.
 _NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Marks that may stand behind a word of letters.
+_MARKS = ".,;:!?"
 FILE_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 #: file: its number; place: of the row in it; first: ids before the row in it.
 FORMAT = "doc_id {id}, file int, place long, first long, n_tokens long, ids array<int>"
@@ -47,6 +50,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lower(text: str) -> str:
+    """A-Z in lower case, as the tokenizer's normaliser makes them: fewer different words to remember."""
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,16 +64,21 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if any(c in t for c in _NO_SPACE) else t.split() for t in texts]
+        split = [None if any(c in t for c in _NO_SPACE) else _lower(t).split() for t in texts]
         if len(self.words) > WORDS:
             self.words.clear()
-        new = list({w for words in split if words for w in words} - self.words.keys())
-        self.words.update(zip(new, self._ids(new), strict=True))
+        new = set().union(*filter(None, split)).difference(self.words)
+        # Letters and the mark behind them are separate words to the tokenizer.
+        marked = {w: w[:-1] for w in new if w[-1] in _MARKS and w[:-1].isascii() and w[:-1].isalpha()}
+        plain = list(new.difference(marked).union(marked.values(), _MARKS).difference(self.words))
+        self.words.update(zip(plain, self._ids(plain), strict=True))
         known = self.words.__getitem__
+        for w, stem in marked.items():
+            self.words[w] = known(stem) + known(w[-1])
         return [self._ids([t])[0] if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
 
