@@ -124,6 +124,16 @@ def test_lm_pairs_raise_the_score_of_seen_order(spark):
     assert got[1] > got[2]
 
 
+def test_lm_pairs_seen_once_count(spark):
+    from pyspark.sql import functions as F
+
+    train = frame(spark, [(1, "alpha beta gamma delta")])
+    docs = frame(spark, [(1, "beta gamma delta"), (2, "gamma beta delta")]).withColumn("held_out", F.lit(True))
+    for sent in (1 << 28, 0):
+        got = {r["doc_id"]: (r["base_score"], r["score"]) for r in rows_of(lm_score.score(docs, train, sent))}
+        assert got[1][0] == pytest.approx(got[2][0]) and got[1][1] > got[2][1] + 0.3
+
+
 def test_lm_without_training_rows(spark):
     from pyspark.sql import functions as F
 
