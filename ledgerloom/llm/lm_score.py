@@ -7,8 +7,9 @@ quantised count: level l says "at least MIN_PAIR * 2 ** (l - 1) times", and a qu
 are there. A pair's chance is BLEND * quantised count / count of the first word + (1 - BLEND) * the add-one chance of
 the word alone (only the latter where the first word is unknown), so the chances of a context never add up to more than 1.
 
-The tables are sent to all tasks if they are at most MAX_SENT bytes; a larger model is joined to the
-documents' pairs by key instead, with the same chances (but for the filter's rare false levels).
+The tables are sent to all tasks if they are at most MAX_SENT bytes. Of a larger model the words' counts are joined
+by key, and each distinct pair is brought to its bucket of the same filter and probed there: where the model lies
+depends on its size, the score doesn't (but for the order in which floating-point numbers are added).
 
 Edge cases: a null or empty text is one end token. Repeated rows are scored one by one and alike; all of them
 train. A null doc_id is in training. With no training documents every count is 0, N is 0 and every score is 0.
@@ -174,6 +175,20 @@ def build_model(docs: DataFrame, bucket_bits: int) -> DataFrame:
     return materialize(grams.groupBy("size", "bucket").applyInPandas(_build, "size int, bucket int, data binary, extra binary, n long, total long"), "lm-model")
 
 
+def filter_levels(bits: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many levels in a row the filters have of each pair; its filter is the `size` bits from bit `start` on."""
+    out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    while len(left):
+        there = np.ones(len(left), bool)
+        for spot in _spots(keys[left], level, size[left]):
+            spot = start[left] + spot
+            there &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        left = left[there]
+        out[left] = level
+        level += 1
+    return out
+
+
 class Model:
     """The tables as arrays; made on the driver, sent to the tasks."""
 
@@ -198,19 +213,8 @@ class Model:
         return np.where(self.keys[at] == keys, self.counts[at], 0)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """How many levels in a row the filter has of each pair."""
-        out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(left):
-            bucket = (keys[left] >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
-            size, start = self.sizes[bucket], self.starts[bucket]
-            there = np.ones(len(left), bool)
-            for spot in _spots(keys[left], level, size):
-                spot = start + spot
-                there &= (self.bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            left = left[there]
-            out[left] = level
-            level += 1
-        return out
+        bucket = (keys >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
+        return filter_levels(self.bits, keys, self.sizes[bucket], self.starts[bucket])
 
     def chances(self, counts: np.ndarray, before: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(base, blended) log10 chances of words counted `counts` after words counted `before`."""
@@ -251,8 +255,47 @@ def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, _schema(docs))
 
 
-def _score_joined(docs: DataFrame, train: DataFrame, bucket_bits: int) -> DataFrame:
-    """The same by joins on keys: for models of any size. Texts are known by a digest, so repeated rows share work."""
+def _word_counts(model: DataFrame) -> DataFrame:
+    """(gram, c): the exact counts of the model's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], names=["gram", "c"])
+
+    return model.filter("size = 1").select("data", "extra").mapInArrow(run, "gram long, c long")
+
+
+def _probed(pairs: DataFrame, model: DataFrame, bucket_bits: int) -> DataFrame:
+    """pairs(pair), distinct -> (pair, level) of those that the filter has. A bucket's filter goes before its pairs, which stream past it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, bits = -1, np.empty(0, np.uint8)
+
+        def probe(keys: np.ndarray) -> pa.RecordBatch:
+            size = np.full(len(keys), 8 * len(bits), np.uint64)
+            level = filter_levels(bits, keys.view(np.uint64), size, np.zeros(len(keys), np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(keys[level > 0]), pa.array(level[level > 0])], names=["pair", "level"])
+
+        for batch in batches:
+            of = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist() if len(of) else []
+            for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
+                if of[a] != bucket:
+                    bucket, bits = of[a], np.empty(0, np.uint8)
+                if batch.column(2)[a].is_valid:
+                    bits, a = np.frombuffer(batch.column(2)[a].as_py(), np.uint8), a + 1
+                if a < z and len(bits):  # no pair was seen in a bucket without a filter
+                    yield probe(batch.column(1).slice(a, z - a).to_numpy(zero_copy_only=False))
+
+    keyed = pairs.select(F.shiftrightunsigned("pair", 64 - bucket_bits).cast("int").alias("bucket"), "pair", F.lit(None).cast("binary").alias("data"))
+    filters = model.filter("size = 2").select("bucket", F.lit(None).cast("long").alias("pair"), "data")
+    both = filters.unionByName(keyed).repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("pair"))
+    return materialize(both.mapInArrow(run, "pair long, level long"), "lm-levels")
+
+
+def _score_routed(docs: DataFrame, model: DataFrame, bucket_bits: int) -> DataFrame:
+    """The same for models of any size. Texts are known by a digest, so repeated rows share work."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Keys()
@@ -263,19 +306,19 @@ def _score_joined(docs: DataFrame, train: DataFrame, bucket_bits: int) -> DataFr
                 both, times = np.unique(np.stack((np.concatenate(([end], words[:-1])), words)), axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([digest] * len(times)), *(pa.array(x.view(np.int64)) for x in (*np.ascontiguousarray(both), pair_keys(both[0], both[1]))), pa.array(times.astype(np.int64))], names=["digest", "first", "second", "pair", "times"])
 
-    def rows(groups: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged(groups)
-        return pd.DataFrame({"size": groups["size"].iloc[0], "gram": keys.view(np.int64), "c": counts})
-
-    grams = materialize(count_grams(train, bucket_bits).groupBy("size", "bucket").applyInPandas(rows, "size int, gram long, c long"), "lm-grams")
-    words = grams.filter("size = 1").select("gram", "c")
+    words = materialize(_word_counts(model), "lm-words")
     total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    levels = grams.filter(f"size = 2 and c >= {MIN_PAIR}").select(F.col("gram").alias("pair"), (MIN_PAIR * F.pow(F.lit(2.0), F.floor(F.log2(F.col("c") / MIN_PAIR)))).alias("least"))
     keyed = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    parts = keyed.select("digest", "text").dropDuplicates(["digest"]).mapInArrow(pairs, "digest string, first long, second long, pair long, times long")
+    parts = materialize(keyed.select("digest", "text").dropDuplicates(["digest"]).mapInArrow(pairs, "digest string, first long, second long, pair long, times long"), "lm-pairs")
+    levels = _probed(parts.select("pair").distinct(), model, bucket_bits)
     parts = parts.join(words.select(F.col("gram").alias("second"), "c"), "second", "left").join(words.select(F.col("gram").alias("first"), F.col("c").alias("b")), "first", "left").join(levels, "pair", "left")
+    # As level_of and lower_bound; the binary digits of a whole number say its log2 without rounding.
+    rarer = F.least(F.coalesce("c", F.lit(0)), F.coalesce("b", F.lit(0)))
+    most = F.when(rarer >= MIN_PAIR, F.length(F.bin(F.floor(rarer / MIN_PAIR)))).otherwise(0)
+    level = F.least(F.coalesce("level", F.lit(0)), most)
+    least = F.when(level > 0, MIN_PAIR * F.pow(F.lit(2.0), level - 1)).otherwise(0.0)
     alone = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
-    blended = F.when(F.col("b") > 0, BLEND * F.least(F.coalesce("least", F.lit(0.0)) / F.col("b"), F.lit(1.0)) + (1 - BLEND) * alone).otherwise(alone)
+    blended = F.when(F.col("b") > 0, BLEND * F.least(least / F.col("b"), F.lit(1.0)) + (1 - BLEND) * alone).otherwise(alone)
     sums = parts.groupBy("digest").agg(
         F.sum("times").alias("n_tokens"),
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
@@ -293,7 +336,7 @@ def score(docs: DataFrame, train: DataFrame, max_sent: int = MAX_SENT) -> DataFr
     docs = docs.select("doc_id", "held_out", text_or_empty().alias("text"))
     model = build_model(train, bits)
     if (model.agg(F.sum(F.octet_length("data") + F.octet_length("extra"))).first()[0] or 0) > max_sent:
-        return _score_joined(docs, train, bits)
+        return _score_routed(docs, model, bits)
     return _score_sent(docs, Model(model.toLocalIterator(), bits))
 
 

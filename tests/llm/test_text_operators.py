@@ -124,6 +124,17 @@ def test_lm_pairs_raise_the_score_of_seen_order(spark):
     assert got[1] > got[2]
 
 
+def test_lm_scores_do_not_depend_on_where_the_model_lies(spark, small):
+    from pyspark.sql import functions as F
+
+    docs = frame(spark, awkward() + documents(spark, small)).withColumn("held_out", F.lit(False))
+    train = docs.filter("doc_id % 3 <> 0")
+    sent, routed = (sorted(rows_of(lm_score.score(docs, train, size)), key=lambda r: str((r["doc_id"], r["n_tokens"], r["n_known"]))) for size in (1 << 28, 0))
+    assert len(sent) == len(routed)
+    for a, b in zip(sent, routed, strict=True):
+        assert b["score"] == pytest.approx(a["score"], rel=1e-9) and b["base_score"] == pytest.approx(a["base_score"], rel=1e-9)
+
+
 def test_lm_pairs_seen_once_count(spark):
     from pyspark.sql import functions as F
 
