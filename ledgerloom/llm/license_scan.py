@@ -1,6 +1,6 @@
 """Licence scans by canonical digests, in DataFrame and SQL expressions only.
 
-An entire text (a document, or a line of one) is put in canonical form - lower case, copyright lines gone,
+An entire text (a document, or a line of one) is put in canonical form - lower case, copyright notices gone,
 equivalent spellings made one, everything but letters and digits one blank - and its SHA-256 is joined to
 the digests of known licence texts and notices, which go through the same expression.
 
@@ -17,18 +17,21 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import documents, text_or_empty
 
 #: Canonical form, as (pattern, replacement) applied in this order to the lower-cased text.
+#: A line that begins with "copyright" is a notice if a sign, a year or a holder follows, not if the sentence goes on.
 CANONICAL = (
-    (r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*$", " "),
+    (r"(?m)^[ \t#*/;-]*(?:copyright[ \t:,]*(?:\(c\)|©|[0-9]|(?<=[ \t:,])(?!(?:notices?|holders?|owners?|licen[sc]es?|laws?)\b)\p{L})|\(c\)|©)[^\n]*$", " "),
     (r"(?m)^[ \t#*/;-]*all rights reserved\.?[ \t]*$", " "),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
     (r"non-commercial", "noncommercial"),
-    (r"copyright (?:owner|holder)s?", "copyright holder"),
+    (r"copyright[^\p{L}\p{N}]+(?:owner|holder)s?", "copyright holder"),
     (r"\bper cent\b", "percent"),
     (r"https?://(?:www\.)?", ""),
     (r"merchantibility", "merchantability"),
     (r"[^\p{L}\p{N}]+", " "),
 )
+#: The SQL's own steps: any line that begins with "copyright" goes, and holders are known on one line only.
+_SQL_CANONICAL = ((r"(?m)^[ \t#*/;-]*(?:copyright|\(c\)|©)[^\n]*$", " "), *CANONICAL[1:5], (r"copyright (?:owner|holder)s?", "copyright holder"), *CANONICAL[6:])
 #: Every known text has one of these, and no step of the canonical form makes one.
 MARKS = "licen|permi"
 
@@ -119,7 +122,7 @@ def oracle_sql() -> str:
 
     def clean(text: str) -> str:
         text = f"lower({text})"
-        for pattern, other in CANONICAL:
+        for pattern, other in _SQL_CANONICAL:
             text = f"regexp_replace({text}, {quote(pattern)}, {quote(other)}, 'g')"
         return f"sha256(trim({text}, ' '))"
 

@@ -117,6 +117,20 @@ def test_licence_texts_in_other_clothes(spark):
     assert rows_of(license_scan.scan(frame(spark, []))) == []
 
 
+def test_licence_texts_in_any_line_width(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for licence, text in license_scan.TEXTS:
+        for width in (9, *range(20, 101, 8), 72, 79):
+            for before, mark in (("", ""), ("Copyright (c) 2020 Someone\n", ""), ("# Copyright Some One\n# All rights reserved.\n", "# "), ("copyright: 2020, Someone\n", "")):
+                body = "\n\n".join(textwrap.fill(p, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+                want[len(rows)] = licence
+                rows.append((len(rows), before + body))
+    assert any(line.startswith("copyright notice") for _, t in rows for line in t.split("\n"))
+    assert {r["doc_id"]: r["license"] for r in rows_of(license_scan.scan(frame(spark, rows)))} == want
+
+
 def fingerprint_brute(text: str | None) -> int:
     w = words(lower(text or ""))
     shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
