@@ -7,15 +7,18 @@ stripes and row groups. Each row carries its file's number and the place of its
 needs the files' totals only (as many rows as files) to place any document in the whole stream, and stripes can
 be read in parallel.
 
-Words between white space are encoded once, in lower case, and remembered: the tokenizer's normaliser and splitter never
-look across white space, and the mark behind a word of letters is a word of its own to it. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
+Where the tokenizer lower-cases and never looks across white space (its own description is asked), words are encoded once
+and remembered: the marks behind a word of letters are a word of their own to it, and words of letters are encoded many at
+a time. Any other tokenizer gets whole texts. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
 one; equal doc_ids are ordered by their text, null doc_ids come first. Extra columns are ignored. An empty table
 gives files without rows and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,13 +35,21 @@ from ledgerloom.llm.common import documents, fresh_path, text_or_empty
 
 END = 2
 #: Words that a worker remembers before it starts anew.
-WORDS = 400_000
+WORDS = 800_000
 #: Documents that are encoded at once.
 ROWS = 256
 #: Characters at which Python splits words and the tokenizers' patterns don't.
 _NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Marks that may stand behind a word of letters.
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
+#: Up to this letter, lower case and the kinds of letters are the same to Python and to the tokenizers.
+_LAST_LETTER = "ɏ"
+#: Words of letters that are encoded as one text.
+JOINED = 2000
+#: The normaliser, the splitter and the mark of a word's end with which words can be encoded apart.
+_NORMALIZERS = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+_SPLITTERS = [("Split", {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}), ("ByteLevel", None)]
+_END_OF_WORD = "</w>"
 FILE_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 #: file: its number; place: of the row in it; first: ids before the row in it.
 FORMAT = "doc_id {id}, file int, place long, first long, n_tokens long, ids array<int>"
@@ -62,23 +73,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        said = json.loads(self.tokenizer.to_str())
+        #: Whether words between white space can be encoded apart and lower-cased; other tokenizers get whole texts.
+        self.by_word = (
+            [(n["type"], n.get("pattern")) for n in (said["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS
+            and [(n["type"], n.get("pattern")) for n in (said["pre_tokenizer"] or {}).get("pretokenizers", [])] == _SPLITTERS
+            and not any(t["content"].split() != [t["content"]] or t["normalized"] or t["lstrip"] or t["rstrip"] for t in said["added_tokens"])
+        )
+        #: Tokens that end a word of letters, where the model marks them.
+        self.last = None
+        if said["model"].get("end_of_word_suffix") == _END_OF_WORD:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(_END_OF_WORD)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stems(self, stems: list[str]) -> list[bytes]:
+        """The ids of words of letters: encoded as one text, cut behind the tokens that end a word."""
+        if self.last is None:
+            return self._ids(stems)
+        out: list[bytes] = []
+        for at in range(0, len(stems), JOINED):
+            part = stems[at : at + JOINED]
+            ids = np.frombuffer(self._ids([" ".join(part)])[0], "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer's ends of words do not fit its words")
+            out += [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words. Letters and the marks behind them are separate words to the tokenizer."""
+        known, parts, odd = self.words, {}, []
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            low = stem if stem.isascii() else stem.lower()
+            if low.isalpha() and (low.isascii() or max(low) <= _LAST_LETTER):
+                parts[w] = (low, w[len(stem) :])
+            else:
+                odd.append(w)
+        known.update(zip(odd, self._ids(odd), strict=True))
+        stems = list({low for low, _ in parts.values()}.difference(known))
+        known.update(zip(stems, self._stems(stems), strict=True))
+        marks = list({m for _, m in parts.values() if m}.difference(known))
+        known.update(zip(marks, self._ids(marks), strict=True))
+        for w, (low, mark) in parts.items():
+            known[w] = known[low] + known[mark] if mark else known[low]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return self._ids(texts)
         split = [None if any(c in t for c in _NO_SPACE) else _lower(t).split() for t in texts]
         if len(self.words) > WORDS:
             self.words.clear()
-        new = set().union(*filter(None, split)).difference(self.words)
-        # Letters and the mark behind them are separate words to the tokenizer.
-        marked = {w: w[:-1] for w in new if w[-1] in _MARKS and w[:-1].isascii() and w[:-1].isalpha()}
-        plain = list(new.difference(marked).union(marked.values(), _MARKS).difference(self.words))
-        self.words.update(zip(plain, self._ids(plain), strict=True))
+        self._learn(set().union(*filter(None, split)).difference(self.words))
         known = self.words.__getitem__
-        for w, stem in marked.items():
-            self.words[w] = known(stem) + known(w[-1])
         return [self._ids([t])[0] if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
 
 

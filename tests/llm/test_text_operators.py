@@ -231,3 +231,42 @@ def test_secret_digest_of_the_query(spark, small):
         spans = base_spans(t or "")
         assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
+def test_words_apart_are_the_tokenizers_whole_texts():
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(4)
+    letters = "abcÄÖßéİıſKİ̸̇ªµǅǆAB.,;'’#*_-0129½²   \n\t日本<>|😀'sɏɐσΣ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(2000)] + ["<|endoftext|> a<|endoftext|>. x", "x" * 5000, ""]
+    for name, apart in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        e = token_orc.Encoder(public_tokenizers.path(name))
+        assert e.by_word == apart
+        assert e.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def scanned(df) -> int:
+    """Rows that the scan of df hands on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().get("numOutputRows").get().value()
+
+
+def test_files_have_stripes_indexes_and_bloom_filters(spark, tmp_path):
+    import glob
+
+    from pyarrow import orc
+
+    rows = [(2 * i, f"alpha beta {i}") for i in range(6000)]
+    path = token_orc.write_ids(frame(spark, rows), str(tmp_path / "ids"), files=1)
+    name = max(glob.glob(f"{path}/part-*.orc"), key=lambda f: orc.ORCFile(f).nrows)
+    file = orc.ORCFile(name)
+    assert file.nrows == 6000 and file.nstripes >= 1 and file.row_index_stride == 1000
+    stored = spark.read.schema(token_orc.FORMAT.format(id="bigint")).orc(path).select("doc_id", "n_tokens")
+    assert scanned(stored) == 6000
+    assert scanned(stored.filter("doc_id = 5000")) <= 1000  # by the row index
+    assert scanned(stored.filter("doc_id = 5001")) == 0  # inside the range of a row group: by the Bloom filter
