@@ -1,20 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Tasks count words and word pairs of their training documents as sorted 64-bit keys, cut into buckets by the
-keys' top bits; a shuffle brings each bucket's counts together. Single words keep exact counts (the base score
-needs them). A pair seen at least MIN_PAIR times enters the bucket's Bloom filter once for every level up to its
-quantised count: level l says "at least MIN_PAIR * 2 ** (l - 1) times", and a query counts how many levels in a row
-are there. A pair's chance is BLEND * quantised count / count of the first word + (1 - BLEND) * the add-one chance of
-the word alone (only the latter where the first word is unknown), so the chances of a context never add up to more than 1.
-
-The tables are sent to all tasks if they are at most MAX_SENT bytes. Of a larger model the words' counts are joined
-by key, and each distinct pair is brought to its bucket of the same filter and probed there: where the model lies
-depends on its size, the score doesn't (but for the order in which floating-point numbers are added).
+Tasks cut their documents into slices of bounded size and count each slice's words, pairs and triples of words as sorted
+64-bit keys, cut into buckets by the keys' top bits. A shuffle brings each bucket's counts together: single words keep
+exact counts (the base score needs them); a pair or triple enters the bucket's Bloom filter once for every level up to
+its quantised count, where level l says "at least 2 ** (l - 1) times". The filter grows with the corpus, so it is not
+sent whole to any task: the slices' own keys come with their counts, are probed in the bucket's filter (how many levels
+in a row are there), and the answers go back to the slices, which score their documents. This is the only path, at every
+size; the number of buckets follows the bytes of text, so that no bucket's filter grows.
+
+Chances are smoothed from the shorter context up: a word alone has its add-one chance; after one word it is
+(low + PULL[0] * alone) / (count of the word before + PULL[0]), after two words (low + PULL[1] * the chance after one)
+/ (high + PULL[1]), low being the least count that the level of the pair or triple allows and high the greatest count
+that the level of the pair before allows. So the chances of a context never add up to more than 1. Where the context
+was never seen, the shorter one's chance stands.
 
 Edge cases: a null or empty text is one end token. Repeated rows are scored one by one and alike; all of them
 train. A null doc_id is in training. With no training documents every count is 0, N is 0 and every score is 0.
 Extra columns are ignored. An empty table gives an empty table. Keys are XXH64; two words that share a
-key would share a count (a chance of about 1 in 10^7 for a million words).
+key would share a count (a chance of about 1 in 10^7 for a million words). A text longer than a slice is a slice.
 """
 
 from __future__ import annotations
@@ -22,25 +25,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import documents, held_out, materialize, text_or_empty
 
-#: Every pair seen is in the filter. The blend is the best of 0.05 to 0.6 over three folds of the training documents (sf0.01).
-MIN_PAIR, BLEND = 1, 0.4
-#: Filter bits for each (pair, level), and bits set for each.
+#: How strongly the shorter context pulls; the best of a grid over the training documents of sf0.1.
+PULL = (1000.0, 10.0)
+#: Filter bits for each (key, level), and bits set for each.
 BITS, PROBES = 12, 6
-MAX_SENT = 256 << 20
-#: Tokens that a task gathers before it counts them.
-FLUSH = 4 << 20
+#: Tokens in a slice.
+SLICE = 1 << 20
+#: Bytes of text for each bucket of keys.
+BUCKET_BYTES = 16 << 20
 #: Words whose keys a worker remembers before it starts anew.
 WORDS = 400_000
-#: Documents scored at once.
-ROWS = 256
 END_WORD = b"\n"  # no word holds white space
 
 
@@ -92,254 +94,208 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
-    """(size, bucket, keys, counts): each task's counts of words (size 1) and pairs (size 2) of docs."""
+class Grams:
+    """The distinct words, pairs and triples of some texts, and where each token's are among them."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray):
+        self.starts = np.cumsum(lengths) - lengths
+        end = np.uint64(xxhash.xxh64_intdigest(END_WORD))
+        before = np.concatenate(([end], words[:-1]))  # a text begins after an end
+        earlier = np.concatenate(([end], before[:-1]))
+        earlier[self.starts] = end
+        pairs = pair_keys(before, words)
+        triples = pair_keys(pair_keys(earlier, before), words)
+        each = [np.unique(x, return_inverse=True) for x in (words, pairs, triples)]
+        self.distinct, self.places = [u for u, _ in each], [i for _, i in each]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplanes(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _rows(of: str) -> list[tuple[str, pa.DataType | None]]:
+    kinds = [("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("data", pa.binary()), ("n", pa.list_(pa.int64()))]
+    return kinds + ([("total", pa.int64()), ("distinct", pa.int64())] if of == "answers" else [])
 
-    def cut(size: int, grams: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(grams, return_counts=True)
-        edges = np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits))
-        ends = [0, *edges.tolist(), len(keys)]
-        rows = [(size, b, _pack(keys[x:y]), _small(counts[x:y])) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
-        for at in range(0, len(rows), 64):
-            part = list(zip(*rows[at : at + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.binary())], names=["size", "bucket", "keys", "counts"])
+
+def _schema_of(of: str, kind: str) -> str:
+    return "slice long, kind int, bucket long, keys binary, data binary, n array<long>" + (", total long, distinct long" if of == "answers" else "") + f", ids array<{kind}>, held array<boolean>"
+
+
+def slices(docs: DataFrame, bucket_bits: int, size: int = SLICE) -> DataFrame:
+    """Rows of docs(doc_id, held_out, train, text): for each slice one of kind 0 (its words as places in its sorted word
+    keys, with the documents' ids and lengths) and for each bucket its words (kind 1), pairs (2) and triples (3), each
+    with its count in the slice's training documents."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = Keys(), [], 0
-        end = np.uint64(known[END_WORD])
+        known, task, number = Keys(), TaskContext.get().partitionId(), 0
+        held: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]] = []
+        n = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = np.concatenate(held)
-            before = np.concatenate(([end], words[:-1]))  # a text begins after an end
-            yield from cut(1, words)
-            yield from cut(2, pair_keys(before, words))
+            nonlocal number
+            name = task << 32 | number
+            number += 1
+            ids, out_, words, train = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), [w for h in held for w in h[2]], np.concatenate([h[3] for h in held])
+            lengths = np.array([len(w) for w in words], np.int64)
+            grams, counted = Grams(np.concatenate(words), lengths), np.repeat(train, lengths)
+            rows = [(name, 0, name, _pack(grams.distinct[0]), _planes(grams.places[0]), lengths.tolist())]
+            for order, (keys, place) in enumerate(zip(grams.distinct, grams.places, strict=True), 1):
+                counts = np.bincount(place[counted], minlength=len(keys))
+                ends = [0, *np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)).tolist(), len(keys)]
+                rows += [(name, order, b, _pack(keys[x:y]), _small(counts[x:y]), None) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), _rows("slices"), strict=True)]
+                docs_at = [0, *[len(ids)] * len(part)] if at == 0 else [0] * (len(part) + 1)  # the first row has the documents
+                lists = [pa.ListArray.from_arrays(pa.array(docs_at, pa.int32()), x if at == 0 else x[:0]) for x in (ids, out_)]
+                yield pa.RecordBatch.from_arrays([*columns, *lists], names=[k for k, _ in _rows("slices")] + ["ids", "held"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.append(text_keys(known, text.as_py()))
-                n += len(held[-1])
-                if n >= FLUSH:
+            first, texts = 0, []
+            for row, text in enumerate(batch.column(3)):
+                texts.append(text_keys(known, text.as_py()))
+                n += len(texts[-1])
+                if n >= size or row == batch.num_rows - 1:
+                    part = batch.slice(first, len(texts))
+                    held.append((part.column(0), part.column(1), texts, part.column(2).to_numpy(zero_copy_only=False)))
+                    first, texts = row + 1, []
+                if n >= size:
                     yield from flush()
                     held, n = [], 0
         if held:
             yield from flush()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "size int, bucket int, keys binary, counts binary")
+    return docs.select("doc_id", "held_out", "train", text_or_empty().alias("text")).mapInArrow(run, _schema_of("slices", kind))
 
 
-def _merged(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([_unpack(k) for k in rows["keys"]])
-    counts = np.concatenate([_large(c) for c in rows["counts"]])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """0 for none, else 1 + the whole part of log2(count)."""
+    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1))), 0).astype(np.int64)
 
 
-def level_of(counts: np.ndarray) -> np.ndarray:
-    """0 below MIN_PAIR, else 1 + the whole part of log2(count / MIN_PAIR)."""
-    return np.where(counts >= MIN_PAIR, 1 + np.floor(np.log2(np.maximum(counts, MIN_PAIR) / MIN_PAIR)), 0).astype(np.int64)
+def least_count(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 0, 2.0 ** (level - 1), 0.0)
 
 
-def lower_bound(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, MIN_PAIR * 2.0 ** (level - 1), 0.0)
+def most_count(level: np.ndarray) -> np.ndarray:
+    return 2.0**level - 1
 
 
-def _spots(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def _spots(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     """The filter places of (key, level), one probe after another."""
-    h = _mix(keys + np.asarray(level, np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    h = _mix(keys + np.array([level], np.uint64) * np.uint64(0xD1B54A32D192ED03))
     step = _mix(h) | np.uint64(1)
     for i in range(PROBES):
-        yield (h + np.uint64(i) * step) % np.asarray(bits, np.uint64)
-
+        yield ((h + np.uint64(i) * step) % np.uint64(bits)).astype(np.int64)
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    size, bucket = int(rows["size"].iloc[0]), int(rows["bucket"].iloc[0])
-    keys, counts = _merged(rows)
-    if size == 1:
-        data, extra, n = keys.tobytes(), counts.tobytes(), len(keys)
-    else:
-        level = level_of(counts)
-        n = int(level.sum())
-        filled = np.zeros(-(-max(64, n * BITS) // 64) * 64, bool)
-        for at in range(1, int(level.max(initial=0)) + 1):
-            for spot in _spots(keys[level >= at], at, len(filled)):
-                filled[spot.astype(np.int64)] = True
-        data, extra = np.packbits(filled, bitorder="little").tobytes(), b""
-    return pd.DataFrame([(size, bucket, data, extra, n, int(counts.sum()))], columns=["size", "bucket", "data", "extra", "n", "total"])
 
+def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits of a filter that holds every key once for each level up to that of its count."""
+    level = level_of(counts)
+    filled = np.zeros(max(64, int(level.sum()) * BITS), bool)
+    for at in range(1, int(level.max(initial=0)) + 1):
+        for spot in _spots(keys[level >= at], at, len(filled)):
+            filled[spot] = True
+    return filled
 
-def build_model(docs: DataFrame, bucket_bits: int) -> DataFrame:
-    """One row for each size and bucket: words' keys and counts, or the bits of the pairs' filter."""
-    grams = count_grams(docs, bucket_bits)
-    return materialize(grams.groupBy("size", "bucket").applyInPandas(_build, "size int, bucket int, data binary, extra binary, n long, total long"), "lm-model")
 
-
-def filter_levels(bits: np.ndarray, keys: np.ndarray, size: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """How many levels in a row the filters have of each pair; its filter is the `size` bits from bit `start` on."""
+def probe(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How many levels in a row the filter has of each key."""
     out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
     while len(left):
         there = np.ones(len(left), bool)
-        for spot in _spots(keys[left], level, size[left]):
-            spot = start[left] + spot
-            there &= (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        for spot in _spots(keys[left], level, len(filled)):
+            there &= filled[spot]
         left = left[there]
         out[left] = level
         level += 1
     return out
 
 
-class Model:
-    """The tables as arrays; made on the driver, sent to the tasks."""
-
-    def __init__(self, rows: Iterator, bucket_bits: int):
-        found = {(r.size, r.bucket): (bytes(r.data), bytes(r.extra)) for r in rows}
-        buckets = range(1 << bucket_bits)
-        words = [found.pop((1, b), (b"", b"")) for b in buckets]
-        self.keys = np.frombuffer(b"".join(w[0] for w in words), "<u8")
-        self.counts = np.frombuffer(b"".join(w[1] for w in words), "<i8")
-        del words
-        filters = [found.pop((2, b), (b"\0" * 8, b""))[0] for b in buckets]
-        self.bits = np.frombuffer(b"".join(filters), np.uint8)
-        self.sizes = np.array([8 * len(f) for f in filters], np.uint64)
-        self.starts = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.sizes)[:-1])).astype(np.uint64)
-        self.bucket_bits = bucket_bits
-        self.total, self.distinct = int(self.counts.sum()), len(self.keys)
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        bucket = (keys >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
-        return filter_levels(self.bits, keys, self.sizes[bucket], self.starts[bucket])
-
-    def chances(self, counts: np.ndarray, before: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, blended) log10 chances of words counted `counts` after words counted `before`."""
-        alone = (counts + 1) / (self.total + self.distinct + 1)
-        pair = BLEND * np.minimum(lower_bound(levels) / np.maximum(before, 1), 1.0) + (1 - BLEND) * alone
-        return np.log10(alone), np.log10(np.where(before > 0, pair, alone))
+def _answered(rows: pa.Table) -> pa.Table:
+    """One bucket's counts from all slices -> what each slice asked about it, and the bucket's totals (slice -1)."""
+    kind, bucket = rows["kind"][0].as_py(), rows["bucket"][0].as_py()
+    nothing = pa.nulls(rows.num_rows, pa.int64())
+    if kind == 0:
+        return rows.append_column("total", nothing).append_column("distinct", nothing).select([k for k, _ in _rows("answers")] + ["ids", "held"])
+    asked = [_unpack(k) for k in rows["keys"].to_pylist()]
+    every, counts = np.concatenate(asked), np.concatenate([_large(c) for c in rows["data"].to_pylist()])
+    keys, place = np.unique(every, return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, place, counts)
+    known = sums > 0
+    answer = (sums if kind == 1 else np.minimum(probe(build_filter(keys[known], sums[known]), keys), 255))[place]
+    cuts = np.cumsum([0, *map(len, asked)]).tolist()
+    data = [_small(answer[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    slice_ = [*rows["slice"].to_pylist(), -1]
+    n, empty = len(slice_), pa.array([0] * (len(slice_) + 1), pa.int32())
+    columns = {"slice": pa.array(slice_, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "keys": pa.nulls(n, pa.binary()), "data": pa.array([*data, None], pa.binary()), "n": pa.nulls(n, pa.list_(pa.int64()))}
+    columns |= {"total": pa.array([0] * (n - 1) + [int(sums.sum())], pa.int64()), "distinct": pa.array([0] * (n - 1) + [int(known.sum())], pa.int64())}
+    lists = {name: pa.ListArray.from_arrays(empty, rows[name].combine_chunks().values[:0] if rows[name].num_chunks else pa.array([], rows.schema.field(name).type.value_type)) for name in ("ids", "held")}
+    return pa.table(columns | lists)
+
+
+def chances(counts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base, smoothed) log10 chances of tokens with these counts and levels; texts begin at starts."""
+    before = np.concatenate((counts[-1:], counts[:-1]))  # every text ends with an end, so one stands before each
+    context = np.concatenate((pairs[-1:], pairs[:-1]))
+    context[starts] = 0  # no pair stands before a text
+    # A pair is no more frequent than either word, a triple than either pair, whatever the filter says.
+    pairs = np.minimum(pairs, level_of(np.minimum(counts, before)))
+    context = np.where(context > 0, np.minimum(context, level_of(before)), 0)
+    triples = np.minimum(triples, np.minimum(pairs, context))
+    alone = (counts + 1) / (total + distinct + 1)
+    after_one = np.where(before > 0, (least_count(pairs) + PULL[0] * alone) / (before + PULL[0]), alone)
+    after_two = np.where(context > 0, (least_count(triples) + PULL[1] * after_one) / (most_count(context) + PULL[1]), after_one)
+    return np.log10(alone), np.log10(after_two)
 
 
 _OUT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def _schema(docs: DataFrame) -> str:
-    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def _score_sent(docs: DataFrame, model: Model) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = sent.value, Keys()
-        end = np.uint64(known[END_WORD])
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                each = [text_keys(known, t.as_py()) for t in part.column(2)]
-                n = np.array([len(x) for x in each], np.int64)
-                words, starts = np.concatenate(each), np.cumsum(n) - n
-                distinct, place = np.unique(words, return_inverse=True)
-                counts = m.count(distinct)[place]
-                before = np.concatenate((counts[-1:], counts[:-1]))  # every text ends with an end, so one stands before each
-                previous = np.concatenate(([end], words[:-1]))
-                # A pair is no more frequent than either word, whatever the filter says.
-                levels = np.minimum(m.levels(pair_keys(previous, words)), level_of(np.minimum(counts, before)))
-                base, score = m.chances(counts, before, levels)
-                sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), base, score)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums[0]), pa.array(np.full(len(n), m.total, np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_OUT)
-
-    return docs.mapInArrow(run, _schema(docs))
-
-
-def _word_counts(model: DataFrame) -> DataFrame:
-    """(gram, c): the exact counts of the model's words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], names=["gram", "c"])
-
-    return model.filter("size = 1").select("data", "extra").mapInArrow(run, "gram long, c long")
-
-
-def _probed(pairs: DataFrame, model: DataFrame, bucket_bits: int) -> DataFrame:
-    """pairs(pair), distinct -> (pair, level) of those that the filter has. A bucket's filter goes before its pairs, which stream past it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, bits = -1, np.empty(0, np.uint8)
-
-        def probe(keys: np.ndarray) -> pa.RecordBatch:
-            size = np.full(len(keys), 8 * len(bits), np.uint64)
-            level = filter_levels(bits, keys.view(np.uint64), size, np.zeros(len(keys), np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(keys[level > 0]), pa.array(level[level > 0])], names=["pair", "level"])
-
-        for batch in batches:
-            of = batch.column(0).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist() if len(of) else []
-            for a, z in zip(starts, [*starts[1:], len(of)], strict=True):
-                if of[a] != bucket:
-                    bucket, bits = of[a], np.empty(0, np.uint8)
-                if batch.column(2)[a].is_valid:
-                    bits, a = np.frombuffer(batch.column(2)[a].as_py(), np.uint8), a + 1
-                if a < z and len(bits):  # no pair was seen in a bucket without a filter
-                    yield probe(batch.column(1).slice(a, z - a).to_numpy(zero_copy_only=False))
-
-    keyed = pairs.select(F.shiftrightunsigned("pair", 64 - bucket_bits).cast("int").alias("bucket"), "pair", F.lit(None).cast("binary").alias("data"))
-    filters = model.filter("size = 2").select("bucket", F.lit(None).cast("long").alias("pair"), "data")
-    both = filters.unionByName(keyed).repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("pair"))
-    return materialize(both.mapInArrow(run, "pair long, level long"), "lm-levels")
-
-
-def _score_routed(docs: DataFrame, model: DataFrame, bucket_bits: int) -> DataFrame:
-    """The same for models of any size. Texts are known by a digest, so repeated rows share work."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Keys()
-        end = np.uint64(known[END_WORD])
-        for batch in batches:
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = text_keys(known, text.as_py())
-                both, times = np.unique(np.stack((np.concatenate(([end], words[:-1])), words)), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(times)), *(pa.array(x.view(np.int64)) for x in (*np.ascontiguousarray(both), pair_keys(both[0], both[1]))), pa.array(times.astype(np.int64))], names=["digest", "first", "second", "pair", "times"])
-
-    words = materialize(_word_counts(model), "lm-words")
-    total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
-    keyed = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    parts = materialize(keyed.select("digest", "text").dropDuplicates(["digest"]).mapInArrow(pairs, "digest string, first long, second long, pair long, times long"), "lm-pairs")
-    levels = _probed(parts.select("pair").distinct(), model, bucket_bits)
-    parts = parts.join(words.select(F.col("gram").alias("second"), "c"), "second", "left").join(words.select(F.col("gram").alias("first"), F.col("c").alias("b")), "first", "left").join(levels, "pair", "left")
-    # As level_of and lower_bound; the binary digits of a whole number say its log2 without rounding.
-    rarer = F.least(F.coalesce("c", F.lit(0)), F.coalesce("b", F.lit(0)))
-    most = F.when(rarer >= MIN_PAIR, F.length(F.bin(F.floor(rarer / MIN_PAIR)))).otherwise(0)
-    level = F.least(F.coalesce("level", F.lit(0)), most)
-    least = F.when(level > 0, MIN_PAIR * F.pow(F.lit(2.0), level - 1)).otherwise(0.0)
-    alone = (F.coalesce("c", F.lit(0)) + 1) / F.lit(float(total + distinct + 1))
-    blended = F.when(F.col("b") > 0, BLEND * F.least(least / F.col("b"), F.lit(1.0)) + (1 - BLEND) * alone).otherwise(alone)
-    sums = parts.groupBy("digest").agg(
-        F.sum("times").alias("n_tokens"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10(alone)).alias("base_score"),
-        F.sum(F.col("times") * F.log10(blended)).alias("score"),
-    )
-    return keyed.select("doc_id", "held_out", "digest").join(sums, "digest").withColumn("train_tokens", F.lit(total).cast("long")).select(*_OUT)
-
-
-def score(docs: DataFrame, train: DataFrame, max_sent: int = MAX_SENT) -> DataFrame:
-    """docs(doc_id, held_out, text) scored by a model of train(text). Columns: see _OUT; scores are log10 chances of
-    the whole text. max_sent: bytes of the model that may be sent to the tasks."""
-    spark = docs.sparkSession
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    docs = docs.select("doc_id", "held_out", text_or_empty().alias("text"))
-    model = build_model(train, bits)
-    if (model.agg(F.sum(F.octet_length("data") + F.octet_length("extra"))).first()[0] or 0) > max_sent:
-        return _score_routed(docs, model, bits)
-    return _score_sent(docs, Model(model.toLocalIterator(), bits))
+def score_where(docs: DataFrame, train: Column, bucket_bits: int | None = None, slice_tokens: int = SLICE) -> DataFrame:
+    """docs(doc_id, held_out, text) scored by a model of those rows where `train` holds. Columns: see _OUT; scores are
+    log10 chances of the whole text. docs should be a table or a scan: a lost task reads its rows again in the same order.
+    bucket_bits: so many buckets of keys as a power of two (from the bytes of text)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if bucket_bits is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bucket_bits = max(4, (size // BUCKET_BYTES).bit_length())
+    cut = slices(docs.select("doc_id", "held_out", train.alias("train"), "text"), bucket_bits, slice_tokens)
+    answers = materialize(cut.groupBy("kind", "bucket").applyInArrow(_answered, _schema_of("answers", kind)), "lm-answers")
+    totals = answers.filter("slice = -1 and kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
+    total, distinct = totals[0] or 0, totals[1] or 0
+
+    def scored(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        of = rows["kind"].to_numpy()
+        lengths = np.array(rows["n"][0].as_py(), np.int64)
+        words = _unpack(rows["keys"][0].as_py())[_unplanes(rows["data"][0].as_py(), int(lengths.sum()))]
+        grams, data = Grams(words, lengths), rows["data"].to_pylist()
+        counts, pairs, triples = (np.concatenate([_large(data[r]) for r in np.flatnonzero(of == k).tolist()])[grams.places[k - 1]] for k in (1, 2, 3))
+        base, smooth = chances(counts, pairs, triples, grams.starts, total, distinct)
+        known, base, smooth = (np.add.reduceat(x, grams.starts) for x in ((counts > 0).astype(np.int64), base, smooth))
+        ids, held = (rows[c].slice(0, 1).combine_chunks().flatten() for c in ("ids", "held"))
+        return pa.table([ids, held, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total, np.int64)), pa.array(base), pa.array(smooth)], names=_OUT)
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return answers.filter("slice >= 0").groupBy("slice").applyInArrow(scored, schema)
+
+
+def score(docs: DataFrame, train: DataFrame, **how) -> DataFrame:
+    """The same for a model of other rows, train(text), which are not scored themselves."""
+    others = train.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), "text", F.lit(True).alias("train"))
+    both = docs.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text", F.lit(False).alias("train")).unionByName(others)
+    return score_where(both, F.col("train"), **how).filter("held_out is not null")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out(7, 2))
-    return score(docs, docs.filter(~F.col("held_out")))
+    return score_where(docs, ~F.col("held_out"))

@@ -91,28 +91,59 @@ def test_token_ids_of_nothing_and_of_null_ids(spark, tmp_path):
 
 
 def lm_brute(rows, train):
-    counts = Counter(w for t in train for w in [*words(lower(t or "")), "\n"])
-    total, distinct = sum(counts.values()), len(counts)
+    """n_tokens, n_known, N, base and score from exact counts of words, pairs and triples."""
+    tokens = lambda t: [*words(lower(t or "")), "\n"]
+    ones, twos, threes = Counter(), Counter(), Counter()
+    for t in train:
+        w = ["\n", "\n", *tokens(t)]
+        ones.update(w[2:])
+        twos.update(zip(w[1:], w[2:]))
+        threes.update(zip(w, w[1:], w[2:]))
+    total, distinct = sum(ones.values()), len(ones)
+    low, high = lambda c: 2.0 ** (c.bit_length() - 1) if c else 0.0, lambda c: 2.0 ** c.bit_length() - 1
     for i, t in rows:
-        tokens = [*words(lower(t or "")), "\n"]
-        yield i, len(tokens), sum(counts[w] > 0 for w in tokens), total, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens)
+        w, base, score = ["\n", "\n", *tokens(t)], 0.0, 0.0
+        for at in range(2, len(w)):
+            x, y, z = w[at - 2 : at + 1]
+            alone = (ones[z] + 1) / (total + distinct + 1)
+            one = (low(twos[y, z]) + lm_score.PULL[0] * alone) / (ones[y] + lm_score.PULL[0]) if ones[y] else alone
+            two = (low(threes[x, y, z]) + lm_score.PULL[1] * one) / (high(twos[x, y]) + lm_score.PULL[1]) if at > 2 and twos[x, y] else one
+            base, score = base + math.log10(alone), score + math.log10(two)
+        yield i, len(w) - 2, sum(ones[x] > 0 for x in w[2:]), total, base, score
 
 
-@pytest.mark.parametrize("sent", [1 << 28, 0])
-def test_lm_scores(spark, small, sent):
+by_counts = lambda rows: sorted(rows, key=lambda r: str((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 3))))
+
+
+def test_lm_scores_are_those_of_exact_counts(spark, small):
     from pyspark.sql import functions as F
 
     rows = awkward() + documents(spark, small)
     docs = frame(spark, rows).withColumn("held_out", F.lit(False))
-    train = docs.filter("doc_id % 3 <> 0")
-    got = sorted(rows_of(lm_score.score(docs, train, sent)), key=lambda r: str((r["doc_id"], r["n_tokens"], r["n_known"])))
-    want = sorted(lm_brute(rows, [t for i, t in rows if i is not None and i % 3]), key=lambda r: str(r[:3]))
+    got = by_counts(rows_of(lm_score.score(docs, docs.filter("doc_id % 3 <> 0"))))
+    want = sorted(lm_brute(rows, [t for i, t in rows if i is not None and i % 3]), key=lambda r: str((*r[:3], round(r[4], 3))))
     assert [(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got] == [w[:4] for w in want]
+    exact = 0
     for r, w in zip(got, want, strict=True):
         assert r["base_score"] == pytest.approx(w[4], rel=1e-9)
-    other = sorted(rows_of(lm_score.score(docs, train, 1 << 28)), key=lambda r: str((r["doc_id"], r["n_tokens"], r["n_known"])))
-    for r, o in zip(got, other, strict=True):  # a false level of the filter may raise a chance a little
-        assert r["score"] == pytest.approx(o["score"], rel=0.02, abs=0.5)
+        # A false level (a chance of under 0.4 % an absent pair or triple) changes a token's chance, mostly upwards.
+        assert r["score"] == pytest.approx(w[5], abs=0.02 * r["n_tokens"] + 2.5)
+        exact += math.isclose(r["score"], w[5], rel_tol=1e-9)
+    assert exact > len(got) / 3
+    assert sum(r["score"] for r in got) == pytest.approx(sum(w[5] for w in want), rel=0.005)
+
+
+def test_lm_filter_has_every_level_and_few_false_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys, counts = rng.integers(0, 1 << 63, 50_000, dtype=np.uint64), rng.geometric(0.3, 50_000)
+    filled = lm_score.build_filter(keys, counts)
+    assert len(filled) == lm_score.level_of(counts).sum() * lm_score.BITS
+    found = lm_score.probe(filled, keys)
+    assert (found >= lm_score.level_of(counts)).all() and (found > lm_score.level_of(counts)).mean() < 0.01
+    assert (lm_score.probe(filled, rng.integers(0, 1 << 63, 50_000, dtype=np.uint64)) > 0).mean() < 0.01
+    assert (lm_score.least_count(lm_score.level_of(counts)) <= counts).all() and (lm_score.most_count(lm_score.level_of(counts)) >= counts).all()
 
 
 def test_lm_pairs_raise_the_score_of_seen_order(spark):
@@ -124,15 +155,16 @@ def test_lm_pairs_raise_the_score_of_seen_order(spark):
     assert got[1] > got[2]
 
 
-def test_lm_scores_do_not_depend_on_where_the_model_lies(spark, small):
+def test_lm_scores_do_not_depend_on_buckets_and_slices(spark, small):
     from pyspark.sql import functions as F
 
     docs = frame(spark, awkward() + documents(spark, small)).withColumn("held_out", F.lit(False))
-    train = docs.filter("doc_id % 3 <> 0")
-    sent, routed = (sorted(rows_of(lm_score.score(docs, train, size)), key=lambda r: str((r["doc_id"], r["n_tokens"], r["n_known"]))) for size in (1 << 28, 0))
-    assert len(sent) == len(routed)
-    for a, b in zip(sent, routed, strict=True):
-        assert b["score"] == pytest.approx(a["score"], rel=1e-9) and b["base_score"] == pytest.approx(a["base_score"], rel=1e-9)
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    one, other = (by_counts(rows_of(lm_score.score_where(docs, train, bits, size))) for bits, size in ((4, 1 << 20), (6, 3000)))
+    assert len(one) == len(other)
+    for a, b in zip(one, other, strict=True):
+        assert b["base_score"] == pytest.approx(a["base_score"], rel=1e-9)
+        assert b["score"] == pytest.approx(a["score"], abs=0.02 * a["n_tokens"] + 2.5)  # other filters have other false levels
 
 
 def test_lm_pairs_seen_once_count(spark):
@@ -140,9 +172,8 @@ def test_lm_pairs_seen_once_count(spark):
 
     train = frame(spark, [(1, "alpha beta gamma delta")])
     docs = frame(spark, [(1, "beta gamma delta"), (2, "gamma beta delta")]).withColumn("held_out", F.lit(True))
-    for sent in (1 << 28, 0):
-        got = {r["doc_id"]: (r["base_score"], r["score"]) for r in rows_of(lm_score.score(docs, train, sent))}
-        assert got[1][0] == pytest.approx(got[2][0]) and got[1][1] > got[2][1] + 0.3
+    got = {r["doc_id"]: (r["base_score"], r["score"]) for r in rows_of(lm_score.score(docs, train))}
+    assert got[1][0] == pytest.approx(got[2][0]) and got[1][1] > got[2][1]
 
 
 def test_lm_without_training_rows(spark):
