@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import documents, held_out, materialize, text_or_empty
 
-#: How strongly the shorter context pulls; the best of a grid over the training documents of sf0.1.
+#: How strongly the shorter context pulls; chosen over a grid by a seventh of the training documents of sf0.1.
 PULL = (1000.0, 10.0)
 #: Filter bits for each (key, level), and bits set for each.
 BITS, PROBES = 12, 6
+#: Bits of a pair's or triple's key within its bucket: a bucket's couple of million keys share one by a chance of 1 in 10^4.
+KEY_BITS = 34
 #: Tokens in a slice.
 SLICE = 1 << 20
 #: Bytes of text for each bucket of keys.
@@ -73,51 +75,42 @@ def text_keys(keys: Keys, text: str) -> np.ndarray:
     return np.fromiter(map(keys.__getitem__, words), np.uint64, len(words))
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane: the planes of zeros cost nothing in a shuffle."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _zip(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed, behind the number of bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+def _unzip(data: bytes) -> np.ndarray:
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _small(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs; the first byte says how many."""
-    size = next(s for s in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << (8 * s - 1))
-    return bytes([size]) + counts.astype(f"<i{size}").tobytes()
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _zip(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_unzip(data), dtype=np.uint64)
 
 
 class Grams:
     """The distinct words, pairs and triples of some texts, and where each token's are among them."""
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray):
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, bucket_bits: int):
         self.starts = np.cumsum(lengths) - lengths
         end = np.uint64(xxhash.xxh64_intdigest(END_WORD))
         before = np.concatenate(([end], words[:-1]))  # a text begins after an end
         earlier = np.concatenate(([end], before[:-1]))
         earlier[self.starts] = end
-        pairs = pair_keys(before, words)
-        triples = pair_keys(pair_keys(earlier, before), words)
+        drop = np.uint64(max(0, 64 - bucket_bits - KEY_BITS))
+        pairs = pair_keys(before, words) >> drop
+        triples = pair_keys(pair_keys(earlier, before), words) >> drop
         each = [np.unique(x, return_inverse=True) for x in (words, pairs, triples)]
         self.distinct, self.places = [u for u, _ in each], [i for _, i in each]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unplanes(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 def _rows(of: str) -> list[tuple[str, pa.DataType | None]]:
     kinds = [("slice", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary()), ("data", pa.binary()), ("n", pa.list_(pa.int64()))]
     return kinds + ([("total", pa.int64()), ("distinct", pa.int64())] if of == "answers" else [])
@@ -144,12 +137,13 @@ def slices(docs: DataFrame, bucket_bits: int, size: int = SLICE) -> DataFrame:
             number += 1
             ids, out_, words, train = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), [w for h in held for w in h[2]], np.concatenate([h[3] for h in held])
             lengths = np.array([len(w) for w in words], np.int64)
-            grams, counted = Grams(np.concatenate(words), lengths), np.repeat(train, lengths)
-            rows = [(name, 0, name, _pack(grams.distinct[0]), _planes(grams.places[0]), lengths.tolist())]
+            grams, counted = Grams(np.concatenate(words), lengths, bucket_bits), np.repeat(train, lengths)
+            rows = [(name, 0, name, _pack(grams.distinct[0]), _zip(grams.places[0]), lengths.tolist())]
             for order, (keys, place) in enumerate(zip(grams.distinct, grams.places, strict=True), 1):
                 counts = np.bincount(place[counted], minlength=len(keys))
-                ends = [0, *np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)).tolist(), len(keys)]
-                rows += [(name, order, b, _pack(keys[x:y]), _small(counts[x:y]), None) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
+                below = 64 - bucket_bits if order == 1 else min(64 - bucket_bits, KEY_BITS)
+                ends = [0, *np.searchsorted(keys, np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(below)).tolist(), len(keys)]
+                rows += [(name, order, b, _pack(keys[x:y]), _zip(counts[x:y]), None) for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)) if y > x]
             for at in range(0, len(rows), 64):
                 part = rows[at : at + 64]
                 columns = [pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), _rows("slices"), strict=True)]
@@ -226,14 +220,14 @@ def _answered(rows: pa.Table) -> pa.Table:
     if kind == 0:
         return rows.append_column("total", nothing).append_column("distinct", nothing).select([k for k, _ in _rows("answers")] + ["ids", "held"])
     asked = [_unpack(k) for k in rows["keys"].to_pylist()]
-    every, counts = np.concatenate(asked), np.concatenate([_large(c) for c in rows["data"].to_pylist()])
+    every, counts = np.concatenate(asked), np.concatenate([_unzip(c) for c in rows["data"].to_pylist()]).astype(np.int64)
     keys, place = np.unique(every, return_inverse=True)
     sums = np.zeros(len(keys), np.int64)
     np.add.at(sums, place, counts)
     known = sums > 0
     answer = (sums if kind == 1 else np.minimum(probe(build_filter(keys[known], sums[known]), keys), 255))[place]
     cuts = np.cumsum([0, *map(len, asked)]).tolist()
-    data = [_small(answer[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    data = [_zip(answer[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     slice_ = [*rows["slice"].to_pylist(), -1]
     n, empty = len(slice_), pa.array([0] * (len(slice_) + 1), pa.int32())
     columns = {"slice": pa.array(slice_, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "keys": pa.nulls(n, pa.binary()), "data": pa.array([*data, None], pa.binary()), "n": pa.nulls(n, pa.list_(pa.int64()))}
@@ -277,9 +271,9 @@ def score_where(docs: DataFrame, train: Column, bucket_bits: int | None = None,
         rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         of = rows["kind"].to_numpy()
         lengths = np.array(rows["n"][0].as_py(), np.int64)
-        words = _unpack(rows["keys"][0].as_py())[_unplanes(rows["data"][0].as_py(), int(lengths.sum()))]
-        grams, data = Grams(words, lengths), rows["data"].to_pylist()
-        counts, pairs, triples = (np.concatenate([_large(data[r]) for r in np.flatnonzero(of == k).tolist()])[grams.places[k - 1]] for k in (1, 2, 3))
+        words = _unpack(rows["keys"][0].as_py())[_unzip(rows["data"][0].as_py()).astype(np.int64)]
+        grams, data = Grams(words, lengths, bucket_bits), rows["data"].to_pylist()
+        counts, pairs, triples = (np.concatenate([_unzip(data[r]) for r in np.flatnonzero(of == k).tolist()]).astype(np.int64)[grams.places[k - 1]] for k in (1, 2, 3))
         base, smooth = chances(counts, pairs, triples, grams.starts, total, distinct)
         known, base, smooth = (np.add.reduceat(x, grams.starts) for x in ((counts > 0).astype(np.int64), base, smooth))
         ids, held = (rows[c].slice(0, 1).combine_chunks().flatten() for c in ("ids", "held"))
