@@ -7,7 +7,7 @@ probability of being good is at least one half and the base rule does not fail i
 
 Edge cases: null, empty and white-space texts have no words, so the base rule fails them. Repeated rows are
 judged one by one and alike. Null doc_ids keep their rows. Extra columns are ignored by `judge` and kept by
-`keep_good`. An empty table gives an empty table. Texts are read whole; the work for one text of n words is
+`keep_good`, whatever their names. An empty table gives an empty table. Texts are read whole; the work for one text of n words is
 n log n (its three-word windows are sorted), whatever repeats in it.
 """
 
@@ -28,7 +28,9 @@ FUNCTION_WORDS = (
     "el los las una por con para es se"
 ).split()
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-EM_ROUNDS, PRIOR_WEIGHT, PRIOR_SHARE = 12, 0.2, 0.8
+PRIOR_WEIGHT, PRIOR_SHARE = 0.2, 0.8
+#: EM ends when no chance moves by more than SETTLED, or after so many rounds.
+EM_ROUNDS, SETTLED = 200, 1e-6
 #: Chances, before any data, that a rule votes bad, abstains or votes good on a good and on a bad document.
 PRIOR_GOOD, PRIOR_BAD = (0.01, 0.19, 0.8), (0.3, 0.2, 0.5)
 
@@ -63,9 +65,9 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(_bind(words, covered))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules read, one row per document."""
-    text = docs.select("doc_id", text_or_empty().alias("text"))
+def features(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """doc_id (or `carried` under that name) and the counts the rules read, one row per document."""
+    text = docs.select((F.col("doc_id") if carried is None else carried).alias("doc_id"), text_or_empty().alias("text"))
     parts = text.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"))
     length = F.char_length
     return parts.select(
@@ -135,30 +137,32 @@ def posteriors(patterns: DataFrame) -> DataFrame:
                 return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), lambda r: F.array(*[(each(r, v) + k * priors[v]) / mass for v in range(3)]))
 
             share = (total(qs, lambda x: x["w"] * x["q"]) + k * PRIOR_SHARE) / (1 + k)
-            return F.struct(share.alias("share"), chances(lambda x: x["w"] * x["q"], PRIOR_GOOD).alias("good"), chances(lambda x: x["w"] * (1 - x["q"]), PRIOR_BAD).alias("bad"))
+            new = F.struct(share.alias("share"), chances(lambda x: x["w"] * x["q"], PRIOR_GOOD).alias("good"), chances(lambda x: x["w"] * (1 - x["q"]), PRIOR_BAD).alias("bad"))
+            return _bind(new, lambda m: F.struct(m["share"].alias("share"), m["good"].alias("good"), m["bad"].alias("bad"), moved(m).alias("moved")))
 
-        return _bind(F.transform("ps", lambda p: F.struct(p["w"].alias("w"), p["v"].alias("v"), good_in(p, model).alias("q"))), again)
+        def moved(new: Column) -> Column:
+            apart = F.zip_with(F.flatten(F.concat(new["good"], new["bad"])), F.flatten(F.concat(model["good"], model["bad"])), lambda x, y: F.abs(x - y))
+            return F.greatest(F.abs(new["share"] - model["share"]), F.array_max(apart))
 
-    start = F.struct(F.lit(PRIOR_SHARE).alias("share"), prior(PRIOR_GOOD).alias("good"), prior(PRIOR_BAD).alias("bad"))
+        anew = _bind(F.transform("ps", lambda p: F.struct(p["w"].alias("w"), p["v"].alias("v"), good_in(p, model).alias("q"))), again)
+        return F.when(model["moved"] <= SETTLED, model).otherwise(anew)
+
+    start = F.struct(F.lit(PRIOR_SHARE).alias("share"), prior(PRIOR_GOOD).alias("good"), prior(PRIOR_BAD).alias("bad"), F.lit(1.0).alias("moved"))
     fitted = table.select("ps", F.aggregate(F.sequence(F.lit(1), F.lit(EM_ROUNDS)), start, step).alias("model"))
     return fitted.select(F.explode("ps").alias("p"), "model").select(F.col("p.pattern").alias("pattern"), good_in(F.col("p"), F.col("model")).alias("quality"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, carried: Column | None = None) -> DataFrame:
     """features, base_failed, quality (the posterior) and kept, one row per row of docs."""
-    seen = materialize(features(docs).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("pattern", vote_pattern()), "rule-votes")
+    seen = materialize(features(docs, carried).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("pattern", vote_pattern()), "rule-votes")
     quality = posteriors(seen.groupBy("pattern").agg(F.count("*").alias("n")))
     judged = seen.join(F.broadcast(quality), "pattern")  # at most 3 ** len(RULES) rows
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that `judge` keeps, judged by their text, with their columns."""
-    mark = "__row_of_text"
-    key = docs.withColumn(mark, F.sha2(text_or_empty().cast("binary"), 256))
-    texts = key.select(F.col(mark).alias("doc_id"), "text")
-    good = judge(texts).filter("kept").select(F.col("doc_id").alias(mark)).distinct()
-    return key.join(good, mark, "left_semi").select(*docs.columns)
+    """The rows of docs that `judge` keeps, with their columns; each row carries its votes, so texts are not shuffled."""
+    return judge(docs, F.struct(*docs.columns)).filter("kept").select("doc_id.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,14 @@ def test_posteriors_are_those_of_plain_em(spark):
     for _ in range(quality_rules.EM_ROUNDS):
         q = {p: odds(p) for p, _ in patterns}
         of = lambda weight, prior: [[(sum(weight(p) * n / total for p, n in patterns if votes[p][r] == v) + k * prior[v]) / (sum(weight(p) * n / total for p, n in patterns) + k) for v in range(3)] for r in range(rules)]
-        good, bad, share = of(lambda p: q[p], quality_rules.PRIOR_GOOD), of(lambda p: 1 - q[p], quality_rules.PRIOR_BAD), (sum(q[p] * n / total for p, n in patterns) + k * quality_rules.PRIOR_SHARE) / (1 + k)  # noqa: B023
+        new = of(lambda p: q[p], quality_rules.PRIOR_GOOD), of(lambda p: 1 - q[p], quality_rules.PRIOR_BAD), (sum(q[p] * n / total for p, n in patterns) + k * quality_rules.PRIOR_SHARE) / (1 + k)  # noqa: B023
+        moved = max(abs(x - y) for a, b in zip(new[:2], (good, bad)) for r, s in zip(a, b) for x, y in zip(r, s))
+        moved = max(moved, abs(new[2] - share))
+        good, bad, share = new
+        if moved <= quality_rules.SETTLED:
+            break
+    else:
+        raise AssertionError("plain EM did not settle")
     for p, _ in patterns:
         assert got[p] == pytest.approx(odds(p), abs=1e-9)
 
