@@ -192,10 +192,10 @@ def test_components_of_a_long_path_and_a_hub(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 1000 for i in range(1000, 1100))
 
 
-def leaks_brute(text: bytes, item: bytes) -> int:
+def leaks_brute(t: np.ndarray, item: np.ndarray) -> int:
     """Least edits that turn item into some part of text."""
+    text = t
     row = np.zeros(len(text) + 1, int)
-    t = np.frombuffer(text, np.uint8)
     for i, c in enumerate(item, 1):
         step = np.minimum(row[1:] + 1, row[:-1] + (t != c))
         full = np.concatenate(([i], step)) - np.arange(len(text) + 1)
@@ -207,7 +207,7 @@ def test_leaks(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [prose(30) for _ in range(8)] + ["tiny", "", None, prose(9)]
+    items = [prose(30) for _ in range(6)] + [prose(30).replace("a", "ä").replace("e", "日") for _ in range(2)] + ["tiny", "", None, prose(9), "short of ten", "abcd efgh ijkl mnop q", "thirty characters are this one"]
     rows: list[tuple[int | None, str | None]] = []
     for i in range(60):
         body = list(rng.choice([x for x in items if x and len(x) > 8]))
@@ -222,7 +222,7 @@ def test_leaks(spark):
     for i, t in rows:
         for k, x in enumerate(items):
             p = decontaminate.plain(x or "")
-            if len(p) >= decontaminate.Q and leaks_brute(decontaminate.plain(t or ""), p) <= decontaminate.budget(len(p), decontaminate.EDIT_FRACTION):
+            if len(p) >= decontaminate.LEAST and leaks_brute(decontaminate.plain(t or ""), p) <= decontaminate.budget(len(p), decontaminate.EDIT_FRACTION):
                 want.add((i, k))
     assert got == want and len(want) > 10
     docs = frame(spark, rows)
@@ -232,6 +232,21 @@ def test_leaks(spark):
     assert rows_of(decontaminate.find_leaks(docs.limit(0), benchmark)) == [] and rows_of(decontaminate.find_leaks(docs, benchmark.limit(0))) == []
 
 
+def test_long_items_and_many_blocks(spark, monkeypatch):
+    """Items of many lengths in one slice, blocks that need several passes, a null item_id."""
+    rng = random.Random(10)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    items = [(i, prose(n)) for i, n in enumerate((4000, 3, 500, 8, 40, 90))] + [(None, prose(12))]
+    rows = [(k, prose(5) + " " + text + " " + prose(5)) for k, (_, text) in enumerate(items)] + [(99, prose(200))]
+    benchmark, want = spark.createDataFrame(items, "item_id long, text string"), {(k, i) for k, (i, _) in enumerate(items)}
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in rows_of(decontaminate.find_leaks(frame(spark, rows), benchmark))}
+    assert found() == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "SENT_BLOCKS", 2)
+    assert found() == want
+    assert [r["doc_id"] for r in rows_of(decontaminate.drop_leaks(frame(spark, rows), benchmark))] == [99]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, small, library):
     """Every stage against a plain version of what it promises, on what its predecessor kept."""
     from ledgerloom.llm import quality_rules, secret_scan
@@ -253,11 +268,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, small, library):
             by_gram = defaultdict(set)
             for k, x in enumerate(items):
                 for at in range(0, len(x) - 7, 8):
-                    by_gram[x[at : at + 8]].add(k)
+                    by_gram[bytes(x[at : at + 8])].add(k)
             leaky = set()
             for r in kept:
                 p = decontaminate.plain(r["text"] or "")
-                maybe = {k for at in range(len(p) - 7) for k in by_gram.get(p[at : at + 8], ())}
+                maybe = {k for at in range(len(p) - 7) for k in by_gram.get(bytes(p[at : at + 8]), ())}
                 if any(leaks_brute(p, items[k]) <= decontaminate.budget(len(items[k]), decontaminate.EDIT_FRACTION) for k in maybe):
                     leaky.add(r["doc_id"])
             assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept} - leaky
