@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star passes.
 
-Every pass is a grouped minimum (combined before the shuffle) and a join back on the node, so a hub
-with a third of all edges is never gathered in one task: the join's large side can be split.
+Every pass is a grouped minimum (combined before the shuffle), written as a table, and a join back on the node:
+both sides of the join are shuffles of tables, so that adaptive execution can split a hub's side of it.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ def _clean(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return _clean(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = edges.join(low, "u")
     return _clean(
         hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
@@ -36,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     now, seen = materialize(_clean(edges), "edges"), None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

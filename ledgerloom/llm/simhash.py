@@ -7,11 +7,15 @@ Manhattan distance of their count vectors, a lower bound of the Hamming distance
 Two fingerprints within 4 bits have count vectors within Manhattan distance 4, hence within 2 on one
 of the two halves of 16 segments. The grid's cells are the count vectors of a half; each fingerprint is
 put in its own cell and in those one step away, and vectors within distance 2 share such a cell.
-Fingerprints that share a cell are compared by the lower bound, then exactly. Nothing is lost.
+Fingerprints that share a cell are compared by the lower bound, then exactly. Cells that are too full for
+one task are cut by blocks: two fingerprints within 4 bits are equal in one of five blocks of their bits, so
+each goes to five of the cell's parts. What is still too full holds fingerprints a few bits apart and is linked
+through shared midpoints. Nothing is lost, and there is no size at which fingerprints leave the grid.
 
 Edge cases: a null or empty text (or one of white space) has fingerprint zero and is linked like any
-other. Repeated doc_ids are one node. Rows with a null doc_id get a fingerprint and the smallest doc_id
-linked to it (null if there is none). Extra columns are ignored. An empty table gives an empty table.
+other. The nodes are the distinct fingerprints, so doc_ids may repeat, be null or of any type that has an order:
+component_id is the smallest doc_id of the component that is not null (null if there is none). Extra columns are
+ignored by `near_duplicates` and kept by `keep_one`, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from ledgerloom.llm.components import components
 SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
-#: Cells with more fingerprints than this are linked by shared midpoints instead of in one task.
+#: Cells with more fingerprints than this are cut by blocks of bits.
 CELL_ROWS = 8192
 #: Shingles whose bits are unpacked at a time.
 SLICE = 1 << 17
@@ -126,18 +130,23 @@ def _tree(fp: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch], bits: int, cell_rows: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, fp, node) sorted by cell -> edges (u, v); for rows of cells that are too large, (node, null)."""
+    """Rows (cell, fp, node) sorted by cell -> edges (u, v); rows of cells that are too large: (node, null, cell, fp)."""
 
-    def emit(u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
-        if v is not None and len(u):
+    def emit(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        if len(u):
             u, v = np.unique(np.stack((np.maximum(u, v), np.minimum(u, v))), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()) if v is not None else pa.nulls(len(u), pa.int64())], names=["u", "v"])
+        nothing = pa.nulls(len(u), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), nothing, nothing], names=["u", "v", "cell", "fp"])
+
+    def crowded(cell: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(cell), pa.array(fp.view(np.int64))], names=["u", "v", "cell", "fp"])
 
     def done(cell: np.ndarray, fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(cell)])))
         for a, n in zip(starts[sizes > 48].tolist(), sizes[sizes > 48].tolist(), strict=True):
-            yield emit(*_tree(fp[a : a + n], node[a : a + n], bits)) if n <= cell_rows else emit(node[a : a + n], None)
+            part = slice(a, a + n)
+            yield emit(*_tree(fp[part], node[part], bits)) if n <= cell_rows else crowded(cell[part], fp[part], node[part])
         small = np.repeat(sizes <= 48, sizes)
         cell, fp, node = cell[small], fp[small], node[small]
         counts = _sorted_np(fp)
@@ -159,7 +168,7 @@ def _link_cells(batches: Iterator[pa.RecordBatch], bits: int, cell_rows: int) ->
         if over is not None:
             n = int(np.searchsorted(cell, over, "right"))
             if n:
-                yield emit(node[:n], None)
+                yield crowded(cell[:n], fp[:n], node[:n])
             cell, fp, node = cell[n:], fp[n:], node[n:]
             if not len(cell):
                 continue
@@ -172,7 +181,7 @@ def _link_cells(batches: Iterator[pa.RecordBatch], bits: int, cell_rows: int) ->
         held = [(cell[cut:], fp[cut:], node[cut:])]
         if len(cell) - cut > cell_rows:
             over = cell[-1]
-            yield emit(node[cut:], None)
+            yield crowded(cell[cut:], fp[cut:], node[cut:])
             held = []
     if held:
         yield from done(*held[0])
@@ -191,39 +200,64 @@ def _midpoints(nodes: DataFrame) -> DataFrame:
     return around.join(least, "value").filter("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
+def _blocks(cell: Column, fp: Column, bits: int) -> Column:
+    """Keys of the parts of a crowded cell: one for each of bits + 1 blocks of the fingerprint's bits."""
+    edges = [64 * i // (bits + 1) for i in range(bits + 2)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.xxhash64(cell, F.lit(i), fp.bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)])
+
+
 def links(nodes: DataFrame, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """nodes(fp, node), fp distinct -> edges(u, v) whose components are those of all links."""
     if bits > MAX_BITS:
         raise ValueError("the grid is laid out for at most 4 bits")
-    put = nodes.select(F.explode(cells(sorted_segments(F.col("fp")))).alias("cell"), "fp", "node")
-    found = put.repartition("cell").sortWithinPartitions("cell")
-    found = materialize(found.mapInArrow(lambda it: _link_cells(it, bits, cell_rows), "u long, v long"), "links")
-    edges = found.filter("v is not null")
-    crowded = found.filter("v is null").select(F.col("u").alias("node")).distinct()
+
+    def linked(put: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = put.repartition("cell").sortWithinPartitions("cell")
+        found = materialize(found.mapInArrow(lambda it: _link_cells(it, bits, cell_rows), "u long, v long, cell long, fp long"), "links")
+        return found.filter("v is not null").select("u", "v"), found.filter("v is null").select("cell", "fp", F.col("u").alias("node"))
+
+    edges, crowded = linked(nodes.select(F.explode(cells(sorted_segments(F.col("fp")))).alias("cell"), "fp", "node"))
+    if crowded.isEmpty():
+        return edges
+    more, crowded = linked(crowded.select(F.explode(_blocks(F.col("cell"), F.col("fp"), bits)).alias("cell"), "fp", "node"))
+    edges = edges.unionByName(more)
     if crowded.isEmpty():
         return edges
     if bits != MAX_BITS:
-        raise ValueError("cells over cell_rows are handled for 4 bits only")
-    return edges.unionByName(_midpoints(nodes.join(crowded, "node", "left_semi")))
+        raise ValueError("parts over cell_rows are handled for 4 bits only")
+    return edges.unionByName(_midpoints(crowded.select("fp", "node").distinct()))
+
+
+def _named(prints: DataFrame, bits: int, cell_rows: int) -> DataFrame:
+    """prints(doc_id, fp) -> (fp, root, component_id): each fingerprint's component and the smallest doc_id of it."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), bits, cell_rows))
+    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return materialize(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "named")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of docs."""
     prints = materialize(fingerprints(docs, width), "fingerprints")
-    nodes = materialize(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "nodes")
-    roots = components(links(nodes, bits, cell_rows)).withColumnRenamed("node", "n")
-    named = nodes.join(roots, F.col("n") == F.col("node"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    lonely = prints.filter("doc_id is null")
-    out = prints.join(named, "fp", "left" if not lonely.isEmpty() else "inner")
+    out = prints.join(_named(prints, bits, cell_rows), "fp")
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays (of repeated doc_ids, one row). Rows
-    with a null doc_id, which nothing can be said to repeat, stay. The columns are those of docs."""
-    first = near_duplicates(docs, **kw).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+def keep_one(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Of each component the row with the smallest doc_id stays (of rows that share it, the one whose text has the
+    smallest digest, of equal rows any). Rows with a null doc_id, which nothing can be said to repeat, stay. The columns
+    are those of docs."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_or_empty().alias("text"))
+    prints = fingerprints(row.select(F.struct("row").alias("doc_id"), "text"), width).select("doc_id.row", "fp")
+    prints = materialize(prints.select("row", "row.doc_id", "fp", F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("digest")), "fingerprints")
+    named = _named(prints.select("doc_id", "fp"), bits, cell_rows).select("fp", "root")
+    best = prints.filter("doc_id is not null").select("fp", "doc_id", "digest").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
+    best = best.select(F.col("root").alias("r"), F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g"))
+    kept = prints.join(named, "fp").join(best, (F.col("root") == F.col("r")) & (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")))
+    return kept.select("row", "root").dropDuplicates(["root"]).select("row").unionByName(prints.filter("doc_id is null").select("row")).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def test_fingerprints_and_links_of_documents(spark, small):
     assert {i: r["component_id"] for i, r in got.items()} == components_brute(prints)
 
 
-@pytest.mark.parametrize("cell_rows", [8192, 3])
+@pytest.mark.parametrize("cell_rows", [8192, 40, 3])
 def test_links_of_close_fingerprints(spark, cell_rows):
     rng = random.Random(2)
     seeds = [rng.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
@@ -186,6 +186,17 @@ def test_simhash_of_awkward_rows(spark):
     assert rows_of(simhash.near_duplicates(frame(spark, []))) == []
 
 
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eta"]) + str(rng.randrange(40)) for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [("x", a), ("x", b), ("y", a), ("z", c), ("z", c), (None, b)]
+    docs = spark.createDataFrame([(i, t, 1, "p") for i, t in rows], "doc_id string, text string, row int, fp string")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in rows_of(simhash.keep_one(docs))))) == sorted(map(str, [("x", a), ("x", b), ("z", c), (None, b)]))
+    got = Counter((r["doc_id"], r["component_id"]) for r in rows_of(simhash.near_duplicates(docs)))
+    assert got == Counter([("x", "x"), ("x", "x"), ("y", "x"), ("z", "z"), ("z", "z"), (None, "x")])
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (1, 0)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
