@@ -37,10 +37,11 @@ from ledgerloom.llm.common import documents, held_out, materialize, text_or_empt
 PULL = (1000.0, 10.0)
 #: Filter bits for each (key, level), and bits set for each.
 BITS, PROBES = 12, 6
-#: Bits of a pair's or triple's key within its bucket: a bucket's couple of million keys share one by a chance of 1 in 10^4.
-KEY_BITS = 34
+#: Bits of a pair's or triple's key within its bucket: an absent key meets one of a bucket's couple of million by a chance of
+#: 0.2 %, less than the filter errs.
+KEY_BITS = 30
 #: Tokens in a slice.
-SLICE = 1 << 20
+SLICE = 1 << 21
 #: Bytes of text for each bucket of keys.
 BUCKET_BYTES = 16 << 20
 #: Words whose keys a worker remembers before it starts anew.
@@ -122,7 +123,7 @@ def _schema_of(of: str, kind: str) -> str:
 
 def slices(docs: DataFrame, bucket_bits: int, size: int = SLICE) -> DataFrame:
     """Rows of docs(doc_id, held_out, train, text): for each slice one of kind 0 (its words as places in its sorted word
-    keys, with the documents' ids and lengths) and for each bucket its words (kind 1), pairs (2) and triples (3), each
+    keys, which are those of its rows of kind 1, with the documents' ids and lengths) and for each bucket its words (kind 1), pairs (2) and triples (3), each
     with its count in the slice's training documents."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -138,7 +139,7 @@ def slices(docs: DataFrame, bucket_bits: int, size: int = SLICE) -> DataFrame:
             ids, out_, words, train = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), [w for h in held for w in h[2]], np.concatenate([h[3] for h in held])
             lengths = np.array([len(w) for w in words], np.int64)
             grams, counted = Grams(np.concatenate(words), lengths, bucket_bits), np.repeat(train, lengths)
-            rows = [(name, 0, name, _pack(grams.distinct[0]), _zip(grams.places[0]), lengths.tolist())]
+            rows = [(name, 0, name, None, _zip(grams.places[0]), lengths.tolist())]
             for order, (keys, place) in enumerate(zip(grams.distinct, grams.places, strict=True), 1):
                 counts = np.bincount(place[counted], minlength=len(keys))
                 below = 64 - bucket_bits if order == 1 else min(64 - bucket_bits, KEY_BITS)
@@ -230,7 +231,7 @@ def _answered(rows: pa.Table) -> pa.Table:
     data = [_zip(answer[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     slice_ = [*rows["slice"].to_pylist(), -1]
     n, empty = len(slice_), pa.array([0] * (len(slice_) + 1), pa.int32())
-    columns = {"slice": pa.array(slice_, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "keys": pa.nulls(n, pa.binary()), "data": pa.array([*data, None], pa.binary()), "n": pa.nulls(n, pa.list_(pa.int64()))}
+    columns = {"slice": pa.array(slice_, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "keys": pa.array([*rows["keys"].to_pylist(), None] if kind == 1 else [None] * n, pa.binary()), "data": pa.array([*data, None], pa.binary()), "n": pa.nulls(n, pa.list_(pa.int64()))}
     columns |= {"total": pa.array([0] * (n - 1) + [int(sums.sum())], pa.int64()), "distinct": pa.array([0] * (n - 1) + [int(known.sum())], pa.int64())}
     lists = {name: pa.ListArray.from_arrays(empty, rows[name].combine_chunks().values[:0] if rows[name].num_chunks else pa.array([], rows.schema.field(name).type.value_type)) for name in ("ids", "held")}
     return pa.table(columns | lists)
@@ -271,7 +272,7 @@ def score_where(docs: DataFrame, train: Column, bucket_bits: int | None = None,
         rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         of = rows["kind"].to_numpy()
         lengths = np.array(rows["n"][0].as_py(), np.int64)
-        words = _unpack(rows["keys"][0].as_py())[_unzip(rows["data"][0].as_py()).astype(np.int64)]
+        words = np.concatenate([_unpack(k.as_py()) for k in rows["keys"] if k.is_valid])[_unzip(rows["data"][0].as_py()).astype(np.int64)]
         grams, data = Grams(words, lengths, bucket_bits), rows["data"].to_pylist()
         counts, pairs, triples = (np.concatenate([_unzip(data[r]) for r in np.flatnonzero(of == k).tolist()]).astype(np.int64)[grams.places[k - 1]] for k in (1, 2, 3))
         base, smooth = chances(counts, pairs, triples, grams.starts, total, distinct)

@@ -126,7 +126,7 @@ def test_lm_scores_are_those_of_exact_counts(spark, small):
     exact = 0
     for r, w in zip(got, want, strict=True):
         assert r["base_score"] == pytest.approx(w[4], rel=1e-9)
-        # A false level (a chance of under 0.4 % an absent pair or triple) changes a token's chance, mostly upwards.
+        # A false level (a chance of under 1 % an absent pair or triple) changes a token's chance, mostly upwards.
         assert r["score"] == pytest.approx(w[5], abs=0.02 * r["n_tokens"] + 2.5)
         exact += math.isclose(r["score"], w[5], rel_tol=1e-9)
     assert exact > len(got) / 3
