@@ -121,26 +121,39 @@ def priced(sums: DataFrame, rates: DataFrame) -> DataFrame:
     )
 
 
-def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in TOKENS]
+def _counted(rows: DataFrame, keys: list[str], session: list[str]) -> DataFrame:
+    """One pass over rows: sums by (keys, model), and one row for each distinct (keys, session) with `is_session` set. Both
+    come from the same grouping sets, so that the ledger is read and shuffled once."""
+    sums = [F.sum(c).alias(c) for c in (*TOKENS, "api_calls", "reasoning_tokens")]
+    sets = rows.select(*keys, *session, "model", *TOKENS, "api_calls", "reasoning_tokens").groupingSets([[*keys, "model"], [*keys, *session]], *keys, "model", *session)
+    return sets.agg(F.grouping("model").cast("boolean").alias("is_session"), *sums)
+
+
+def _priced_once(counted: DataFrame, rates: DataFrame, session: list[str]) -> DataFrame:
+    """`priced` rows of the sums; rows of sessions add nothing but one to `convs`, where no part of the session is null."""
+    known = F.lit(True)
+    for c in session:
+        known = known & F.col(c).isNotNull()
+    own = lambda c: F.when(~F.col("is_session"), F.col(c)).alias(c)
+    kept = [c for c in counted.columns if c not in (*TOKENS, "api_calls", "reasoning_tokens", "model", *session)]
+    rows = counted.select(*kept, own("model"), *map(own, (*TOKENS, "api_calls", "reasoning_tokens")), F.when(F.col("is_session") & known, 1).otherwise(0).alias("convs"))
+    return priced(rows, rates)
 
 
 def summary(ledger: DataFrame, rates: DataFrame, filters: Filters = Filters(), tz: str = "UTC") -> DataFrame:
     """One row for the window."""
-    rows = filters.apply(ledger)
-    sums = rows.groupBy(bucket(F.col("timestamp"), tz).alias("day"), "model").agg(*_sums(), F.sum("api_calls").alias("requests"))
+    session = ["source", "session_id"]
     names = lambda flag: F.array_sort(F.collect_set(F.when(F.col(flag), F.col("model"))))
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    head = priced(sums, rates).agg(
+    head = _priced_once(_counted(filters.apply(ledger), [], session), rates, session).agg(
         zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), zero("cache_read_tokens").alias("cache_read_tokens"),
-        zero(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), zero("requests").alias("requests"),
+        zero(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), zero("api_calls").alias("requests"),
         F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"), zero("priced_tokens").alias("priced_tokens"), zero("unattributed_tokens").alias("unattributed_tokens"),
-        names("unpriced").alias("unpriced_models"), names("cache_estimated").alias("cache_estimated_models"),
+        names("unpriced").alias("unpriced_models"), names("cache_estimated").alias("cache_estimated_models"), zero("convs").alias("convs"),
     )
-    convs = rows.agg(F.count_distinct("source", "session_id").alias("convs"))
     total = F.col("input_tokens") + F.col("output_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
     paid = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
-    return head.join(F.broadcast(convs)).select(  # two rows of one
+    return head.select(
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", total.alias("total_tokens"), "requests",
         F.when((F.col("priced_tokens") > 0) | (total == 0), F.col("cost")).alias("cost"), (F.size("unpriced_models") > 0).alias("has_unpriced"), "unattributed_tokens",
         "unpriced_models", "cache_estimated_models", F.when(paid > 0, F.col("cache_read_tokens") / paid).otherwise(0.0).alias("cache_hit_rate"), "convs",
@@ -150,31 +163,26 @@ def summary(ledger: DataFrame, rates: DataFrame, filters: Filters = Filters(), t
 def series(ledger: DataFrame, rates: DataFrame, filters: Filters = Filters(), hourly: bool = False, tz: str = "UTC") -> DataFrame:
     """One row for each (bucket, source): tokens by model, cost (never null), flags, reasoning, sessions."""
     rows = filters.apply(ledger).withColumn("bucket", bucket(F.col("timestamp"), tz, hourly))
-    sums = rows.groupBy("bucket", "source", "model").agg(*_sums(), F.sum("reasoning_tokens").alias("reasoning"))
     by_model = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("model").isNotNull() & (F.col("tokens") > 0), F.struct("model", "tokens")))))
-    points = priced(sums, rates).withColumn("tokens", total_tokens()).groupBy("bucket", "source").agg(
-        by_model.alias("by_model"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.bool_or("unpriced").alias("has_unpriced"), F.bool_or("cache_estimated").alias("cache_estimated"),
-        F.sum("unattributed_tokens").alias("unattributed_tokens"), *[F.sum(c).alias(c) for c in TOKENS], F.sum("reasoning").alias("reasoning"),
+    points = _priced_once(_counted(rows, ["bucket", "source"], ["session_id"]), rates, ["session_id"])
+    return points.withColumn("tokens", total_tokens()).groupBy("bucket", "source").agg(
+        by_model.alias("by_model"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), F.coalesce(F.bool_or("unpriced"), F.lit(False)).alias("has_unpriced"), F.bool_or("cache_estimated").alias("cache_estimated"),
+        F.sum("unattributed_tokens").alias("unattributed_tokens"), *[F.sum(c).alias(c) for c in TOKENS], F.sum("reasoning_tokens").alias("reasoning"), F.sum("convs").cast("long").alias("convs"),
     )
-    convs = rows.groupBy("bucket", "source").agg(F.count_distinct("session_id").alias("convs"))
-    return points.join(convs, ["bucket", "source"])
 
 
 def breakdown(ledger: DataFrame, rates: DataFrame, by: str, filters: Filters = Filters(), tz: str = "UTC") -> DataFrame:
     """by: model (split by source), project or tool. A missing model keeps its row; a missing project is 'unknown'."""
     key = {"model": F.col("model"), "project": F.coalesce("project", F.lit("unknown")), "tool": F.col("source")}[by]
     of = F.col("source") if by == "model" else F.lit(None).cast("string")
-    rows = filters.apply(ledger).select(key.alias("key"), of.alias("of"), "model", "session_id", bucket(F.col("timestamp"), tz).alias("day"), *TOKENS, "api_calls", "reasoning_tokens")
-    sums = rows.groupBy("key", "of", "model", "day").agg(*_sums(), F.sum("api_calls").alias("requests"), F.sum("reasoning_tokens").alias("reasoning"))
-    out = priced(sums, rates).groupBy("key", "of").agg(
+    rows = filters.apply(ledger).select(key.alias("key"), of.alias("of"), "model", "session_id", *TOKENS, "api_calls", "reasoning_tokens")
+    out = _priced_once(_counted(rows, ["key", "of"], ["session_id"]), rates, ["session_id"]).groupBy("key", "of").agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cache_read_tokens").alias("cache_read_tokens"),
-        F.sum(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), F.sum(total_tokens()).alias("total_tokens"), F.sum("requests").alias("requests"),
-        F.when(F.sum("priced_tokens") > 0, F.sum("cost")).alias("cost"), F.sum("reasoning").alias("reasoning_tokens"), F.bool_or("cache_estimated").alias("cache_estimated"),
-        F.bool_or("unpriced").alias("has_unpriced"), F.sum("unattributed_tokens").alias("unattributed_tokens"),
+        F.sum(F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("cache_write_tokens"), F.sum(total_tokens()).alias("total_tokens"), F.sum("api_calls").alias("requests"),
+        F.when(F.sum("priced_tokens") > 0, F.sum("cost")).alias("cost"), F.sum("reasoning_tokens").alias("reasoning_tokens"), F.bool_or("cache_estimated").alias("cache_estimated"),
+        F.coalesce(F.bool_or("unpriced"), F.lit(False)).alias("has_unpriced"), F.sum("unattributed_tokens").alias("unattributed_tokens"), F.sum("convs").cast("long").alias("convs"),
     )
-    convs = rows.groupBy("key", "of").agg(F.count_distinct("session_id").alias("convs")).select(F.col("key").alias("k"), F.col("of").alias("o"), "convs")
-    joined = out.join(convs, F.col("key").eqNullSafe(F.col("k")) & F.col("of").eqNullSafe(F.col("o"))).drop("k", "o")
-    return joined.withColumnRenamed("of", "source")
+    return out.withColumnRenamed("of", "source")
 
 
 def displayed_models(ledger: DataFrame, rates: DataFrame, overrides: DataFrame) -> DataFrame:
