@@ -264,7 +264,9 @@ def score_where(docs: DataFrame, train: Column, bucket_bits: int | None = None,
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bucket_bits = max(4, (size // BUCKET_BYTES).bit_length())
     cut = slices(docs.select("doc_id", "held_out", train.alias("train"), "text"), bucket_bits, slice_tokens)
-    answers = materialize(cut.groupBy("kind", "bucket").applyInArrow(_answered, _schema_of("answers", kind)), "lm-answers")
+    # As many partitions as the text needs, however many the session has set.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bucket_bits)
+    answers = materialize(cut.repartition(parts, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answered, _schema_of("answers", kind)), "lm-answers")
     totals = answers.filter("slice = -1 and kind = 1").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = totals[0] or 0, totals[1] or 0
 
@@ -281,7 +283,7 @@ def score_where(docs: DataFrame, train: Column, bucket_bits: int | None = None,
         return pa.table([ids, held, pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), total, np.int64)), pa.array(base), pa.array(smooth)], names=_OUT)
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.filter("slice >= 0").groupBy("slice").applyInArrow(scored, schema)
+    return answers.filter("slice >= 0").repartition(parts, "slice").groupBy("slice").applyInArrow(scored, schema)
 
 
 def score(docs: DataFrame, train: DataFrame, **how) -> DataFrame:
