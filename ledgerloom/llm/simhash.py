@@ -218,6 +218,8 @@ def links(nodes: DataFrame, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) ->
         found = materialize(found.mapInArrow(lambda it: _link_cells(it, bits, cell_rows), "u long, v long, cell long, fp long"), "links")
         return found.filter("v is not null").select("u", "v"), found.filter("v is null").select("cell", "fp", F.col("u").alias("node"))
 
+    # Few bytes, but each row becomes some fifty: dealt out again before that.
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     edges, crowded = linked(nodes.select(F.explode(cells(sorted_segments(F.col("fp")))).alias("cell"), "fp", "node"))
     if crowded.isEmpty():
         return edges
