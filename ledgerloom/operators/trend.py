@@ -81,6 +81,11 @@ def trend(rows: DataFrame, unit: str, fill: bool = True) -> DataFrame:
     return grid.join(sums, ["bucket", "source"], "left").select("bucket", "source", F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
+def trend_points(rows: DataFrame, unit: str) -> DataFrame:
+    """Points in coarser buckets."""
+    return rows.groupBy(coarser(F.col("bucket"), unit).alias("bucket"), "source", "model").agg(F.sum("tokens").alias("tokens"))
+
+
 def heat_levels(days: DataFrame) -> DataFrame:
     """days(day, tokens) -> with level 1 to 4 by the rank's quartile among active days; 0 without tokens."""
     active = W.Window.partitionBy(F.col("tokens") > 0)

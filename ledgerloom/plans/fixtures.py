@@ -37,7 +37,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("o_orderpriority").alias("source"),
         _epoch("l_shipdate").alias("timestamp"),
         F.when(F.col("p_size") != 1, F.col("p_brand")).alias("model"),
-        F.when(F.col("n_name") != "FRANCE", F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))).alias("project"),
+        F.when(F.col("n_name") != "NATION_7", F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))).alias("project"),
         long(num % 3 + 1).alias("api_calls"),
         long(F.floor(F.col("l_quantity") * 100)).alias("input_tokens"),
         long(F.floor(F.col("l_extendedprice") / 100)).alias("output_tokens"),
@@ -55,7 +55,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 USAGE_SQL = """usage AS (
   SELECT l_orderkey::VARCHAR || ':' || l_linenumber::VARCHAR AS dedup_key, lower(o_orderpriority) AS source,
     epoch_us(l_shipdate) // 1000000 AS timestamp, CASE WHEN p_size <> 1 THEN p_brand END AS model,
-    CASE WHEN n_name <> 'FRANCE' THEN '/' || r_name || '/' || n_name END AS project, (l_linenumber % 3 + 1)::BIGINT AS api_calls,
+    CASE WHEN n_name <> 'NATION_7' THEN '/' || r_name || '/' || n_name END AS project, (l_linenumber % 3 + 1)::BIGINT AS api_calls,
     floor(l_quantity * 100)::BIGINT AS input_tokens, floor(l_extendedprice / 100)::BIGINT AS output_tokens,
     round(l_discount * 1000)::BIGINT AS cache_read_tokens, round(l_tax * 1000)::BIGINT AS cache_write_5m_tokens, (l_linenumber % 3)::BIGINT AS cache_write_1h_tokens,
     l_linestatus || '/' || l_suppkey::VARCHAR AS source_file,
