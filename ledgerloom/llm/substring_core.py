@@ -73,23 +73,26 @@ def window_runs(data: bytes, ends: np.ndarray, width: int, gram: int) -> tuple[n
 
 
 def sorted_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of equally long byte strings, rows(n, 8k) of uint8: eight bytes make a key, and only rows
-    that are equal so far are sorted by the next. Returns the order and, along it, the number of each distinct row."""
+    """Multikey quicksort of equally long byte strings, rows(n, 8k) of uint8, eight bytes to a key. All open groups are cut at
+    once: each by its middle row's key into smaller, equal and greater ones, of which only the equal ones go on to the next
+    key. Returns the order and, along it, the number of each distinct row (its group's first place)."""
     n = len(rows)
-    words = np.ascontiguousarray(rows).view(">u8")
+    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64)
     order, group = np.arange(n), np.zeros(n, np.int64)
-    open_ = np.arange(n)  # places of the order that are not yet settled
-    for k in range(words.shape[1]):
-        if len(open_) < 2:
-            break
-        key = words[order[open_], k].astype(np.uint64)
-        by = np.lexsort((key, group[open_]))
-        order[open_] = order[open_][by]
-        key = key[by]
-        g = group[open_]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (g[1:] != g[:-1])))
-        starts = open_[new]
-        group[open_] = starts[np.cumsum(new) - 1]  # a group is called by its first place
-        size = np.diff(np.concatenate((np.flatnonzero(new), [len(open_)])))
-        open_ = open_[np.repeat(size > 1, size)]
+    places, depth = np.arange(n), np.zeros(n, np.int64)  # places of the order that are not settled, and their groups' key
+    while len(places) > 1:
+        of = group[places]
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        size = np.diff(np.concatenate((starts, [len(places)])))
+        key = words[order[places], depth]
+        pivot = np.repeat(key[starts + size // 2], size)
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        number = np.repeat(np.arange(len(starts)) * 3, size) + side
+        by = np.argsort(number, kind="stable")
+        order[places], number, depth = order[places][by], number[by], (depth + (side == 1))[by]
+        first = np.concatenate(([True], number[1:] != number[:-1]))
+        group[places] = places[np.flatnonzero(first)][np.cumsum(first) - 1]
+        size = np.diff(np.concatenate((np.flatnonzero(first), [len(places)])))
+        open_ = np.repeat(size > 1, size) & (depth < words.shape[1])
+        places, depth = places[open_], depth[open_]
     return order, group

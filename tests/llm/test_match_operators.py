@@ -88,6 +88,29 @@ def test_repeated_substrings(spark, monkeypatch, runs_in_a_group):
     assert got == Counter(repeats_brute(rows, 24))
 
 
+def test_sorted_order_is_that_of_bytes():
+    from ledgerloom.llm.substring_core import sorted_order
+
+    rng = np.random.default_rng(3)
+    for letters, n in ((2, 700), (256, 300), (1, 40)):
+        rows = rng.integers(0, letters, (n, 24), dtype=np.uint8)
+        rows[n // 2 :] = rows[rng.integers(0, n // 2 + 1, n - n // 2)]
+        order, group = sorted_order(rows)
+        texts = [bytes(rows[i]) for i in order]
+        assert texts == sorted(map(bytes, rows)) and sorted(order.tolist()) == list(range(n))
+        assert all((group[i] == group[i + 1]) == (texts[i] == texts[i + 1]) for i in range(n - 1))
+
+
+def test_a_passage_in_many_documents_makes_no_large_group(spark, monkeypatch):
+    """One passage between different texts: its windows are counted, not gathered; nothing else is removed."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60)) + passage + "".join(rng.choice("abcdefgh ") for _ in range(60))) for i in range(3000)]
+    monkeypatch.setattr(substring_dedup, "GROUP_RUNS", 64)
+    got = rows_of(substring_dedup.remove_repeats(frame(spark, rows), width=40, gram=16))
+    assert Counter((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in got) == Counter((i, n, kept) for i, _, n, _, kept in repeats_brute(rows, 40))
+
+
 def test_repeated_substrings_of_documents(spark, small):
     rows = sorted(documents(spark, small), key=lambda r: len(r[1] or ""))[:150]
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows_of(substring_dedup.remove_repeats(frame(spark, rows))))
