@@ -38,7 +38,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame from `materialize` that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import forget, materialize
 
 
 def _clean(edges: DataFrame) -> DataFrame:
@@ -19,15 +19,17 @@ def _clean(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    return _clean(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    out = materialize(_clean(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
+    forget(low)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     hung = edges.join(low, "u")
-    return _clean(
-        hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-    )
+    out = materialize(_clean(hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), "edges")
+    forget(low)
+    return out
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +38,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
     now, seen = materialize(_clean(edges), "edges"), None
     for _ in range(max_rounds):
-        now = materialize(_small_star(materialize(_large_star(now), "edges")), "edges")
+        before, large = now, _large_star(now)
+        now = _small_star(large)
+        forget(before)
+        forget(large)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -252,14 +252,16 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, cell_r
     """Of each component the row with the smallest doc_id stays (of rows that share it, the one whose text has the
     smallest digest, of equal rows any). Rows with a null doc_id, which nothing can be said to repeat, stay. The columns
     are those of docs."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_or_empty().alias("text"))
-    prints = fingerprints(row.select(F.struct("row").alias("doc_id"), "text"), width).select("doc_id.row", "fp")
-    prints = materialize(prints.select("row", "row.doc_id", "fp", F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("digest")), "fingerprints")
+    digest = F.xxhash64(text_or_empty())
+    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    prints = materialize(fingerprints(keyed, width).select("doc_id.doc_id", "doc_id.digest", "fp"), "fingerprints")
     named = _named(prints.select("doc_id", "fp"), bits, cell_rows).select("fp", "root")
-    best = prints.filter("doc_id is not null").select("fp", "doc_id", "digest").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
-    best = best.select(F.col("root").alias("r"), F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g"))
-    kept = prints.join(named, "fp").join(best, (F.col("root") == F.col("r")) & (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")))
-    return kept.select("row", "root").dropDuplicates(["root"]).select("row").unionByName(prints.filter("doc_id is null").select("row")).select("row.*")
+    best = prints.filter("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
+    best = materialize(best.select(F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g")), "kept")
+    # Whole rows are shuffled once: equal rows meet where they are kept.
+    rows = docs.filter("doc_id is not null").select(F.struct(*docs.columns).alias("row"), "doc_id", digest.alias("digest"))
+    kept = rows.join(best, (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
