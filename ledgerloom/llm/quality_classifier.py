@@ -2,7 +2,7 @@
 
 Every whole text is turned once into a row of statistics (never its labels, language, source or id). Random cosines
 of the standardised statistics approximate a Gaussian kernel; each partition sums its normal equations, the sums
-are added up in two rounds by key, and a system of a fixed size is solved on the driver. Training rows are cut in
+are added up in a tree whose groups don't grow, and a system of a fixed size is solved on the driver. Training rows are cut in
 folds whose sums are kept apart, so that each row's raw score for the calibration comes from the other folds; the
 calibration pools adjacent violators over a histogram of a fixed number of bins.
 
@@ -30,8 +30,8 @@ CLIP = 6.0
 #: Bins of raw scores for the calibration, over this range.
 BINS, LOW, HIGH = 1024, -0.5, 1.5
 THRESHOLD = 0.7
-#: Keys over which partial sums are spread before the last sum.
-SPREAD = 16
+#: Partial sums that are added up in one group.
+FAN_IN = 32
 
 _COMMON = frozenset(w.encode() for w in FUNCTION_WORDS)
 _CLASSES = np.zeros((8, 256))
@@ -94,13 +94,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
-    return pd.DataFrame({"fold": rows["fold"].iloc[:1], "spread": rows["spread"].iloc[:1] * 0, "sums": [total.tobytes()]})
+    total = np.zeros(len(rows["sums"].iloc[0]) // 8)
+    for part in rows["sums"]:
+        total += np.frombuffer(part)
+    return pd.DataFrame({"fold": rows["fold"].iloc[:1], "number": rows["number"].iloc[:1] // FAN_IN, "sums": [total.tobytes()]})
 
 
 def normal_equations(train: DataFrame, kernel: Kernel) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """fold -> (ZtZ, Zty, rows) of train(fold, stats, y)."""
-    size, schema = FEATURES + 1, "fold int, spread int, sums binary"
+    size, schema = FEATURES + 1, "fold int, number int, sums binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -112,11 +114,16 @@ def normal_equations(train: DataFrame, kernel: Kernel) -> dict[int, tuple[np.nda
                 zf, yf = z[fold == f], y[fold == f]
                 sums[f] = sums.get(f, 0) + np.concatenate(((zf.T @ zf).ravel(), zf.T @ yf, [len(yf)]))
         if sums:
-            key = TaskContext.get().partitionId() % SPREAD
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([key] * len(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "spread", "sums"])
-
-    partial = train.select("fold", "stats", F.col("y").cast("double")).mapInArrow(run, schema)
-    last = partial.groupBy("fold", "spread").applyInPandas(_added, schema).groupBy("fold").applyInPandas(_added, schema)
+            number = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([number] * len(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["fold", "number", "sums"])
+
+    last = train.select("fold", "stats", F.col("y").cast("double")).mapInArrow(run, schema)
+    left = train.rdd.getNumPartitions()
+    while True:
+        last = last.groupBy("fold", F.floor(F.col("number") / FAN_IN)).applyInPandas(_added, schema)
+        left = -(-left // FAN_IN)
+        if left <= 1:
+            break
     out = {}
     for row in last.collect():  # a matrix of a fixed size for each fold
         s = np.frombuffer(row.sums)
