@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACE, documents, materialize, text_or_empty
+from ledgerloom.llm.common import SPACE, documents, materialize, text_or_empty, whole_row
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -162,7 +162,7 @@ def judge(docs: DataFrame, carried: Column | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that `judge` keeps, with their columns; each row carries its votes, so texts are not shuffled."""
-    return judge(docs, F.struct(*docs.columns)).filter("kept").select("doc_id.*")
+    return judge(docs, whole_row(docs)).filter("kept").select("doc_id.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents, materialize, text_or_empty
+from ledgerloom.llm.common import documents, materialize, text_or_empty, whole_row
 from ledgerloom.llm.components import components
 
 SEED = 42
@@ -259,7 +259,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, cell_r
     best = prints.filter("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
     best = materialize(best.select(F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g")), "kept")
     # Whole rows are shuffled once: equal rows meet where they are kept.
-    rows = docs.filter("doc_id is not null").select(F.struct(*docs.columns).alias("row"), "doc_id", digest.alias("digest"))
+    rows = docs.filter("doc_id is not null").select(whole_row(docs).alias("row"), "doc_id", digest.alias("digest"))
     kept = rows.join(best, (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
     return kept.unionByName(docs.filter("doc_id is null"))
 

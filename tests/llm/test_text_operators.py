@@ -52,9 +52,37 @@ def test_window_entropy_is_that_of_counting_anew(spark):
 
 
 def test_entropy_finds_random_strings_and_leaves_words(spark):
-    rows = [(1, "key 7fK2pQ9xLm4RtZ8vWb3NcY6dHs1J here"), (2, "see internationalization_of_documents_2024 there"), (3, "4f9a0c7be2d81365 is short"), (4, "EXAMPLE7fK2pQ9xLm4RtZ8vWb3NcY")]
+    rows = [(1, "key 7fK2pQ9xLm4RtZ8vWb3NcY6dHs1J here"), (2, "see internationalization_of_documents_2024 there"), (3, "4f9a0c7be2d81365 is short"), (4, "EXAMPLE7fK2pQ9xLm4RtZ8vWb3NcY"), (5, "latest-9fK2mQ7xT4vB8nL1pZ6wR3yC5d"), (6, "/example-org/9fK2mQ7xT4vB8nL1pZ6wR3yC5d"), (7, "token=abc123xyz/9fK2mQ7xT4vB8nL1pZ6wR3yC5d"), (8, "password: hunter22, 9fK2mQ7xT4vB8nL1pZ6wR3yC5d")]
     got = {r["doc_id"]: len(r["spans"]) for r in rows_of(secret_scan.scan(frame(spark, rows)))}
-    assert got == {1: 1, 2: 0, 3: 0, 4: 0}
+    assert got == {1: 1, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 2}
+
+
+def test_planted_keys_are_found_and_names_are_left(spark):
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(6)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    keys = [key(string.ascii_letters + string.digits, rng.randrange(28, 60)) for _ in range(150)] + [key(string.ascii_uppercase + string.digits, 40) for _ in range(50)] + [key("0123456789ABCDEF", 40) for _ in range(50)]
+    word = lambda: rng.choice("alpha beta gamma request handler service controller index module value".split())
+    names = [rng.choice("_-/").join(word() for _ in range(rng.randrange(4, 8))) + str(rng.randrange(3000)) for _ in range(150)] + [str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(50)] + ["2024-01-02-13-45-59-000123", "1234567890123456789012", "a" * 40 + "1"]
+    rows = [(i, f"some text {x} and more") for i, x in enumerate(keys + names)]
+    hit = {r["doc_id"] for r in rows_of(secret_scan.scan(frame(spark, rows))) if any(x["kind"] == 3 for x in r["spans"])}
+    assert sum(i in hit for i in range(len(keys))) >= 0.95 * len(keys)
+    assert sum(i in hit for i in range(len(keys), len(rows))) <= 0.02 * len(names)
+
+
+def test_many_matches_of_one_text_have_their_places(spark):
+    text = " é ".join(f"token=abcdef{i}" for i in range(1500))
+    got = rows_of(secret_scan.scan(frame(spark, [(1, text)])))[0]["base"]
+    assert [(x["start"], x["kind"], x["end"]) for x in got] == base_spans(text)
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef123", 7, "s", "h")], "doc_id long, text string, __secrets int, `a.b` string, hits string")
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and rows_of(out) == [{"doc_id": 1, "text": "[secret]", "__secrets": 7, "a.b": "s", "hits": "h"}]
 
 
 def test_redaction(spark):
@@ -251,6 +279,48 @@ def test_classifier_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
 
 
+def test_normal_equations_and_ridge_are_those_of_one_matrix(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quality_classifier, "FAN_IN", 2)
+    rng = np.random.default_rng(4)
+    width = len(quality_classifier.STATISTICS)
+    x, y, fold = rng.normal(size=(300, width)), rng.integers(0, 2, 300), rng.integers(0, 3, 300)
+    train = spark.createDataFrame([(int(f), a.tolist(), float(b)) for f, a, b in zip(fold, x, y, strict=True)], "fold int, stats array<double>, y double").repartition(7)
+    kernel = quality_classifier.Kernel(x.mean(axis=0), x.std(axis=0))
+    z = kernel(x)
+    got = quality_classifier.normal_equations(train, kernel)
+    for f in range(3):
+        zf, yf = z[fold == f], y[fold == f]
+        assert np.allclose(got[f][0], zf.T @ zf) and np.allclose(got[f][1], zf.T @ yf) and got[f][2] == len(yf)
+    penalty = np.diag([quality_classifier.RIDGE * 300] * quality_classifier.FEATURES + [1e-9 * 300])
+    assert np.allclose(quality_classifier.solve(list(got.values())), np.linalg.inv(z.T @ z + penalty) @ (z.T @ y), atol=1e-6)
+
+
+def test_random_features_are_near_the_gaussian_kernel():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, len(quality_classifier.STATISTICS))) * 0.5
+    kernel = quality_classifier.Kernel(np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    z = kernel(x)[:, :-1]
+    apart = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert np.abs(z @ z.T - np.exp(-(quality_classifier.WIDTH**2) * apart / 2)).mean() < 0.08
+
+
+def test_isotonic_is_the_least_squares_fit():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n = int(rng.integers(1, 30))
+        x, y, w = np.arange(n) + 0.5, rng.random(n), rng.integers(1, 9, n).astype(float)
+        mean = lambda a, b: (y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum()  # noqa: B023, E731
+        want = [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        knots, values = quality_classifier.isotonic(x, y, w)
+        assert sorted({round(v, 9) for v in values}) == sorted({round(v, 9) for v in want}) and (np.diff(knots) > 0).all()
+
+
 def test_classifier_on_awkward_rows(spark):
     from pyspark.sql import functions as F
 
