@@ -31,9 +31,11 @@ WALKED = "source string, window_key string, account_id string, plan string, mete
 
 def displayed_windows(readings: DataFrame) -> DataFrame:
     """(source, window_key, window_minutes, used_pct, resets_at, observed_at): the newest epoch of each window."""
+    each = ("window_minutes", "used_pct", "observed_at")
+    epochs = readings.groupBy("source", "window_key", "resets_at").agg(*[F.max(c).alias(c) for c in each])  # a row an epoch
     newest = F.max("resets_at").over(W.Window.partitionBy("source", "window_key"))
-    rows = readings.withColumn("newest", newest).filter(F.col("resets_at") >= F.col("newest") - JITTER)
-    return rows.groupBy("source", "window_key").agg(*[F.max(c).alias(c) for c in ("window_minutes", "used_pct", "resets_at", "observed_at")])
+    rows = epochs.withColumn("newest", newest).filter(F.col("resets_at") >= F.col("newest") - JITTER)
+    return rows.groupBy("source", "window_key").agg(*[F.max(c).alias(c) for c in (*each, "resets_at")])
 
 
 def plan_of(readings: DataFrame) -> DataFrame:
@@ -113,7 +115,8 @@ class _Limit:
 
 def walk(readings: DataFrame) -> DataFrame:
     """Candidate intervals (reason null) and refusals (reason, n) of every limit. Readings of an instant keep the order of
-    (resets_at, source_order)."""
+    (resets_at, source_order). A percent that is no number is an error; a scope that is neither 'all' nor a list of models
+    counts as missing. Readings that only repeat the one before are dropped before the walk, which they don't change."""
     fields = ["source", "window_key", "window_minutes", "used_pct", "resets_at", "observed_at", "account_id", "plan", "metering_regime", "limit_id", "model_scope", "covered_from", "external_activity"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,9 +136,17 @@ def walk(readings: DataFrame) -> DataFrame:
         if limit and limit.refused:
             yield shaped(limit.refusals())
 
-    usable = readings.filter(~F.isnan("used_pct")).select(*fields, F.coalesce("source_order", F.lit(0)).alias("source_order"))
-    dealt = usable.repartition("source", "window_key").sortWithinPartitions("source", "window_key", "observed_at", "resets_at", "source_order", "used_pct")
-    return dealt.mapInPandas(run, WALKED)
+    whole = F.when(F.isnan("used_pct") | (F.abs("used_pct") == float("inf")), F.raise_error(F.lit("a limit reading's percent is no number"))).otherwise(F.col("used_pct"))
+    models = F.from_json("model_scope", "array<string>")
+    scope = F.when((F.col("model_scope") == "all") | (F.size(models) > 0) & ~F.exists(models, lambda m: m.isNull()), F.col("model_scope"))
+    usable = readings.withColumn("used_pct", whole).withColumn("model_scope", scope).select(*fields, F.coalesce("source_order", F.lit(0)).alias("source_order"))
+    one = W.Window.partitionBy("source", "window_key").orderBy("observed_at", "resets_at", "source_order", "used_pct")
+    told = F.struct("account_id", "plan", "metering_regime", "limit_id", "model_scope", "resets_at", F.floor(F.least(F.greatest(F.col("used_pct"), F.lit(0.0)), F.lit(100.0)) + 0.5).alias("pct"))
+    plain = F.col("external_activity").isNull()
+    for c in ("account_id", "plan", "metering_regime", "limit_id", "model_scope"):
+        plain = plain & F.col(c).isNotNull()
+    seen = usable.withColumn("repeats", plain & F.coalesce(F.lag(told).over(one) == told, F.lit(False)))
+    return seen.filter("not repeats").sortWithinPartitions("source", "window_key", "observed_at", "resets_at", "source_order", "used_pct").mapInPandas(run, WALKED)
 
 
 def with_usage(candidates: DataFrame, usage: DataFrame) -> DataFrame:

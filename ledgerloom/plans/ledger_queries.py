@@ -118,38 +118,43 @@ DISPLAYED_SQL = f"""WITH {READINGS_SQL}, n AS (SELECT *, max(resets_at) OVER (PA
   SELECT *, 100 - used AS left, CASE WHEN 100 - used > 50 THEN 'ok' WHEN 100 - used > 20 THEN 'low' ELSE 'dry' END AS tone FROM (SELECT *, CASE WHEN resets_at <= 1706500000 THEN 0 ELSE floor(used_pct + 0.5) END::BIGINT AS used FROM d)"""
 
 
-def _proven(spark: SparkSession, sf: str) -> DataFrame:
-    """One reading for each second and source, so that an interval's ends are what their time says."""
-    rows = fixtures.readings(spark, sf).filter("account_id is not null")
-    return rows.withColumn("rn", F.row_number().over(W.Window.partitionBy("source", "observed_at").orderBy(F.desc("used_pct"), "source_order"))).filter("rn = 1").drop("rn")
+#: The instant at which limits are estimated: 2024-01-28, 11:06 UTC.
+EVALUATED = 1706440000
 
 
 def limit_usage(readings: DataFrame) -> DataFrame:
-    """Records at the readings' seconds: 1000 tokens for each percent since the reading before, on odd days of clicks twice that."""
-    before = F.lag("used_pct", 1, 0.0).over(W.Window.partitionBy("source", "resets_at").orderBy("observed_at"))
+    """Records at the seconds of readings with an account: 1000 tokens for each percent since the reading before, on odd days
+    of clicks twice that."""
+    rows = readings.filter("account_id is not null")
+    before = F.lag("used_pct", 1, 0.0).over(W.Window.partitionBy("source", "resets_at").orderBy("observed_at", "source_order"))
     rate = F.when((F.col("source") == "click") & (F.floor(F.col("resets_at") / 86400) % 2 == 1), 2000).otherwise(1000)
-    return readings.select("source", F.lit(None).cast("string").alias("account_id"), F.col("observed_at").alias("timestamp"), F.lit("m1").alias("model"), (rate * (F.col("used_pct") - before)).cast("long").alias("tokens"))
+    return rows.select("source", F.lit(None).cast("string").alias("account_id"), F.col("observed_at").alias("timestamp"), F.lit("m1").alias("model"), (rate * (F.col("used_pct") - before)).cast("long").alias("tokens"))
 
 
-_LIMIT_USAGE_SQL = f"""{READINGS_SQL}, pr AS (SELECT * FROM readings WHERE account_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, observed_at ORDER BY used_pct DESC, source_order) = 1),
-  lu AS (SELECT source, observed_at AS timestamp, (CASE WHEN source = 'click' AND (resets_at // 86400) % 2 = 1 THEN 2000 ELSE 1000 END * (used_pct - lag(used_pct, 1, 0.0) OVER (PARTITION BY source, resets_at ORDER BY observed_at)))::BIGINT AS tokens FROM pr),
-  g AS (SELECT *, lag(used_pct) OVER w AS from_pct, lag(observed_at) OVER w AS t0 FROM (SELECT * FROM pr QUALIFY used_pct IS DISTINCT FROM lag(used_pct) OVER (PARTITION BY source, resets_at ORDER BY observed_at)) WINDOW w AS (PARTITION BY source, resets_at ORDER BY observed_at))"""
+_LIMIT_USAGE_SQL = f"""{READINGS_SQL}, pr AS (SELECT * FROM readings WHERE account_id IS NOT NULL),
+  lu AS (SELECT source, observed_at AS timestamp, (CASE WHEN source = 'click' AND (resets_at // 86400) % 2 = 1 THEN 2000 ELSE 1000 END * (used_pct - lag(used_pct, 1, 0.0) OVER (PARTITION BY source, resets_at ORDER BY observed_at, source_order)))::BIGINT AS tokens FROM pr),
+  g AS (SELECT *, lag(used_pct) OVER w AS from_pct, lag(observed_at) OVER w AS t0 FROM (SELECT * FROM pr QUALIFY used_pct IS DISTINCT FROM lag(used_pct) OVER (PARTITION BY source, resets_at ORDER BY observed_at, source_order)) WINDOW w AS (PARTITION BY source, resets_at ORDER BY observed_at, source_order))"""
 
 
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _proven(spark, sf)
+    rows = fixtures.readings(spark, sf)
     return limits.intervals(rows, limit_usage(rows)).select("source", "epoch", "from_pct", "to_pct", "t0", "t1", "tokens", "reason")
 
 
-#: Percents only rise within a day here, so the walk's intervals are pairs of successive different percents.
-INTERVALS_SQL = f"""WITH {_LIMIT_USAGE_SQL}, i AS (SELECT source, resets_at AS epoch, from_pct::BIGINT AS from_pct, used_pct::BIGINT AS to_pct, t0, observed_at AS t1 FROM g WHERE t0 IS NOT NULL AND used_pct < 100)
+#: Percents only rise within a day here, so the walk's intervals are pairs of successive different percents of readings with
+#: an account, but for pairs of one second.
+INTERVALS_SQL = f"""WITH {_LIMIT_USAGE_SQL}, i AS (SELECT source, resets_at AS epoch, from_pct::BIGINT AS from_pct, used_pct::BIGINT AS to_pct, t0, observed_at AS t1 FROM g WHERE t0 IS NOT NULL AND used_pct < 100 AND t0 < observed_at)
   SELECT i.*, coalesce((SELECT sum(tokens)::BIGINT FROM lu WHERE lu.source = i.source AND lu.timestamp > i.t0 AND lu.timestamp <= i.t1), 0)::BIGINT AS tokens,
     CASE WHEN coalesce((SELECT sum(tokens) FROM lu WHERE lu.source = i.source AND lu.timestamp > i.t0 AND lu.timestamp <= i.t1), 0) = 0 THEN 'zero-local-usage' END AS reason FROM i"""
 
 
+def _found_runs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.readings(spark, sf)
+    return limits.runs(limits.intervals(rows, limit_usage(rows)).filter("reason is null"))
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _proven(spark, sf)
-    return limits.runs(limits.intervals(rows, limit_usage(rows)).filter("reason is null")).select("source", "epoch", "t0", "t1", "tokens", "movement", "moves", "qualifies")
+    return _found_runs(spark, sf).select("source", "epoch", "t0", "t1", "tokens", "movement", "moves", "qualifies")
 
 
 RUNS_SQL = f"""WITH iv AS ({INTERVALS_SQL}), f AS (SELECT *, CASE WHEN lag(t1) OVER w = t0 AND lag(to_pct) OVER w = from_pct THEN 0 ELSE 1 END AS fresh FROM iv WHERE reason IS NULL WINDOW w AS (PARTITION BY source, epoch ORDER BY t0)),
@@ -158,17 +163,35 @@ RUNS_SQL = f"""WITH iv AS ({INTERVALS_SQL}), f AS (SELECT *, CASE WHEN lag(t1) O
 
 
 def _estimate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.readings(spark, sf)
-    proven = _proven(spark, sf)
-    found = limits.representatives(limits.runs(limits.intervals(rows, limit_usage(proven)).filter("reason is null")))
-    at = 1706400000
-    return limits.estimates(found, limits.current_readings(rows, at), at)
+    found = limits.representatives(_found_runs(spark, sf))
+    out = limits.estimates(found, limits.current_readings(fixtures.readings(spark, sf), EVALUATED), EVALUATED)
+    return out.select("source", "window_key", "state", "tokens_per_pct", "candidates", "reason", "next_evaluation_at")
+
+
+#: Of an epoch the one qualifying run of greatest movement; the newest five of a week; the one largest agreeing subset.
+ESTIMATE_SQL = f"""WITH r AS ({RUNS_SQL}), q AS (SELECT *, max(movement) OVER (PARTITION BY source, epoch) AS far FROM r WHERE qualifies), p AS (SELECT source, epoch, any_value(tokens) AS tokens, any_value(movement) AS movement FROM q WHERE movement = far GROUP BY source, epoch HAVING count(*) = 1),
+  c AS (SELECT *, tokens / movement AS ratio, tokens / (movement + 1) AS lower, tokens / nullif(movement - 1, 0) AS upper, row_number() OVER (PARTITION BY source ORDER BY epoch DESC) - 1 AS i FROM p WHERE epoch <= {EVALUATED} AND epoch >= {EVALUATED} - 7 * 86400),
+  k AS MATERIALIZED (SELECT * FROM c WHERE i < 5), nn AS (SELECT source, count(*) AS many, max(lower) > min(upper) AS disjoint, min(epoch) AS oldest FROM k GROUP BY source),
+  m AS (SELECT nn.source, b AS mask, bit_count(b::BIGINT)::BIGINT AS size FROM nn, range(1, 32) x(b) WHERE b < (1 << many) AND bit_count(b::BIGINT) >= greatest(3, ceil(0.75 * many))),
+  ok AS (SELECT m.source, m.mask, m.size, median(k.ratio) AS value FROM m JOIN k ON k.source = m.source AND ((m.mask >> k.i) & 1) = 1 GROUP BY ALL HAVING max(ratio) / min(ratio) <= 1.25 AND max(lower) <= min(upper)),
+  best AS (SELECT source, max(size) AS size FROM ok GROUP BY source), core AS (SELECT ok.source, count(*) AS cores, any_value(value) AS value FROM ok JOIN best USING (source, size) GROUP BY ok.source),
+  cur AS (SELECT source, window_key, arg_max(resets_at, (account_id IS NOT NULL, observed_at, resets_at, used_pct)) AS resets_at FROM ({{readings}}) WHERE observed_at <= {EVALUATED} GROUP BY ALL)
+  SELECT cur.source, window_key, CASE WHEN cores = 1 THEN 'ready' WHEN many >= 3 THEN 'unstable' ELSE 'gathering' END AS state, CASE WHEN cores = 1 THEN value END AS tokens_per_pct, coalesce(many, 0)::INT AS candidates,
+    CASE WHEN coalesce(many, 0) < 3 THEN 'insufficient-recent-epochs' WHEN cores = 1 THEN NULL WHEN cores > 1 THEN 'competing-stable-cores' WHEN disjoint THEN 'quantization-ranges-disjoint' ELSE 'ratio-spread-exceeded' END AS reason, least(cur.resets_at, oldest + 7 * 86400 + 1)::BIGINT AS next_evaluation_at
+  FROM cur LEFT JOIN nn USING (source) LEFT JOIN core USING (source)""".replace("{readings}", f"WITH {READINGS_SQL} SELECT * FROM readings")
 
 
 def _walk_refusals(spark: SparkSession, sf: str) -> DataFrame:
     rows = fixtures.readings(spark, sf)
     walked = limits.walk(rows)
-    return limits.rejections(walked, limits.with_usage(walked.filter("reason is null"), limit_usage(_proven(spark, sf))))
+    return limits.rejections(walked, limits.with_usage(walked.filter("reason is null"), limit_usage(rows)))
+
+
+#: A day's first reading ends the stretch of the day before: as a reset, or by its lower percent if it proves nothing.
+REFUSALS_SQL = f"""WITH {_LIMIT_USAGE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source, resets_at ORDER BY observed_at, source_order) AS rn, min(resets_at) OVER (PARTITION BY source) AS first_day FROM readings),
+  x AS (SELECT source, 'missing-account-identity' AS reason FROM readings WHERE account_id IS NULL UNION ALL SELECT source, CASE WHEN account_id IS NULL THEN 'percentage-decrease' ELSE 'reset-boundary' END FROM o WHERE rn = 1 AND resets_at > first_day UNION ALL SELECT source, 'ambiguous-reading-order' FROM g WHERE t0 = observed_at
+    UNION ALL SELECT source, reason FROM ({INTERVALS_SQL}) WHERE reason IS NOT NULL)
+  SELECT source, 'w1440' AS window_key, reason, count(*)::BIGINT AS n FROM x GROUP BY ALL"""
 
 
 def _asof_content(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +216,7 @@ QUERIES = {
     "limits_displayed": (_displayed, DISPLAYED_SQL),
     "limit_intervals": (_intervals, INTERVALS_SQL),
     "limit_runs": (_runs, RUNS_SQL),
-    "limit_estimate": (_estimate, None),
-    "limit_rejections": (_walk_refusals, None),
+    "limit_estimate": (_estimate, ESTIMATE_SQL),
+    "limit_rejections": (_walk_refusals, REFUSALS_SQL),
     "asof_content": (_asof_content, f"WITH {USAGE_SQL}, s AS (SELECT session_id, timestamp, sum(output_tokens)::BIGINT AS own FROM usage WHERE session_id IS NOT NULL GROUP BY ALL) SELECT *, coalesce(sum(own) OVER (PARTITION BY session_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS context FROM s"),
 }

@@ -10,15 +10,17 @@ from pyspark.sql import window as W
 def json_lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """(file, place, line) of every file below paths; place orders the lines of a file. Files are split as Spark splits
     text, so a long log is read by many tasks."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(paths)
     block = F.col("_metadata.file_block_start")
-    return text.select(F.col("_metadata.file_path").alias("file"), F.struct(block.alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"))
+    return text.select(F.col("_metadata.file_path").alias("file"), F.struct(block.alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:
-    """Adds offset, the byte at which the line starts in its file."""
+    """Adds offset, the byte at which the line starts in its file; a carriage return belongs to the line. A last line without
+    an end, which a tool may still be writing, is left out."""
     before = W.Window.partitionBy("file").orderBy("place").rowsBetween(W.Window.unboundedPreceding, -1)
-    return lines.withColumn("offset", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
+    placed = lines.withColumn("offset", F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
+    return placed.filter(F.col("offset") + F.octet_length("line") < F.col("file_size"))
 
 
 def parsed(lines: DataFrame, schema: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ledgerloom.functions.formats import absolute_project, epoch, iso_epoch
+from ledgerloom.functions.formats import absolute_project, epoch, iso_epoch, nonnegative
+from ledgerloom.operators import folds
 from ledgerloom.operators.usage import total_tokens
 from ledgerloom.sources.lines import json_lines, parsed, stem, with_offsets, zero
 
@@ -60,45 +61,47 @@ def call_records(spark: SparkSession, paths: str | list[str], source: str = "cla
     )
 
 
-ROLLOUT = "timestamp string, type string, payload struct<cwd: string, forked_from_id: string, model: string, type: string, info: struct<total_token_usage: struct<input_tokens: bigint, cached_input_tokens: bigint, cache_write_input_tokens: bigint, output_tokens: bigint, reasoning_output_tokens: bigint>>>"
+ROLLOUT = "timestamp string, type string, payload struct<cwd: string, forked_from_id: string, parent_thread_id: string, thread_source: string, model: string, type: string, info: struct<total_token_usage: struct<input_tokens: bigint, cached_input_tokens: bigint, cache_write_input_tokens: bigint, output_tokens: bigint, reasoning_output_tokens: bigint>>>"
 _STEPS = "file string, offset long, timestamp long, model string, cwd string, input long, output long, cached long, written long, reasoning long"
 
 
 def rollout_records(spark: SparkSession, paths: str | list[str], source: str = "codex") -> DataFrame:
     """Logs of running totals: a record is the step between two totals. Totals that go down count as no step, a step whose
-    cache is larger than its input is left out and keeps the older totals, and what a forked log replays is not counted
-    until its own first turn. Files stream through in order; a task holds one file's last totals only."""
+    cache is larger than its input is left out and keeps the older totals, and what a forked or subagent's log replays is not
+    counted until its own first turn. Reasoning that no total names is not known. Files stream through in order; a task holds one file's last totals only."""
     rows = parsed(with_offsets(json_lines(spark, paths)), ROLLOUT).filter("j.type in ('session_meta', 'turn_context') or j.payload.info.total_token_usage is not null")
     t = "j.payload.info.total_token_usage"
     flat = rows.select(
-        "file", "offset", F.col("j.type").alias("type"), iso_epoch(F.col("j.timestamp")).alias("timestamp"), F.col("j.payload.model").alias("model"), F.col("j.payload.cwd").alias("cwd"), F.col("j.payload.forked_from_id").alias("fork"),
+        "file", "offset", F.col("j.type").alias("type"), iso_epoch(F.col("j.timestamp")).alias("timestamp"), F.col("j.payload.model").alias("model"), F.col("j.payload.cwd").alias("cwd"), (F.col("j.payload.forked_from_id").isNotNull() | F.col("j.payload.parent_thread_id").isNotNull() | (F.col("j.payload.thread_source") == "subagent")).alias("fork"),
         *[F.col(f"{t}.{c}").alias(n) for c, n in (("input_tokens", "input"), ("output_tokens", "output"), ("cached_input_tokens", "cached"), ("cache_write_input_tokens", "written"), ("reasoning_output_tokens", "reasoning"))],
     )
     names, counters = [x.split()[0] for x in _STEPS.split(", ")], ("input", "output", "cached", "written", "reasoning")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, last, model, cwd, replay = None, {}, None, None, False
+        file, last, model, cwd, replay, started = None, {}, None, None, False, False
         for frame in frames:
             out = []
             for r in frame.astype(object).where(frame.notna(), None).to_dict("records"):
                 if r["file"] != file:
-                    file, last, model, cwd, replay = r["file"], dict.fromkeys(counters, 0), None, None, False
-                model, cwd = r["model"] or model, r["cwd"] or cwd
+                    file, last, model, cwd, replay, started = r["file"], dict.fromkeys(counters, 0), None, None, False, False
                 if r["type"] == "session_meta":
-                    replay = replay or r["fork"] is not None
+                    cwd, replay = r["cwd"] or cwd, replay or bool(r["fork"]) and not started
                 elif r["type"] == "turn_context":
-                    replay = False
+                    if r["model"] is not None:
+                        model = r["model"] if r["model"].strip() and r["model"].lower() != "unknown" else None
+                    replay, started = False, True
                 else:
-                    now = {c: int(r[c] or 0) for c in counters}
+                    # A total that is not named stays at what it was.
+                    now = {c: last[c] if r[c] is None and c in ("written", "reasoning") else int(r[c] or 0) for c in counters}
                     step = {c: max(0, now[c] - last[c]) for c in counters}
-                    if replay:
-                        last = now
-                    elif step["cached"] + step["written"] <= step["input"]:
-                        if step["input"] or step["output"]:
-                            out.append((file, r["offset"], r["timestamp"], model, cwd, step["input"] - step["cached"] - step["written"], step["output"], step["cached"], step["written"], step["reasoning"]))
-                            last = now
+                    if step["cached"] + step["written"] <= step["input"]:
+                        booked = step["input"] or step["output"]
+                        last = {**now, "reasoning": now["reasoning"] if booked else last["reasoning"]}
+                        if booked and not replay:
+                            out.append((file, r["offset"], r["timestamp"], model, cwd, step["input"] - step["cached"] - step["written"], step["output"], step["cached"], step["written"], None if r["reasoning"] is None else step["reasoning"]))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                made = pd.DataFrame(out, columns=names)
+                yield made.astype({"reasoning": "Int64"})
 
     steps = flat.repartition("file").sortWithinPartitions("file", "offset").mapInPandas(run, _STEPS)
     return ledger_rows(
@@ -157,13 +160,82 @@ def line_records(spark: SparkSession, paths: str | list[str], source: str = "wor
     )
 
 
+def call_ledger(spark: SparkSession, paths: str | list[str], source: str = "claude") -> DataFrame:
+    """`call_records` with ctx_ columns: how each call's context divides, from what its file logged before. A message that is
+    logged by calls replaces what its earlier lines booked under its plain key."""
+    lines = json_lines(spark, paths)
+    rows = call_records(spark, paths, source)
+    own = rows.select("dedup_key", F.col("seq.file").alias("file"), F.col("seq.place").alias("place"), (F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_5m_tokens") + F.col("cache_write_1h_tokens")).alias("billed"))
+    i = F.coalesce(F.regexp_extract("dedup_key", "#it([0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("i")
+    about = parsed(lines, "sessionId string, isSidechain boolean").select("file", "place", F.coalesce("j.sessionId", stem(F.col("file"))).alias("session"), F.col("j.isSidechain").alias("sidechain"))
+    shares = folds.call_contexts(lines.select("file", "place", "line"), own.select("*", i).join(about, ["file", "place"]))
+    parts = [f"ctx_{c}" for c in ("messages", "system", "reasoning", "toolcalls", "agents", "mcp", "skills")]
+    with_parts = rows.join(shares.select("dedup_key", F.struct("file", "place").alias("seq"), *parts), ["dedup_key", "seq"])
+    plain = with_parts.filter(F.col("dedup_key").contains("#it")).select(F.regexp_replace("dedup_key", "#it[0-9]+$", "").alias("dedup_key"), F.col("seq.file").alias("source_file")).distinct()
+    return with_parts.join(plain, ["dedup_key", "source_file"], "left_anti")
+
+
+def rollout_ledger(spark: SparkSession, paths: str | list[str], source: str = "codex") -> DataFrame:
+    """`rollout_records` with ctx_ columns."""
+    rows = rollout_records(spark, paths, source)
+    at = F.element_at(F.split("dedup_key", ":"), -1).cast("long").alias("place")
+    own = rows.select(F.col("source_file").alias("file"), at, (F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_5m_tokens")).alias("billed"))
+    lines = with_offsets(json_lines(spark, paths)).select("file", F.col("offset").alias("place"), "line")
+    shares = folds.rollout_contexts(lines, own).select(F.col("file").alias("source_file"), F.col("place").alias("p"), *[f"ctx_{c}" for c in ("messages", "system", "reasoning", "toolcalls", "agents", "mcp", "skills")])
+    return rows.join(shares, (rows.source_file == shares.source_file) & (F.element_at(F.split("dedup_key", ":"), -1).cast("long") == F.col("p"))).drop(shares.source_file, shares.p)
+
+
+def chat_lines(lines: DataFrame) -> DataFrame:
+    """lines(file, place, line) of chats that are logged line by line -> files(file, value) as `chat_records` reads them."""
+    rows = lines.select("file", "place", F.get_json_object("line", "$.sessionId").alias("session"), F.when(F.get_json_object("line", "$.tokens").isNotNull(), F.col("line")).alias("m"))
+    each = rows.groupBy("file").agg(F.max("session").alias("session"), F.array_sort(F.collect_list(F.struct("place", "m"))).alias("ms"))
+    return each.select("file", F.concat(F.lit('{"sessionId":"'), F.coalesce("session", stem(F.col("file"))), F.lit('","messages":['), F.array_join(F.transform(F.filter("ms", lambda x: x["m"].isNotNull()), lambda x: x["m"]), ","), F.lit("]}")).alias("value"))
+
+
+def chat_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
+    """Chat records with a project: rows(source_file, ..) lie in a folder named by a hash or a friendly name, projects(real,
+    friendly) says which path that stands for; else the first eight characters of the folder."""
+    folder = F.element_at(F.split("source_file", "/"), -3)
+    known = projects.groupBy(F.col("friendly").alias("p_name")).agg(F.min("real").alias("p_real"))
+    return rows.withColumn("folder", folder).join(known, F.col("folder") == F.col("p_name"), "left").withColumn("project", F.coalesce("p_real", F.substring("folder", 1, 8))).drop("folder", "p_name", "p_real")
+
+
+def turn_projects(rows: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Turn records with the project and model of their session's summary.json(file, text), else the folder's decoded name."""
+    folder = F.regexp_replace("source_file", "/[^/]*$", "")
+    about = summaries.select(F.regexp_replace("file", "/[^/]*$", "").alias("s_folder"), F.get_json_object("text", "$.info.cwd").alias("s_cwd"), F.get_json_object("text", "$.current_model_id").alias("s_model")).dropDuplicates(["s_folder"])
+    named = F.try_url_decode(F.element_at(F.split("source_file", "/"), -3))
+    joined = rows.withColumn("folder", folder).join(about, F.col("folder") == F.col("s_folder"), "left")
+    return joined.withColumn("project", F.coalesce(absolute_project(F.col("s_cwd")), absolute_project(named))).withColumn("model", F.coalesce("model", "s_model")).drop("folder", "s_folder", "s_cwd", "s_model")
+
+
+def legacy_headers(lines: DataFrame, modern: DataFrame, source: str = "goose") -> DataFrame:
+    """lines(file, place, line, mtime) of old session files: the first line's counters, the accumulated ones where any is set;
+    sessions that modern(session_id) holds are left out. The model is not known."""
+    first = lines.groupBy("file").agg(F.min_by("line", "place").alias("line"), F.max("mtime").alias("mtime"))
+    field = lambda *names: F.coalesce(*[nonnegative(F.get_json_object("line", f"$.{n}")) for n in names])
+    some = F.coalesce(F.greatest(*[field(f"accumulated_{c}_tokens") for c in ("input", "output", "total")]), F.lit(0)) > 0
+    pick = lambda c: F.when(some, field(f"accumulated_{c}_tokens")).otherwise(field(f"{c}_tokens", f"usage.{c}_tokens"))
+    text = lambda n: F.get_json_object("line", f"$.{n}")
+    named = F.unix_timestamp(F.try_to_timestamp(F.regexp_extract("file", r"([0-9]{8}_[0-9]{6})[^/]*$", 1), F.lit("yyyyMMdd_HHmmss")))
+    at = F.coalesce(iso_epoch(F.replace(text("updated_at"), F.lit(" "), F.lit("T"))), iso_epoch(F.replace(text("created_at"), F.lit(" "), F.lit("T"))), named, F.col("mtime"))
+    rows = first.withColumn("session", F.coalesce(text("id"), stem(F.col("file")))).join(modern.select(F.col("session_id").alias("session")).distinct(), "session", "left_anti")
+    read, written = zero(pick("cache_read")), zero(pick("cache_write"))
+    return ledger_rows(rows, source, dedup_key=F.concat(F.lit(f"{source}:session:"), F.col("session")), timestamp=at, project=absolute_project(text("working_dir")), input_tokens=zero(pick("input")) - read - written, output_tokens=pick("output"), cache_read_tokens=read, cache_write_5m_tokens=written, source_file="file", session_id="session")
+
+
+def pruned_sessions(known: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """known(session_id, cwd, title, created_at, updated_at, deleted_at): sessions without a transcript, as metadata."""
+    return known.filter("deleted_at is null").drop("deleted_at").join(transcripts.select("session_id").distinct(), "session_id", "left_anti")
+
+
 EXPORT = "schema int, source string, fetched_at bigint, plan string, metering_regime string, account_id string, windows array<struct<key: string, window_minutes: bigint, used_pct: double, resets_at: bigint, evidence: struct<limit_id: string, model_scope: string>>>"
 
 
-def limit_exports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Limit readings from exports of the known schema versions (1 to 4)."""
+def limit_exports(spark: SparkSession, paths: str | list[str], source: str | None = None) -> DataFrame:
+    """Limit readings from exports of the known schema versions (1 to 4). source: exports of any other are refused."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
-    rows = files.select(F.from_json("value", EXPORT).alias("j")).filter("j.schema between 1 and 4").select("j", F.explode("j.windows").alias("w"))
+    rows = files.select(F.from_json("value", EXPORT).alias("j")).filter("j.schema between 1 and 4").filter(F.lit(True) if source is None else F.col("j.source") == source).select("j", F.explode("j.windows").alias("w"))
     return rows.filter("w.resets_at is not null and w.used_pct is not null").select(
         F.col("j.source").alias("source"), F.col("w.key").alias("window_key"), F.col("w.window_minutes").alias("window_minutes"), F.col("w.used_pct").alias("used_pct"), F.col("w.resets_at").alias("resets_at"), F.col("j.fetched_at").alias("observed_at"), F.lit("export").alias("via"),
         F.col("j.plan").alias("plan"), F.col("j.account_id").alias("account_id"), F.col("j.metering_regime").alias("metering_regime"), F.col("w.evidence.limit_id").alias("limit_id"), F.col("w.evidence.model_scope").alias("model_scope"),

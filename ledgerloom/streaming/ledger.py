@@ -1,8 +1,10 @@
 """A ledger that grows: Structured Streaming over record files, with every late record taken in.
 
-Records may come again with more output and may come days late, so no watermark drops them: each micro-batch is merged with
-the stored rows of the days' partitions it touches, in `foreachBatch`. A batch is written under its own number, so a batch
-that is run again after a failure replaces what its first try wrote.
+Records may come again with more output and may come days late, so no watermark drops them. Each micro-batch is merged, in
+`foreachBatch`, with the stored rows of the parts it touches: rows are kept by a hash of their key in PARTS folders, and a
+part that a batch has rows for is written anew beside the old one under the batch's number, which a small log of the parts
+then points to. So a batch that is run again after a failure writes the same, and a reader never sees half of one. Columns
+keep their own rules (see `merge.keep_max_output`): what the row with most output says, what was known first, and so on.
 """
 
 from __future__ import annotations
@@ -15,18 +17,53 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators import merge, usage
 
-BATCH = "__batch"
+#: Folders that the rows of a ledger are dealt over by their key.
+PARTS = 16
+#: How columns merge: of the row with most output, first known, filled among rows with most output, latest accepted.
+FIRST, HYBRID, LATEST = ("project", "session_id"), ("reasoning_tokens",), ("model",)
 
 
-def ingest(records: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream of ledger rows (with seq) to a log of batches at `table`; read it back with `stored`."""
+def merged(rows: DataFrame) -> DataFrame:
+    """One row for each key, by `merge.keep_max_output`; seq is that of the newest row of the key."""
+    rest = [c for c in rows.columns if c not in ("dedup_key", "seq", "output_tokens", "part", *FIRST, *HYBRID, *LATEST)]
+    kept = [[c for c in some if c in rows.columns] for some in (FIRST, HYBRID, LATEST)]
+    newest = rows.groupBy("dedup_key").agg(F.max("seq").alias("seq"))
+    return merge.keep_max_output(rows, rest, *kept).join(newest, "dedup_key").select(*[c for c in rows.columns if c != "part"])
+
+
+def ingest(records: DataFrame, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
+    """Merge a stream of ledger rows with seq, their order of arrival, into the ledger at `table`; read it with `stored`.
+    seconds: how often (10 to 14,400; none: all there is, once)."""
+    if "seq" not in records.columns:
+        raise ValueError("records need seq, their order of arrival")
 
     def put(batch: DataFrame, number: int) -> None:
-        # Within a batch only the last state of a key is kept: fewer rows to merge when the ledger is read.
-        rows = merge.replace(batch) if "seq" not in batch.columns else latest(batch)
-        rows.write.mode("overwrite").parquet(f"{table}/{BATCH}={number}")
+        spark = batch.sparkSession
+        known = _versions(spark, table).filter(F.col("batch") < number)
+        new = batch.withColumn("part", F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)).cast("int"))
+        touched = [r.part for r in new.select("part").distinct().collect()]  # at most PARTS
+        if not touched:
+            return
+        before = [f"{table}/rows/batch={r.batch}/part={r.part}" for r in known.filter(F.col("part").isin(touched)).collect()]
+        both = new if not before else spark.read.schema(batch.schema).parquet(*before).withColumn("part", F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)).cast("int")).unionByName(new)
+        done = merged(both).withColumn("part", F.pmod(F.xxhash64("dedup_key"), F.lit(PARTS)).cast("int"))
+        done.write.mode("overwrite").partitionBy("part").parquet(f"{table}/rows/batch={number}")
+        spark.createDataFrame([(p, number) for p in touched], _VERSIONS).coalesce(1).write.mode("overwrite").parquet(f"{table}/log/batch={number}")
+
+    interval = {"availableNow": True} if seconds is None else {"processingTime": f"{min(max(seconds, 10), 14_400)} seconds"}
+    return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**interval).start()
+
 
-    return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+_VERSIONS = "part int, batch long"
+
+
+def _versions(spark: SparkSession, table: str) -> DataFrame:
+    """(part, batch): the newest batch that wrote each part."""
+    try:
+        log = spark.read.schema(_VERSIONS).option("recursiveFileLookup", "true").parquet(f"{table}/log")
+    except AnalysisException:
+        return spark.createDataFrame([], _VERSIONS)
+    return log.groupBy("part").agg(F.max("batch").alias("batch"))
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -37,11 +74,9 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 def stored(spark: SparkSession, table: str) -> DataFrame:
-    """The ledger: over all batches, one row for each key, that with the most output, the latest of equals."""
-    rows = spark.read.parquet(table)
-    order = F.struct("output_tokens", BATCH, "seq")
-    rest = [c for c in rows.columns if c not in ("dedup_key", BATCH)]
-    return rows.groupBy("dedup_key").agg(F.max_by(F.struct(*rest), order).alias("one")).select("dedup_key", "one.*")
+    """The ledger: the parts' newest rows, merged when they were written."""
+    parts = [f"{table}/rows/batch={r.batch}/part={r.part}" for r in _versions(spark, table).collect()]  # at most PARTS
+    return spark.read.parquet(*parts)
 
 
 def compact(spark: SparkSession, table: str, to: str) -> DataFrame:
@@ -55,13 +90,6 @@ def hourly_counts(records: DataFrame, late: str = "1 day") -> DataFrame:
     return records.withWatermark("time", late).groupBy(F.window("time", "1 hour"), "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("records")).select(F.date_format("window.start", "yyyy-MM-dd HH:00").alias("bucket"), "source", "tokens", "records")
 
 
-def exists(spark: SparkSession, table: str) -> bool:
-    try:
-        return not spark.read.parquet(table).isEmpty()
-    except AnalysisException:
-        return False
-
-
 def trailing(points: DataFrame, days: int) -> DataFrame:
     """points(day, source, tokens) -> with the sum of the last `days` days, the day included."""
     span = W.Window.partitionBy("source").orderBy(F.unix_date(F.to_date("day"))).rangeBetween(1 - days, 0)

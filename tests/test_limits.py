@@ -33,6 +33,8 @@ CASES = [
     ("known activity elsewhere spoils", [reading(10, 5), reading(20, 7, activity="x"), reading(30, 9)], [(7, 9, 20, 30)], {"known-external-activity": 1}),
     ("coverage must reach back", [reading(10, 5), reading(20, 7, covered=11)], [], {"unproven-source-completeness": 1}),
     ("one instant bounds nothing", [reading(10, 5), reading(10, 7)], [], {"ambiguous-reading-order": 1}),
+    ("a scope that is no list is missing", [reading(10, 5, scope="m1"), reading(20, 7, scope="[]"), reading(30, 7, scope='["m1", null]')], [], {"missing-model-scope": 3}),
+    ("repeats change nothing", [reading(10, 1), reading(11, 1), reading(12, 1), reading(13, 4), reading(14, 4), reading(15, 100), reading(16, 100), reading(17, 3), reading(18, 3)], [(1, 4, 10, 13)], {"percentage-saturation": 1, "percentage-decrease": 1}),
     ("a plan is part of the series", [reading(10, 5), reading(20, 7, plan=None)], [], {"missing-plan-identity": 1}),
 ]
 
@@ -42,6 +44,12 @@ def test_walk(spark, name, rows, found, refused):
     assert walked(spark, rows) == (found, refused)
 
 
+@pytest.mark.parametrize("pct", [float("nan"), float("inf")])
+def test_a_percent_that_is_no_number_is_an_error(spark, pct):
+    with pytest.raises(Exception, match="no number"):
+        walked(spark, [reading(10, 1), reading(20, pct)])
+
+
 def test_usage_of_intervals(spark):
     scope = json.dumps(["m1", "m2"])
     rows = [reading(10, 1), reading(20, 3), reading(30, 5), *[reading(at, pct, scope=scope)[:1] + ("w1440",) + reading(at, pct, scope=scope)[2:] for at, pct in ((10, 1), (20, 3), (30, 5))]]

@@ -43,11 +43,13 @@ def total(**n):
 
 
 def test_rollout_records(spark, tmp_path):
-    turn = {"type": "turn_context", "payload": {"model": "m", "cwd": "/w"}}
-    put(tmp_path / "r.jsonl", [turn, total(input_tokens=100, cached_input_tokens=40, output_tokens=10), total(input_tokens=100, cached_input_tokens=40, output_tokens=10), total(input_tokens=110, cached_input_tokens=90, output_tokens=10), total(input_tokens=200, cached_input_tokens=90, output_tokens=30, reasoning_output_tokens=5)])
-    put(tmp_path / "f.jsonl", [{"type": "session_meta", "payload": {"forked_from_id": "r"}}, total(input_tokens=100, output_tokens=10), turn, total(input_tokens=150, output_tokens=15)])
-    got = sorted((r.session_id, r.input_tokens, r.cache_read_tokens, r.output_tokens, r.reasoning_tokens, r.model, r.project) for r in records.rollout_records(spark, str(tmp_path)).collect())
-    assert got == [("f", 50, 0, 5, 0, "m", "/w"), ("r", 50, 50, 20, 5, "m", "/w"), ("r", 60, 40, 10, 0, "m", "/w")]
+    turn = {"type": "turn_context", "payload": {"model": "m"}}
+    home = {"type": "session_meta", "payload": {"cwd": "/w"}}
+    put(tmp_path / "r.jsonl", [home, turn, total(input_tokens=100, cached_input_tokens=40, output_tokens=10), total(input_tokens=100, cached_input_tokens=40, output_tokens=10), total(input_tokens=110, cached_input_tokens=90, output_tokens=10), total(input_tokens=200, cached_input_tokens=90, output_tokens=30, reasoning_output_tokens=5)])
+    put(tmp_path / "f.jsonl", [{"type": "session_meta", "payload": {"forked_from_id": "r", "cwd": "/w"}}, total(input_tokens=100, output_tokens=10), turn, total(input_tokens=150, output_tokens=15)])
+    rows = records.rollout_records(spark, str(tmp_path))
+    got = sorted((r.session_id, r.input_tokens, r.cache_read_tokens, r.output_tokens, r.reasoning_tokens, r.model, r.project) for r in rows.collect())
+    assert got == [("f", 50, 0, 5, None, "m", "/w"), ("r", 50, 50, 20, 5, "m", "/w"), ("r", 60, 40, 10, None, "m", "/w")]
 
 
 def test_other_logs(spark, tmp_path):
@@ -125,3 +127,64 @@ def test_report_folder(spark, tmp_path, small):
     models = spark.read.option("header", True).csv(paths["models"])
     assert {"key", "cost", "cost_basis"} <= set(models.columns) and models.filter("key = 'Unattributed usage' and cost is null").count() >= 1
     assert spark.read.option("header", True).csv(paths["summary"]).count() == 1
+
+
+def test_offsets_count_carriage_returns_and_leave_torn_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b'{"a":1}\r\n{"a":22}\n{"a":333}\r\n{"torn"')
+    got = sorted((r.offset, r.line.strip()) for r in lines.with_offsets(lines.json_lines(spark, str(tmp_path))).collect())
+    assert got == [(0, '{"a":1}'), (9, '{"a":22}'), (18, '{"a":333}')]
+
+
+def test_stream_keeps_what_earlier_rows_knew(spark, tmp_path):
+    schema = "dedup_key string, source string, timestamp long, model string, project string, output_tokens long, input_tokens long, session_id string, reasoning_tokens long, seq long"
+    batches = [[("k", "s", 1, "m", "/p", 5, 1, "x", None, 1), ("l", "s", 1, "m", None, 5, 1, None, None, 2)], [("k", "s", 9, "n", None, 8, 2, None, 3, 3)], [("k", "s", 9, "o", "/late", 7, 9, "y", 4, 4), ("l", "s", 1, "m", "/q", 5, 1, "z", 1, 5)]]
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ledger.ingest(stream, str(tmp_path / "table"), str(tmp_path / "ck")).awaitTermination()
+    got = {r.dedup_key: r.asDict() for r in ledger.stored(spark, str(tmp_path / "table")).collect()}
+    assert (got["k"]["output_tokens"], got["k"]["input_tokens"], got["k"]["model"], got["k"]["project"], got["k"]["session_id"], got["k"]["reasoning_tokens"]) == (8, 2, "n", "/p", "x", 3)
+    assert (got["l"]["project"], got["l"]["session_id"], got["l"]["reasoning_tokens"]) == ("/q", "z", 1) and len(got) == 2
+    with pytest.raises(ValueError):
+        ledger.ingest(stream.drop("seq"), str(tmp_path / "t2"), str(tmp_path / "c2"))
+
+
+def test_call_ledger_divides_contexts_and_replaces_plain_keys(spark, tmp_path):
+    said = {"type": "user", "sessionId": "s", "message": {"content": "x" * 400}}
+    first = call("1", 3) | {"isSidechain": True}
+    again = call("5", 1)
+    several = call("5", 1, iterations=[{"input_tokens": 1, "output_tokens": 1, "model": "n"}, {"input_tokens": 2, "output_tokens": 2}])
+    put(tmp_path / "p/one.jsonl", [said, first, again, several])
+    got = {r.dedup_key: r for r in records.call_ledger(spark, str(tmp_path)).collect()}
+    assert set(got) == {"claude:1:q", "claude:5:q#it0", "claude:5:q#it1"}
+    assert (got["claude:1:q"].ctx_messages, got["claude:1:q"].ctx_system, got["claude:1:q"].ctx_agents) == (22, 0, 22)
+    assert got["claude:5:q#it1"].ctx_agents is None and got["claude:5:q#it1"].ctx_messages == 2
+
+
+def test_rollout_ledger_knows_no_system_prompt(spark, tmp_path):
+    item = {"type": "response_item", "payload": {"type": "message", "role": "user", "content": "y" * 100}}
+    put(tmp_path / "r.jsonl", [{"type": "turn_context", "payload": {"model": "m"}}, item, total(input_tokens=100, cached_input_tokens=40, output_tokens=10)])
+    row = records.rollout_ledger(spark, str(tmp_path)).first()
+    assert (row.ctx_messages, row.ctx_system, row.ctx_reasoning, row.ctx_toolcalls, row.ctx_mcp) == (100, None, None, 0, None)
+
+
+def test_other_artifacts(spark, tmp_path):
+    from ledgerloom.sources import artifacts
+
+    wire = lambda field, value: bytes([field << 3 | 2, len(value)]) + value if isinstance(value, bytes) else bytes([field << 3]) + bytes([value])
+    used = wire(2, 50) + wire(3, 40) + wire(5, 7) + wire(9, 11) + wire(11, b"rid")
+    chat = bytes([4 << 3 | 2, len(used)]) + used + b"\x9a\x01" + bytes([14]) + b"gemini-default"
+    blob = wire(1, chat)
+    rows = spark.createDataFrame([("/f", "s", 0, blob, 1742860799, "/p"), ("/f", "s", 1, b"\xff", 5, None)], "file string, session string, idx int, data binary, created long, project string")
+    got = [(r.dedup_key, r.input_tokens, r.output_tokens, r.cache_read_tokens, r.reasoning_tokens, r.model) for r in artifacts.generation_rows(rows).collect()]
+    assert got == [("antigravity:s:rid", 50, 40, 7, 11, "gemini-2.0-flash")]
+    old = spark.createDataFrame([("/x/20250102_030405.jsonl", 0, '{"id":"a","input_tokens":9,"output_tokens":1,"accumulated_input_tokens":90,"accumulated_output_tokens":10,"working_dir":"/w"}', 7), ("/x/b.jsonl", 0, '{"id":"b","input_tokens":3}', 7), ("/x/c.jsonl", 0, '{"id":"c","input_tokens":3,"updated_at":"2025-01-01 00:00:00"}', 7)], "file string, place int, line string, mtime long")
+    modern = spark.createDataFrame([("b",)], "session_id string")
+    got = sorted((r.session_id, r.input_tokens, r.output_tokens, r.timestamp, r.project) for r in records.legacy_headers(old, modern).collect())
+    assert got == [("a", 90, 10, 1735787045, "/w"), ("c", 3, 0, 1735689600, None)]
+    chats = records.chat_lines(spark.createDataFrame([("/h/hash1234567/chats/f.jsonl", 0, '{"sessionId":"s"}'), ("/h/hash1234567/chats/f.jsonl", 1, '{"id":"1","timestamp":"2025-01-01T00:00:00Z","tokens":{"input":5,"output":1}}')], "file string, place int, line string"))
+    assert json.loads(chats.first().value)["messages"][0]["id"] == "1"
+    folders = records.chat_projects(spark.createDataFrame([("/h/hash1234567/chats/f.jsonl",), ("/h/nice/chats/f.jsonl",)], "source_file string"), spark.createDataFrame([("/real/nice", "nice")], "real string, friendly string"))
+    assert sorted(r.project for r in folders.collect()) == ["/real/nice", "hash1234"]
+    turns = records.turn_projects(spark.createDataFrame([("/g/%2Fw%2Fx/s1/updates.jsonl", None), ("/g/y/s2/updates.jsonl", "m")], "source_file string, model string"), spark.createDataFrame([("/g/y/s2/summary.json", '{"current_model_id":"z","info":{"cwd":"/cwd"}}')], "file string, text string"))
+    assert sorted((r.project, r.model or "") for r in turns.collect()) == [("/cwd", "m"), ("/w/x", "")]
