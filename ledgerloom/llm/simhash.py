@@ -33,6 +33,11 @@ from ledgerloom.llm.components import components
 
 SEED = 42
 SHINGLE = 4
+#: What `keep_one` takes for near copies: shingles of so many words, and a Jaccard similarity of their sets.
+COPY_SHINGLE, SIMILAR = 5, 0.8
+#: Keys by which texts are brought together for that, and shingles that make a key: of two texts that are just similar enough
+#: all keys differ with a chance of 2 in 10^4.
+BANDS, ROWS = 16, 4
 MAX_BITS = 4
 #: Cells with more fingerprints than this are cut by blocks of bits.
 CELL_ROWS = 8192
@@ -232,12 +237,14 @@ def links(nodes: DataFrame, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) ->
     return edges.unionByName(_midpoints(crowded.select("fp", "node").distinct()))
 
 
-def _named(prints: DataFrame, bits: int, cell_rows: int) -> DataFrame:
-    """prints(doc_id, fp) -> (fp, root, component_id): each fingerprint's component and the smallest doc_id of it."""
+def _named(prints: DataFrame, bits: int, cell_rows: int, more: DataFrame | None = None) -> DataFrame:
+    """prints(doc_id, fp) -> (fp, root, component_id): each fingerprint's component and the smallest doc_id of it. more: links
+    (u, v) of fingerprints beside those of the grid."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), bits, cell_rows))
+    found = links(nodes.select("fp", F.col("fp").alias("node")), bits, cell_rows)
+    roots = components(found if more is None else found.unionByName(more))
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     return materialize(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "named")
 
 
@@ -248,14 +255,84 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS,
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of a text's set of shingle hashes: each of the ROWS least values under as many mixings."""
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(SEED)
+    odd = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SLICE >> 6):
+        mixed = hashes[None, at : at + (SLICE >> 6)] * odd[:, None]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), number) - (1 << 63) for number, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _sketches(keyed: DataFrame, width: int) -> DataFrame:
+    """keyed(key, text) -> (key, fp, bands)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            made = np.array([fingerprint(h) for h in each], dtype=np.uint64)
+            bands = [_band_keys(np.unique(np.array(h, np.uint64))) for h in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["key", "fp", "bands"])
+
+    kind = keyed.schema["key"].dataType.simpleString()
+    return keyed.select("key", text_or_empty().alias("text")).mapInArrow(run, f"key {kind}, fp long, bands array<long>")
+
+
+def _similar(pairs: DataFrame, similar: float) -> DataFrame:
+    """pairs(u, v, a, b), a and b being sets of shingle hashes -> (u, v) of those similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_py(), "<u8") for c in (a, b))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similar * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, prints: DataFrame, width: int, similar: float) -> DataFrame:
+    """prints(digest, fp, bands) of docs(digest, text) -> links (u, v) of fingerprints whose texts have a Jaccard similarity of
+    at least `similar`. A fingerprint stands for one of its texts. Texts with a key in common meet at the least of their
+    fingerprints and are compared with it by their whole sets, never with each other, so no group makes pairs; tables on
+    both sides of the joins let adaptive execution split a common key or text."""
+    one = prints.groupBy("fp").agg(F.min(F.struct("digest", "bands")).alias("o")).select("fp", "o.*")
+    keys = materialize(one.select("fp", "digest", F.explode("bands").alias("band")), "bands")
+    heads = materialize(keys.groupBy("band").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v"), "heads")
+    pairs = materialize(keys.join(heads, "band").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    texts = keys.select("fp", "digest").distinct().join(asked, "fp", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    wanted = docs.join(texts, "digest").dropDuplicates(["fp"]).select("fp", "text")
+    sets = materialize(wanted.mapInArrow(run, "fp long, shingles binary"), "sets")
+    left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = materialize(left, "compared").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    return materialize(_similar(both, similar), "near-copies")
+
+
+def keep_one(docs: DataFrame, width: int = COPY_SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS, similar: float | None = SIMILAR) -> DataFrame:
     """Of each component the row with the smallest doc_id stays (of rows that share it, the one whose text has the
     smallest digest, of equal rows any). Rows with a null doc_id, which nothing can be said to repeat, stay. The columns
-    are those of docs."""
+    are those of docs. Fingerprints within `bits` are linked, and those of texts whose shingles are `similar` (None: not),
+    which 64 bits don't tell: at a similarity of 0.8 some ten of them differ."""
     digest = F.xxhash64(text_or_empty())
-    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("doc_id"), "text")
-    prints = materialize(fingerprints(keyed, width).select("doc_id.doc_id", "doc_id.digest", "fp"), "fingerprints")
-    named = _named(prints.select("doc_id", "fp"), bits, cell_rows).select("fp", "root")
+    keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("key"), "text")
+    prints = materialize(_sketches(keyed, width).select("key.doc_id", "key.digest", "fp", "bands"), "fingerprints")
+    more = None if similar is None else near_copies(docs.select(digest.alias("digest"), text_or_empty().alias("text")), prints, width, similar)
+    named = _named(prints.select("doc_id", "fp"), bits, cell_rows, more).select("fp", "root")
     best = prints.filter("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
     best = materialize(best.select(F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g")), "kept")
     # Whole rows are shuffled once: equal rows meet where they are kept.
