@@ -69,7 +69,23 @@ def absolute_project(path: Column) -> Column:
 
 
 def plan_label(plan: Column) -> Column:
-    return F.nullif(F.initcap(F.btrim(F.regexp_replace(F.regexp_replace(F.lower(plan), "[_-]+", " "), r"\b(plan|subscription|tier)\b", ""))), F.lit(""))
+    """A plan's name for people: wrapper words go, the others begin with a capital; a name of wrapper words alone stays."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(plan, "[_-]+", " ")), r"\s+"), lambda w: ~w.isin("default", "claude", ""))
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), " ")
+    return F.when(plan == "", None).when(F.size(words) == 0, plan).otherwise(shown)
+
+
+def window_label(key: Column, source: Column) -> Column:
+    """A limit window's name: struct(pool, label), the pool being what stands before a colon."""
+    pool = F.when(F.instr(key, ":") > 1, F.substring_index(key, ":", 1))
+    rest = F.when(pool.isNotNull(), F.substring(key, F.length(pool) + 2, F.lit(1 << 20))).otherwise(key)
+    model = lambda x: F.transform(F.array(F.regexp_replace(x, "[_-]+", " ")), lambda m: F.concat(F.upper(F.substring(m, 1, 1)), F.substring(m, 2, 1 << 20)))[0]
+    credits = source == "grok"
+    label = (
+        F.when(credits & (rest == "w10080"), "weekly credits").when(credits & (rest == "w43200"), "monthly credits").when(rest.isin("five_hour", "w300"), "session").when(rest.isin("seven_day", "w10080"), "weekly")
+        .when(rest.startswith("seven_day_"), model(F.substring(rest, 11, 1 << 20))).when(rest.rlike("^w[0-9]+$"), F.concat(F.substring(rest, 2, 20), F.lit(" min"))).otherwise(model(rest))
+    )
+    return F.struct(pool.alias("pool"), label.alias("label"))
 
 
 def nonnegative(value: Column) -> Column:

@@ -292,3 +292,37 @@ def window_view(shown: DataFrame, now: int) -> DataFrame:
     used = F.when(F.col("resets_at") <= now, 0).otherwise(F.floor(F.least(F.greatest(F.col("used_pct"), F.lit(0.0)), F.lit(100.0)) + 0.5)).cast("long")
     return shown.withColumn("used", used).withColumn("left", 100 - used).withColumn("tone", tone(100 - used))
 
+
+
+def window_bar(shown: DataFrame, now: int, mode: str = "left") -> DataFrame:
+    """`window_view` rows with the percent that is drawn (left or used) and the tick: where now lies between the window's start
+    and its reset, in the same framing; none for windows of unknown length or that have reset."""
+    gone = F.col("resets_at") <= now
+    left = (F.col("resets_at") - now) / (F.col("window_minutes") * 60.0)
+    tick = F.when(~gone & (F.col("window_minutes") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), left if mode == "left" else 1 - left)))
+    return shown.withColumn("drawn", F.col("left") if mode == "left" else F.col("used")).withColumn("tick", tick)
+
+
+def next_due(estimated: DataFrame, now: int) -> DataFrame:
+    """(due): the next instant at which time alone changes an answer."""
+    return estimated.agg(F.min(F.when(F.col("next_evaluation_at") > now, F.col("next_evaluation_at"))).alias("due"))
+
+
+def cards(catalog: DataFrame, shown: DataFrame, plans: DataFrame, failures: DataFrame) -> DataFrame:
+    """catalog(place, key, limits), shown(source, observed_at, ..), plans(source, plan), failures(source, failure) -> one card for
+    each source with limits: (place, source, state, plan, observed_at, windows). State is live, signed-out, error (any other
+    failure) or nothing-recorded (a source that is only read from logs and has none)."""
+    held = shown.groupBy("source").agg(F.max("observed_at").alias("observed_at"), F.count("*").alias("windows"))
+    rows = catalog.filter("limits is not null").withColumnRenamed("key", "source").join(held, "source", "left").join(plans, "source", "left").join(failures, "source", "left")
+    state = F.when(F.col("failure") == "signed-out", "signed-out").when(F.col("failure").isNotNull(), "error").when(F.col("windows") > 0, "live").when(F.col("limits") == "live", "signed-out").otherwise("nothing-recorded")
+    live = state == "live"
+    return rows.select("place", "source", state.alias("state"), F.when(live, F.col("plan")).alias("plan"), "observed_at", F.when(live, F.col("windows")).otherwise(0).cast("long").alias("windows"))
+
+
+def page(readings: DataFrame, usage: DataFrame, evaluated_at: int) -> DataFrame:
+    """The limits page: each displayed window with its view, its plan and what a percent of it is worth at an instant."""
+    known = readings.filter(F.col("observed_at") <= evaluated_at)
+    view = window_bar(window_view(displayed_windows(known), evaluated_at), evaluated_at)
+    found = representatives(runs(intervals(readings, usage).filter("reason is null")))
+    worth = estimates(found, current_readings(readings, evaluated_at), evaluated_at).select("source", "window_key", "state", "tokens_per_pct", "reason", "next_evaluation_at")
+    return view.join(worth, ["source", "window_key"], "left").join(plan_of(known), "source", "left")

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import folds
-from ledgerloom.plans import fixtures
-from ledgerloom.sources import artifacts
+from ledgerloom.functions import formats
+from ledgerloom.operators import folds, limits
+from ledgerloom.plans import fixtures, ledger_queries
+from ledgerloom.sources import artifacts, scan, vendors
 
 _BOOKED = ["dedup_key", "timestamp", "model", "project", "api_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "session_id", "reasoning_tokens"]
 
@@ -308,6 +309,87 @@ def _moved_sql() -> str:
 
 MANIFEST_SQL = """WITH r AS (SELECT s_name AS path, s_suppkey AS size FROM supplier) SELECT path, 'due' AS what FROM r WHERE size % 5 <> 0 AND (size % 3 = 0 OR size % 4 = 0) UNION ALL SELECT path, 'known' FROM r WHERE size % 5 <> 0"""
 
+# --- vendors' answers and limit cards
+
+
+def _payloads(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    return _events(spark, sf).select(F.col("t").alias("fetched_at"), text.alias("payload"))
+
+
+def _claude_windows(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.col("n"), F.col("k").cast("string")
+    later = lambda more: F.concat(F.lit('"'), _iso(F.col("t") + more), F.lit('"'))
+    listed = F.concat(F.lit('{"limits":[{"kind":"session","percent":'), k, F.lit(',"resets_at":'), later(60), F.lit('},{"kind":"weekly_scoped","percent":'), k, F.lit(',"resets_at":'), (F.col("t") + 90).cast("string"), F.lit(',"scope":{"model":{"display_name":"Opus 4"}}},{"kind":"odd","percent":1,"resets_at":null}]}'))
+    named = F.concat(F.lit('{"limits":[],"a":{"seven_day":{"utilization":'), k, F.lit(',"resets_at":'), later(70), F.lit('},"seven_day_x":{"utilization":2,"resets_at":'), later(80), F.lit('},"none":{"utilization":3,"resets_at":null}}}'))
+    return vendors.claude_windows(_payloads(spark, sf, F.when(n % 2 == 0, listed).otherwise(named)))
+
+
+CLAUDE_WINDOWS_SQL = f"""WITH {EVENTS_SQL} SELECT t AS fetched_at, 'five_hour' AS window_key, 300::BIGINT AS window_minutes, k::DOUBLE AS used_pct, t + 60 AS resets_at, 'session' AS limit_id, 'all' AS model_scope FROM e WHERE n % 2 = 0 UNION ALL SELECT t, 'seven_day_opus_4', 10080, k, t + 90, NULL, NULL FROM e WHERE n % 2 = 0
+  UNION ALL SELECT t, 'seven_day', 10080, k, t + 70, 'weekly_all', 'all' FROM e WHERE n % 2 = 1 UNION ALL SELECT t, 'seven_day_x', 10080, 2, t + 80, NULL, NULL FROM e WHERE n % 2 = 1"""
+
+
+def _codex_windows(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k").cast("string")
+    text = F.concat(F.lit('{"rate_limit":{"primary":{"used_percent":'), k, F.lit(',"limit_window_seconds":18000,"reset_after_seconds":30},"secondary":{"utilization":4,"window_minutes":10079,"resets_at":'), (F.col("t") + 5).cast("string"), F.lit('},"third":{"used_percent":1}},"list":[{"used_percent":9,"window_minutes":5,"reset_at":1}]}'))
+    return vendors.codex_windows(_payloads(spark, sf, text))
+
+
+CODEX_WINDOWS_SQL = f"WITH {EVENTS_SQL} SELECT t AS fetched_at, 'w300' AS window_key, 300::BIGINT AS window_minutes, k::DOUBLE AS used_pct, t + 30 AS resets_at, 'codex:w300' AS limit_id, 'all' AS model_scope FROM e UNION ALL SELECT t, 'w10080', 10079, 4, t + 5, 'codex:w10080', 'all' FROM e"
+
+
+def _other_windows(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = F.col("n"), F.col("k").cast("string")
+    quota = F.concat(F.lit('{"quota_snapshots":{"premium_interactions":{"unlimited":'), F.when(n % 3 == 0, "true").otherwise("false"), F.lit(',"entitlement":80,"remaining":'), k, F.lit('}},"quota_reset_date_utc":"'), _iso(F.col("t") + 7), F.lit('"}'))
+    group = F.concat(F.lit('{"groups":[{"buckets":[{"bucketId":"gemini-5h","remainingFraction":0.5,"resetTime":"'), _iso(F.col("t")), F.lit('"},{"bucket_id":"3p-weekly","disabled":'), F.when(n % 2 == 0, "true").otherwise("false"), F.lit(',"remaining_fraction":0.25,"reset_time":"'), _iso(F.col("t") + 1), F.lit('"},{"bucketId":"new","remainingFraction":1,"resetTime":"'), _iso(F.col("t")), F.lit('"},{"bucketId":"gemini-weekly","remainingAmount":3}]}]}'))
+    return vendors.copilot_windows(_payloads(spark, sf, quota)).unionByName(vendors.antigravity_windows(_payloads(spark, sf, group)))
+
+
+OTHER_WINDOWS_SQL = f"""WITH {EVENTS_SQL} SELECT t AS fetched_at, 'premium_requests' AS window_key, NULL::BIGINT AS window_minutes, (80.0::DOUBLE - k) * 100 / 80 AS used_pct, t + 7 AS resets_at, NULL::VARCHAR AS limit_id, NULL::VARCHAR AS model_scope FROM e WHERE n % 3 <> 0 AND k <= 80
+  UNION ALL SELECT t, 'gemini:w300', 300, 50, t, NULL, NULL FROM e UNION ALL SELECT t, '3p:w10080', 10080, 75, t + 1, NULL, NULL FROM e WHERE n % 2 = 1"""
+
+
+def _cards(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.readings(spark, sf)
+    catalog = spark.sql("SELECT * FROM VALUES (0, 'click', 'live'), (1, 'view', 'logs'), (2, 'error', 'live'), (3, 'none', 'logs'), (4, 'gone', 'live'), (5, 'signup', CAST(NULL AS STRING)), (6, 'purchase', 'live') AS v(place, key, limits)")
+    failures = spark.sql("SELECT * FROM VALUES ('error', 'signed-out'), ('purchase', 'timeout') AS v(source, failure)")
+    return limits.cards(catalog, limits.displayed_windows(rows), limits.plan_of(rows), failures)
+
+
+def _cards_sql() -> str:
+    from ledgerloom.plans.fixtures import READINGS_SQL
+
+    return f"""WITH {READINGS_SQL}, o AS (SELECT source, max(observed_at) AS observed_at FROM (SELECT *, max(resets_at) OVER (PARTITION BY source) AS newest FROM readings) WHERE resets_at >= newest - 600 GROUP BY source), c AS (SELECT * FROM (VALUES (0, 'click', 'live'), (1, 'view', 'live'), (2, 'error', 'signed-out'), (3, 'none', 'nothing-recorded'), (4, 'gone', 'signed-out'), (6, 'purchase', 'error')) v(place, source, state))
+      SELECT place, source, state, CASE WHEN state = 'live' THEN 'plan' END AS plan, observed_at, CASE WHEN state = 'live' THEN 1 ELSE 0 END::BIGINT AS windows FROM c LEFT JOIN o USING (source)"""
+
+
+def _limits_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.readings(spark, sf)
+    out = limits.page(rows, ledger_queries.limit_usage(rows), ledger_queries.EVALUATED)
+    return out.select("source", "window_key", "used", "left", "tone", "tick", "state", "tokens_per_pct", "plan")
+
+
+def _limits_page_sql() -> str:
+    from ledgerloom.plans.fixtures import READINGS_SQL
+
+    at = ledger_queries.EVALUATED
+    return f"""WITH est AS ({ledger_queries.ESTIMATE_SQL}), d AS (WITH {READINGS_SQL}, n AS (SELECT *, max(resets_at) OVER (PARTITION BY source) AS newest FROM readings WHERE observed_at <= {at}) SELECT source, window_key, floor(max(used_pct) + 0.5)::BIGINT AS used, max(resets_at) AS resets_at FROM n WHERE resets_at >= newest - 600 GROUP BY ALL)
+      SELECT source, window_key, used, 100 - used AS left, CASE WHEN 100 - used > 50 THEN 'ok' WHEN 100 - used > 20 THEN 'low' ELSE 'dry' END AS tone, (resets_at - {at}) / 86400.0::DOUBLE AS tick, state, tokens_per_pct, 'plan' AS plan FROM d JOIN est USING (source, window_key)"""
+
+
+_PLANS = ("default_claude_max_5x", "plus", "pro-plus", "claude", "", "team  annual")
+_KEYS = ("five_hour", "w300", "seven_day", "w10080", "seven_day_opus_4", "w43200", "w77", "gemini:w300", "premium_requests")
+
+
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    plan, key = F.get(F.array(*[F.lit(p) for p in _PLANS]), (n % 6).cast("int")), F.get(F.array(*[F.lit(k) for k in _KEYS]), (n % 9).cast("int"))
+    rows = fixtures.table(spark, sf, "nation").select("n_nationkey", formats.plan_label(plan).alias("plan"), formats.window_label(key, F.when(n % 2 == 0, "grok").otherwise("codex")).alias("w"))
+    return rows.select("n_nationkey", "plan", "w.pool", "w.label")
+
+
+LABELS_SQL = """SELECT n_nationkey, ['Max 5x', 'Plus', 'Pro Plus', 'claude', NULL, 'Team Annual'][n_nationkey % 6 + 1] AS plan, CASE WHEN n_nationkey % 9 = 7 THEN 'gemini' END AS pool,
+  CASE n_nationkey % 9 WHEN 0 THEN 'session' WHEN 1 THEN 'session' WHEN 2 THEN 'weekly' WHEN 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'weekly credits' ELSE 'weekly' END WHEN 4 THEN 'Opus 4' WHEN 5 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'monthly credits' ELSE '43200 min' END WHEN 6 THEN '77 min' WHEN 7 THEN 'session' ELSE 'Premium requests' END AS label FROM nation"""
+
 QUERIES = {
     "ctx_fold_claude": (_claude_fold, CLAUDE_SQL),
     "ctx_fold_tools": (_claude_tools, CLAUDE_TOOLS_SQL),
@@ -326,4 +408,11 @@ QUERIES = {
     "unreadable_coverage": (_moved, _moved_sql()),
     "file_manifest": (_manifest, MANIFEST_SQL),
     "tool_ownership": (_owners, _owners_sql()),
+    "claude_windows": (_claude_windows, CLAUDE_WINDOWS_SQL),
+    "codex_windows": (_codex_windows, CODEX_WINDOWS_SQL),
+    "other_windows": (_other_windows, OTHER_WINDOWS_SQL),
+    "limit_cards": (_cards, _cards_sql()),
+    "limits_page": (_limits_page, _limits_page_sql()),
+    "limit_labels": (_labels, LABELS_SQL),
+    "source_catalog": (lambda spark, sf: scan.catalog(spark), "SELECT place::INT AS place, key, label, limits FROM (VALUES " + ", ".join(f"({i}, '{s.key}', '{s.label}', {repr(s.limits) if s.limits else 'NULL'})" for i, s in enumerate(scan.CATALOG)) + ") v(place, key, label, limits)"),
 }

@@ -188,3 +188,23 @@ def test_other_artifacts(spark, tmp_path):
     assert sorted(r.project for r in folders.collect()) == ["/real/nice", "hash1234"]
     turns = records.turn_projects(spark.createDataFrame([("/g/%2Fw%2Fx/s1/updates.jsonl", None), ("/g/y/s2/updates.jsonl", "m")], "source_file string, model string"), spark.createDataFrame([("/g/y/s2/summary.json", '{"current_model_id":"z","info":{"cwd":"/cwd"}}')], "file string, text string"))
     assert sorted((r.project, r.model or "") for r in turns.collect()) == [("/cwd", "m"), ("/w/x", "")]
+
+
+def test_a_scan_reads_what_is_there_and_says_what_is_not(spark, tmp_path):
+    from ledgerloom.sources import scan
+
+    put(tmp_path / ".claude/projects/a/one.jsonl", [call("1", 3), call("1", 9)])
+    put(tmp_path / "other/r.jsonl", [{"type": "turn_context", "payload": {"model": "m"}}, total(input_tokens=10, output_tokens=1)])
+
+    def broken(spark, paths):
+        raise ValueError("no such column")
+
+    readers = {k: scan.READERS[k] for k in ("claude", "codex", "workbuddy")} | {"kilo": broken}
+    rows, status = scan.run(spark, str(tmp_path), {"CODEX_HOME": "relative"}, {"codex": str(tmp_path / "other")}, readers)
+    said = {r.source: (r.records, r.error) for r in status.collect()}
+    assert said["claude"] == (1, None) and said["codex"] == (1, None) and said["kilo"] == (0, "no such column") and said["workbuddy"][0] == 0 and said["workbuddy"][1]
+    assert len(said) == len(scan.CATALOG) and sorted((r.source, r.output_tokens) for r in rows.collect()) == [("claude", 9), ("codex", 1)]
+    assert scan.changes(status).first().asDict() == {"records": 2, "failed": 2}
+    one = scan.CATALOG[1]
+    assert scan.roots(one, "/h", {}) == ["/h/.codex/sessions"] and scan.roots(one, "/h", {"CODEX_HOME": "~/x"}) == ["/h/x/sessions"]
+    assert scan.roots(one, "/h", {"CODEX_HOME": "/y"}, "/z/./w") == ["/z/w"] and scan.roots(one, "/h", {"CODEX_HOME": " "}) == ["/h/.codex/sessions"]
