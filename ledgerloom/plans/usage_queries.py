@@ -277,12 +277,12 @@ def _history(spark: SparkSession) -> DataFrame:
 
 
 def _asof_price(spark: SparkSession, sf: str) -> DataFrame:
-    days = fixtures.usage(spark, sf).filter("model in ('Brand#7', 'Brand#8')").select("model", usage.bucket(F.col("timestamp")).alias("day")).distinct()
+    days = fixtures.usage(spark, sf).filter("model is not null").select("model", usage.bucket(F.col("timestamp")).alias("day")).distinct()
     return usage.price_at_day(days, _history(spark)).select("model", "day", "input", "output")
 
 
 ASOF_SQL = f"""WITH {USAGE_SQL}, h AS (SELECT 'Brand#7' AS model, (1995 + n)::VARCHAR || '-07-01' AS day, n >= 2 AS priced, CASE WHEN n >= 2 THEN n * 100 ELSE 0 END AS input, CASE WHEN n >= 2 THEN n * 500 ELSE 0 END AS output FROM range(0, 6) r(n)),
-  d AS (SELECT DISTINCT model, {DAY_SQL} AS day FROM usage WHERE model IN ('Brand#7', 'Brand#8')),
+  d AS (SELECT DISTINCT model, {DAY_SQL} AS day FROM usage WHERE model IS NOT NULL),
   a AS (SELECT d.model, d.day, h.priced, h.input, h.output FROM d ASOF LEFT JOIN h ON d.model = h.model AND d.day >= h.day)
   SELECT model, day, CASE WHEN priced THEN input ELSE (SELECT arg_min(h.input, h.day) FROM h WHERE h.priced AND h.model = a.model AND h.day > a.day) END::BIGINT AS input, CASE WHEN priced THEN output ELSE (SELECT arg_min(h.output, h.day) FROM h WHERE h.priced AND h.model = a.model AND h.day > a.day) END::BIGINT AS output FROM a"""
 
