@@ -35,6 +35,8 @@ from ledgerloom.llm.common import documents, text_or_empty
 BLANK = "▁"
 #: Words and pairs of pieces that a worker remembers before it starts anew.
 WORDS, PAIRS = 400_000, 1_000_000
+#: Characters from which a text's chunks are not listed first.
+LONG = 1 << 20
 #: Places beyond the longest piece after which the paths are searched for a common boundary.
 EVERY = 32
 _WORDS = re.compile(r" *[^ \n]+| +|\n")
@@ -233,7 +235,9 @@ class Codec:
         if not text:
             return b""
         words, parts = self.words, []
-        for chunk in self.v.chunks.findall(" " + text.replace(BLANK, " ")):
+        marked = " " + text.replace(BLANK, " ")
+        # A long text's chunks are taken one by one instead of all at once.
+        for chunk in self.v.chunks.findall(marked) if len(marked) < LONG else (m[0] for m in self.v.chunks.finditer(marked)):
             ids = words.get(chunk)
             if ids is None:
                 if len(words) >= WORDS:
