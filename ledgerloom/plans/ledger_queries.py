@@ -187,10 +187,19 @@ def _walk_refusals(spark: SparkSession, sf: str) -> DataFrame:
     return limits.rejections(walked, limits.with_usage(walked.filter("reason is null"), limit_usage(rows)))
 
 
-#: A day's first reading ends the stretch of the day before: as a reset, or by its lower percent if it proves nothing.
-REFUSALS_SQL = f"""WITH {_LIMIT_USAGE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source, resets_at ORDER BY observed_at, source_order) AS rn, min(resets_at) OVER (PARTITION BY source) AS first_day FROM readings),
-  x AS (SELECT source, 'missing-account-identity' AS reason FROM readings WHERE account_id IS NULL UNION ALL SELECT source, CASE WHEN account_id IS NULL THEN 'percentage-decrease' ELSE 'reset-boundary' END FROM o WHERE rn = 1 AND resets_at > first_day UNION ALL SELECT source, 'ambiguous-reading-order' FROM g WHERE t0 = observed_at
-    UNION ALL SELECT source, reason FROM ({INTERVALS_SQL}) WHERE reason IS NOT NULL)
+#: The walk, reading by reading: `since` is the open stretch's epoch, with the percent and second that anchor it.
+REFUSALS_SQL = f"""WITH RECURSIVE {_LIMIT_USAGE_SQL}, o AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY observed_at, resets_at, source_order) AS rn, used_pct::BIGINT AS pct, resets_at, observed_at, account_id IS NOT NULL AS proven FROM readings),
+  w AS (SELECT source, 0::BIGINT AS rn, NULL::BIGINT AS since, 0::BIGINT AS anchor, 0::BIGINT AS highest, 0::BIGINT AS t0, NULL::VARCHAR AS lacks, NULL::VARCHAR AS reason FROM (SELECT DISTINCT source FROM readings)
+    UNION ALL SELECT o.source, o.rn,
+      CASE WHEN o.proven THEN o.resets_at WHEN w.since IS NOT NULL AND (o.pct < w.highest OR o.pct >= 100) THEN NULL ELSE w.since END,
+      CASE WHEN o.proven AND (w.since IS NULL OR w.since <> o.resets_at OR o.pct < w.highest OR o.pct <> w.anchor) THEN o.pct ELSE w.anchor END,
+      CASE WHEN o.proven AND (w.since IS NULL OR w.since <> o.resets_at OR o.pct < w.highest OR o.pct <> w.anchor) THEN o.pct WHEN NOT o.proven AND w.since IS NOT NULL THEN greatest(w.highest, o.pct) ELSE w.highest END,
+      CASE WHEN o.proven AND (w.since IS NULL OR w.since <> o.resets_at OR o.pct < w.highest OR o.pct <> w.anchor) THEN o.observed_at ELSE w.t0 END,
+      CASE WHEN NOT o.proven THEN 'missing-account-identity' END,
+      CASE WHEN w.since IS NULL THEN NULL WHEN NOT o.proven THEN CASE WHEN o.pct < w.highest THEN 'percentage-decrease' WHEN o.pct >= 100 THEN 'percentage-saturation' END WHEN w.since <> o.resets_at THEN 'reset-boundary' WHEN o.pct < w.highest THEN 'percentage-decrease' WHEN o.pct = w.anchor THEN NULL
+        WHEN o.pct >= 100 THEN 'percentage-saturation' WHEN w.t0 = o.observed_at THEN 'ambiguous-reading-order' END
+    FROM w JOIN o ON o.source = w.source AND o.rn = w.rn + 1),
+  x AS (SELECT source, lacks AS reason FROM w WHERE lacks IS NOT NULL UNION ALL SELECT source, reason FROM w WHERE reason IS NOT NULL UNION ALL SELECT source, reason FROM ({INTERVALS_SQL}) WHERE reason IS NOT NULL)
   SELECT source, 'w1440' AS window_key, reason, count(*)::BIGINT AS n FROM x GROUP BY ALL"""
 
 
