@@ -94,3 +94,20 @@ def unbooked(rows: DataFrame) -> DataFrame:
     """rows(path, source, requests, first_at, last_at, seq): the last row of a path counts, zero removes it."""
     last = rows.groupBy("path").agg(F.max_by(F.struct("source", "requests", "first_at", "last_at"), "seq").alias("r")).select("path", "r.*").filter("requests > 0")
     return last.groupBy("source").agg(F.sum("requests").alias("requests"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+
+
+def files_with_records(files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """files(path) that some record of the ledger comes from."""
+    return files.join(ledger.select(F.col("source_file").alias("path")).distinct(), "path", "left_semi")
+
+
+def cleared_sessions(weights: DataFrame, ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored weights(source_file, session_id, ..) without those of sessions that have records in files(path), which are read anew."""
+    again = ledger.join(files.select(F.col("path").alias("source_file")).distinct(), "source_file", "left_semi").filter("session_id is not null")
+    return weights.join(again.select("session_id").distinct(), "session_id", "left_anti")
+
+
+def with_exports(cards: DataFrame, exports: DataFrame) -> DataFrame:
+    """Limit cards(source, ..) with what exports(source, fetched_at, usage_resets_available) say last of how many resets are left."""
+    newest = exports.groupBy("source").agg(F.max_by("usage_resets_available", "fetched_at").alias("usage_resets_available"), F.max("fetched_at").alias("fetched_at"))
+    return cards.join(newest, "source", "left")

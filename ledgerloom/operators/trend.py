@@ -7,6 +7,8 @@ the size of the ledger. Windows without a partition key run over days or models
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -86,6 +88,14 @@ def trend_points(rows: DataFrame, unit: str) -> DataFrame:
     return rows.groupBy(coarser(F.col("bucket"), unit).alias("bucket"), "source", "model").agg(F.sum("tokens").alias("tokens"))
 
 
+def trend_slice(rows: DataFrame, hours: DataFrame, first: str, last: str, override: str | None = None) -> DataFrame:
+    """(bucket, source, tokens) of the days from first to last in the unit that fits them, or in the one that is asked for;
+    hours come from their own points."""
+    days = (date.fromisoformat(last) - date.fromisoformat(first)).days + 1
+    unit = override or ("hour" if days <= 1 else "day" if days <= 31 else "week" if days <= 120 else "month")
+    return trend(in_window(hours if unit == "hour" else rows, first, last), unit)
+
+
 def heat_levels(days: DataFrame) -> DataFrame:
     """days(day, tokens) -> with level 1 to 4 by the rank's quartile among active days; 0 without tokens."""
     active = W.Window.partitionBy(F.col("tokens") > 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, formats, shell
-from ledgerloom.operators import context, pages, prices, trend, usage
+from ledgerloom.operators import context, merge, pages, prices, trend, usage
 from ledgerloom.operators.usage import RATES, Filters
 from ledgerloom.plans import fixtures
 from ledgerloom.plans.fixtures import HOURLY_SQL, RATES_SQL, USAGE_SQL
@@ -486,7 +486,40 @@ NAMES_SQL = f"""SELECT p_partkey, '/a+b/' || p_name AS path, CASE WHEN p_partkey
   'pi:legacy:message:' || sha256('[' || (p_partkey * 1000)::VARCHAR || ',null,"' || p_type || '",' || p_size || ',0,0,0,0,' || CASE WHEN p_size > 9 THEN p_size::VARCHAR ELSE 'null' END || ']') AS legacy FROM part"""
 
 
+def _slice(spark: SparkSession, sf: str) -> DataFrame:
+    points = _points(spark, sf)
+    return trend.trend_slice(points, points, "1997-01-01", "1997-03-31")
+
+
+SLICE_SQL = f"""WITH {POINTS_SQL}, q AS (SELECT * FROM pts WHERE bucket BETWEEN '1997-01-01' AND '1997-03-31'), wk AS (SELECT *, bucket::DATE - dayofweek(bucket::DATE)::INT AS w FROM q), k AS (SELECT unnest(generate_series(min(w), max(w), INTERVAL 7 DAY)) AS w FROM wk),
+  s AS (SELECT w, source, sum(tokens)::BIGINT AS tokens FROM wk GROUP BY ALL) SELECT strftime(k.w, '%Y-%m-%d') AS bucket, o.source, coalesce(s.tokens, 0)::BIGINT AS tokens FROM k CROSS JOIN (SELECT DISTINCT source FROM q) o LEFT JOIN s ON s.w = k.w AND s.source = o.source"""
+
+
+def _some_files(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.table(spark, sf, "supplier").select(F.concat(F.lit("O/"), F.col("s_suppkey").cast("string")).alias("path"))
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.files_with_records(_some_files(spark, sf), fixtures.usage(spark, sf).filter(F.col("timestamp") >= 999_000_000))
+
+
+def _cleared(spark: SparkSession, sf: str) -> DataFrame:
+    ledger = fixtures.usage(spark, sf)
+    weights = ledger.select("source_file", "session_id", F.col("input_tokens").alias("est_tokens"))
+    left = merge.cleared_sessions(weights, ledger, _some_files(spark, sf).filter("path like '%7'"))
+    return left.groupBy("source_file").agg(F.count("*").alias("n"), F.sum("est_tokens").alias("est_tokens"))
+
+
+def _exports(spark: SparkSession, sf: str) -> DataFrame:
+    rows = fixtures.table(spark, sf, "orders").select(F.lower("o_orderpriority").alias("source"), F.col("o_orderkey").alias("fetched_at"), (F.col("o_orderkey") % 5).alias("usage_resets_available"))
+    return merge.with_exports(rows.select("source").distinct().unionByName(spark.sql("SELECT 'none' AS source")), rows)
+
+
 QUERIES = {
+    "trend_slice": (_slice, SLICE_SQL),
+    "file_records": (_files, f"WITH {USAGE_SQL} SELECT 'O/' || s_suppkey AS path FROM supplier WHERE 'O/' || s_suppkey IN (SELECT source_file FROM usage WHERE timestamp >= 999000000)"),
+    "cleared_sessions": (_cleared, f"WITH {USAGE_SQL} SELECT source_file, count(*)::BIGINT AS n, sum(input_tokens)::BIGINT AS est_tokens FROM usage WHERE session_id IS NULL OR session_id NOT IN (SELECT session_id FROM usage WHERE session_id IS NOT NULL AND source_file IN (SELECT 'O/' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 7)) GROUP BY source_file"),
+    "limit_exports_on_cards": (_exports, "SELECT lower(o_orderpriority) AS source, arg_max(o_orderkey % 5, o_orderkey)::BIGINT AS usage_resets_available, max(o_orderkey)::BIGINT AS fetched_at FROM orders GROUP BY 1 UNION ALL SELECT 'none', NULL, NULL"),
     "price_catalog": (_published, PUBLISHED_SQL),
     "price_targets": (_targets, TARGETS_SQL),
     "price_reads_due": (_due, DUE_SQL),
