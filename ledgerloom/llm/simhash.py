@@ -57,13 +57,13 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)]
 
 
-def fingerprint(hashes: list[int]) -> int:
+def fingerprint(hashes: list[int] | np.ndarray) -> int:
     """A bit is set if it is set in over half of the hashes; no hashes: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SLICE):
         part = np.array(hashes[at : at + SLICE], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if hashes else 0
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -275,9 +275,11 @@ def _sketches(keyed: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [shingle_hashes(t.as_py(), width) for t in batch.column(1)]
-            made = np.array([fingerprint(h) for h in each], dtype=np.uint64)
-            bands = [_band_keys(np.unique(np.array(h, np.uint64))) for h in each]
+            made, bands = np.zeros(batch.num_rows, np.uint64), []
+            for row, t in enumerate(batch.column(1)):  # one text's hashes are held at a time
+                hashes = np.array(shingle_hashes(t.as_py(), width), np.uint64)
+                made[row] = fingerprint(hashes)
+                bands.append(_band_keys(np.unique(hashes)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["key", "fp", "bands"])
 
     kind = keyed.schema["key"].dataType.simpleString()
