@@ -65,3 +65,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out(remainders: int, which: int) -> Column:
     """crc32 of the doc_id's decimal text, modulo `remainders`, equals `which`; a null id is in training."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % remainders == which, F.lit(False))
+
+
+#: A join's right side is met by so many rows at most that lie apart from the others.
+HOT = 256
+
+
+def spread_join(rows: DataFrame, named: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with `named`, which has one row for each key and, in `weight`, how many rows it meets; the weights add
+    up to `total` at most. So no more than HOT keys can meet a HOT-th of all rows each: those are broadcast, and the others are
+    shuffled, where no key is large."""
+    large = F.col(weight) * HOT >= total
+    top = F.broadcast(named.filter(large))
+    return rows.join(top, on).unionByName(rows.join(F.broadcast(named.filter(large).select(*on)), on, "left_anti").join(named.filter(~large), on))

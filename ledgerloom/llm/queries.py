@@ -11,6 +11,7 @@ from ledgerloom.llm import license_scan
 from ledgerloom.llm.license_scan import op6_license_scan
 from ledgerloom.llm.lm_score import op7_lm_score
 from ledgerloom.llm.pieces import op3_sentencepiece
+from ledgerloom.llm.prefix_trie import op11_prefix_trie
 from ledgerloom.llm.quality_classifier import op1_quality_classifier
 from ledgerloom.llm.quality_rules import op10_quality_rules
 from ledgerloom.llm.secret_scan import op2_secret_scan
@@ -29,7 +30,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_suffix_dedup, op5_token_orc, op6_license_scan, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules]
+    named = [op1_quality_classifier, op2_secret_scan, op3_sentencepiece, op4_suffix_dedup, op5_token_orc, op6_license_scan, op7_lm_score, op8_simhash, op9_decontaminate, op10_quality_rules, op11_prefix_trie]
     return {q.__name__: _shipped(q) for q in named}
 
 
