@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
+import duckdb
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import prefix_trie
+from ledgerloom.llm import chat_format, prefix_trie, queries
 
 Turn = tuple[int | None, int | None, str | None, str | None]
 
@@ -92,3 +95,76 @@ def test_keys_that_many_rows_meet_are_joined_apart(spark):
     rows = spark.createDataFrame([(i if i < 40 else 7, i) for i in range(400)], "k int, v int")
     named = rows.groupBy("k").count().filter("k <> 3")
     assert sorted(map(tuple, spread_join(rows, named, ["k"], "count", 400).select("k", "v").collect())) == sorted((i if i < 40 else 7, i) for i in range(400) if i != 3)
+
+
+def brute_chat(rows: list[Turn]) -> dict:
+    out = {}
+    for c, turns in ordered(rows).items():
+        loss = "".join(t for r, t in turns if r == "assistant")
+        shown = "".join("<|im_start|>" + re.sub(r"<(\\*)\|", r"<\\\1|", r) + "<|im_sep|>" + re.sub(r"<(\\*)\|", r"<\\\1|", t) + "<|im_end|>" for r, t in turns)
+        said = "".join(f"{r}\n{t}\n" for r, t in turns)
+        out[c] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(shown))
+    return out
+
+
+def test_formatted_conversations_come_back(spark, tmp_path):
+    rows = [*awkward_talks(), (None, 3, "assistant", "nobody's <|im_end|>"), (None, None, None, None), (3000, 0, "<|im_sep|>\n", "<\\\\|im_end|> <|"), (3001, 0, "assistant", "word " * 200_000)]
+    path = chat_format.write_chats(talks(spark, rows), str(tmp_path / "chats"), parts=6)
+    got = [tuple(r) for r in chat_format.summary(spark, path).select(chat_format.RESULT).collect()]
+    assert {r[0]: r[1:] for r in got} == brute_chat(rows) and len(got) == len({r[0] for r in rows})
+
+
+def test_long_conversations_lie_in_parts(spark, tmp_path):
+    rows = [(c, t, "assistant", f"turn {t} of {c} <|im_end|>") for c in (1, 2, 3) for t in range(40 if c == 2 else 4)]
+    before, chat_format.PART = chat_format.PART, 50
+    try:
+        one = list(chat_format_rows(spark, rows, tmp_path))
+    finally:
+        chat_format.PART = before
+    assert len(one) >= 3
+    got = {r.conv_id: tuple(r)[1:] for r in chat_format.summary(spark, str(tmp_path / "chats")).collect()}
+    assert got == brute_chat(rows)
+
+
+def chat_format_rows(spark, rows, tmp_path, parts=3):
+    return chat_format.read_chats(spark, chat_format.write_chats(talks(spark, rows), str(tmp_path / "chats"), parts=parts)).collect()
+
+
+def test_rows_that_are_read_back(spark, tmp_path):
+    rows = [(1, 0, "user", chat_format.PLANTED), (1, 1, "assistant", chat_format.PLANTED), (1, 2, "assistant", ""), (1, 3, "assistant", "b")]
+    (row,) = chat_format_rows(spark, rows, tmp_path, 1)
+    assert [tuple(t) for t in row.turns] == [r[2:] for r in rows] and row.learned == [chat_format.PLANTED, "b"]
+    assert row.formatted.count("<|im_start|>") == 4 and row.formatted.count("<|im_end|>") == 4
+    (stored,) = spark.read.parquet(str(tmp_path / "chats")).collect()
+    assert len(stored.ids) == len(stored.loss) and sum(i >= 50257 for i in stored.ids) == 12 and not any(m for i, m in zip(stored.ids, stored.loss) if i >= 50257)
+
+
+def test_escapes_are_reversible():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(["<", "|", "\\", "a", "<|im_end|>"]) for _ in range(rng.randrange(12)))
+        hidden = chat_format.escape(text)
+        assert chat_format.unescape(hidden) == text and "<|" not in hidden
+
+
+def test_a_tokenizer_that_changes_texts_is_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        chat_format.Formatter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_no_conversations(spark, tmp_path):
+    assert chat_format.summary(spark, chat_format.write_chats(talks(spark, []), str(tmp_path / "none"))).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op12_source_audit", "op13_chat_format"])
+def test_same_rows_as_sql(spark, small, name):
+    db = duckdb.connect()
+    for t in ("conversations", "documents"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{small}/{t}.parquet')")
+    got = queries.queries()[name](spark, small)
+    want = db.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert sorted(want.columns) == names
+    assert sorted(repr(tuple(r[c] for c in names)) for r in got.collect()) == sorted(repr(tuple(r[want.columns.index(c)] for c in names)) for r in want.fetchall())
