@@ -37,7 +37,6 @@ from ledgerloom.llm.common import forget, materialize, spread_join
 SHARED, FAMILY = 9, 5
 #: Ids that are joined to one string.
 JOINED = 20_000
-NODE = ("depth", "conv_id", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "end_rep", "end_convs")
 
 
 def digest(role: Column, text: Column) -> Column:
@@ -169,10 +168,9 @@ def trie(conversations: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string")
     levels = _down(sequences.filter("length > 0").withColumn("node", F.lit(top.least)), rows, top.k)
     solved, sums = _up(levels)
-    zero = F.lit(0).cast("long")
-    root = spark.createDataFrame([(top.least, top.n, top.rep, top.w)], "conv_id long, n_convs long, end_rep long, end_convs long")
-    root = root.crossJoin(sums) if sums is not None else root.select("*", *[zero.alias(c) for c in ("n_children", "leaves", "saved")])  # one row each
-    root = root.select(zero.alias("depth"), "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children", F.greatest("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.col("saved").alias("saved_tokens"), "end_rep", "end_convs")
+    below = sums.first() if sums is not None else (0, 1, 0)  # one row
+    schema = "depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, end_rep long, end_convs long"
+    root = spark.createDataFrame([(0, top.least, None, top.n, *below, top.rep, top.w)], schema)
     nodes = root
     for level in solved:
         nodes = nodes.unionByName(level)
@@ -226,7 +224,7 @@ def _up(levels: list[DataFrame]) -> tuple[list[DataFrame], DataFrame | None]:
         found = materialize(found, f"solved{d}")
         solved.append(found)
         sums = found.groupBy(F.col("parent_conv_id").alias("node")).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
-    return solved, None if sums is None else sums.drop("node")
+    return solved, None if sums is None else sums.drop("node").select("n_children", "leaves", "saved")
 
 
 def _chains(levels: list[DataFrame], sequences: DataFrame, rows: DataFrame) -> DataFrame:
