@@ -26,18 +26,36 @@ def size_of(value: Column) -> Column:
     return estimate(F.octet_length(F.coalesce(value, F.lit("null"))))
 
 
+def session_of(j: Column) -> Column:
+    return F.coalesce(j["sessionId"], F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
+def with_blocks(lines: DataFrame) -> DataFrame:
+    """Adds l, the line of a transcript, and b, its content blocks; a string is one block of kind string. Lines of other kinds have
+    none."""
+    parsed = lines.select("*", F.from_json("line", _LINE).alias("l"), F.try_parse_json("line").alias("v"))
+    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING", F.lit(False))
+    one = F.array(F.struct(F.lit("string").alias("type"), F.col("l.message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "content", "tool_use_id")]))
+    each = F.when(is_text, F.when(F.col("l.type") == "user", one)).otherwise(F.from_json("l.message.content", _BLOCK))
+    return parsed.withColumn("b", F.when(F.col("l.type").isin("user", "assistant"), each)).drop("v")
+
+
+def block_body(b: Column) -> Column:
+    kind = b["type"]
+    return F.when(kind == "thinking", b["thinking"]).when(kind == "tool_use", b["input"]).when(kind == "tool_result", b["content"]).otherwise(b["text"])
+
+
+def block_id(b: Column) -> Column:
+    return F.when(b["type"] == "tool_use", b["id"]).when(b["type"] == "tool_result", b["tool_use_id"])
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """lines(file, place, line) -> (file, place, session, type, at, n, kind, name, server, id, body): one row for each content
-    block of user and assistant lines; a string is one block of kind string."""
-    parsed = lines.select("file", "place", F.from_json("line", _LINE).alias("j"), F.try_parse_json("line").alias("v")).filter("j.type in ('user', 'assistant')")
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get("v", "$.message.content", "variant")) == "STRING", F.lit(False))
-    one = F.array(F.struct(F.lit("string").alias("type"), F.col("j.message.content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "content", "tool_use_id")]))
-    each = F.when(is_text, F.when(F.col("j.type") == "user", one)).otherwise(F.from_json("j.message.content", _BLOCK))
-    session = F.coalesce("j.sessionId", F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    rows = parsed.select("file", "place", session.alias("session"), F.col("j.type").alias("type"), F.coalesce(iso_epoch(F.col("j.timestamp")), F.lit(0)).alias("at"), F.posexplode(each).alias("n", "b"))
-    body = F.when(F.col("b.type") == "thinking", F.col("b.thinking")).when(F.col("b.type") == "tool_use", F.col("b.input")).when(F.col("b.type") == "tool_result", F.col("b.content")).otherwise(F.col("b.text"))
-    ident = F.when(F.col("b.type") == "tool_use", F.col("b.id")).when(F.col("b.type") == "tool_result", F.col("b.tool_use_id"))
-    return rows.select("file", "place", "session", "type", "at", "n", F.col("b.type").alias("kind"), F.col("b.name").alias("name"), ident.alias("id"), body.alias("body"), size_of(body).alias("size"))
+    block of user and assistant lines."""
+    rows = with_blocks(lines.select("file", "place", "line")).filter("l.type in ('user', 'assistant')")
+    rows = rows.select("file", "place", session_of(F.col("l")).alias("session"), F.col("l.type").alias("type"), F.coalesce(iso_epoch(F.col("l.timestamp")), F.lit(0)).alias("at"), F.posexplode("b").alias("n", "b"))
+    body = block_body(F.col("b"))
+    return rows.select("file", "place", "session", "type", "at", "n", F.col("b.type").alias("kind"), F.col("b.name").alias("name"), block_id(F.col("b")).alias("id"), body.alias("body"), size_of(body).alias("size"))
 
 
 def named_blocks(found: DataFrame) -> DataFrame:

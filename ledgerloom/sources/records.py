@@ -15,13 +15,12 @@ from pyspark.sql import window as W
 
 from ledgerloom.functions.formats import absolute_project, epoch, iso_epoch, nonnegative
 from ledgerloom.operators import folds
-from ledgerloom.operators.usage import total_tokens
+from ledgerloom.operators.usage import TOKENS, total_tokens
 from ledgerloom.sources.lines import json_lines, parsed, stem, with_offsets, zero
 
 COLUMNS = ["dedup_key", "source", "timestamp", "model", "project", "api_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "source_file", "session_id", "reasoning_tokens"]
 
-
-def ledger_rows(rows: DataFrame, source: str, **columns: Column | str | None) -> DataFrame:
+def ledger_columns(source: str, **columns: Column | str | None) -> list[Column]:
     """The ledger's columns from expressions; counters that are not given are 0, other columns null, calls 1."""
     def made(name: str) -> Column:
         if name == "source":
@@ -35,36 +34,95 @@ def ledger_rows(rows: DataFrame, source: str, **columns: Column | str | None) ->
         kind = "long" if name in ("timestamp", "reasoning_tokens") else "string"
         return (value if value is not None else F.lit(None)).cast(kind)
 
-    more = [c for c in ("seq",) if c in columns]
-    out = rows.select(*[made(c).alias(c) for c in COLUMNS], *[columns[c].alias(c) for c in more])
-    return out.filter((total_tokens() > 0) & F.col("dedup_key").isNotNull() & F.col("timestamp").isNotNull())
+    return [made(c).alias(c) for c in COLUMNS] + [columns[c].alias(c) for c in ("seq",) if c in columns]
+
+
+def ledger_rows(rows: DataFrame, source: str, **columns: Column | str | None) -> DataFrame:
+    """Rows with the ledger's columns, without those that are no records."""
+    return rows.select(*ledger_columns(source, **columns)).filter((total_tokens() > 0) & F.col("dedup_key").isNotNull() & F.col("timestamp").isNotNull())
 
 
 _COUNTERS = "input_tokens: bigint, output_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint, cache_creation: struct<ephemeral_5m_input_tokens: bigint, ephemeral_1h_input_tokens: bigint>"
 CALLS = f"type string, sessionId string, requestId string, timestamp string, cwd string, message struct<id: string, model: string, usage: struct<{_COUNTERS}, iterations: array<struct<model: string, {_COUNTERS}>>>>"
 
 
+def _usages() -> tuple[Column, Column]:
+    """(the calls that a parsed line of CALLS tells of, whether it names several)."""
+    several = F.coalesce(F.size("j.message.usage.iterations") > 1, F.lit(False))
+    whole = F.struct(F.col("j.message.model").alias("model"), *[F.col(f"j.message.usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation")])
+    return F.when(several, F.col("j.message.usage.iterations")).otherwise(F.array(whole)), several
+
+
+def _call_columns(source: str, several: Column, i: Column, u: Column) -> dict[str, Column]:
+    key = F.concat_ws(":", F.lit(source), F.col("j.message.id"), F.col("j.requestId"))
+    return {
+        "dedup_key": F.when(several, F.concat(key, F.lit("#it"), i.cast("string"))).otherwise(key),
+        "timestamp": iso_epoch(F.col("j.timestamp")), "model": F.nullif(F.coalesce(u["model"], "j.message.model"), F.lit("<synthetic>")), "project": absolute_project(F.col("j.cwd")),
+        "input_tokens": u["input_tokens"], "output_tokens": u["output_tokens"], "cache_read_tokens": u["cache_read_input_tokens"],
+        "cache_write_5m_tokens": F.when(u["cache_creation"].isNull(), u["cache_creation_input_tokens"]).otherwise(u["cache_creation"]["ephemeral_5m_input_tokens"]),
+        "cache_write_1h_tokens": u["cache_creation"]["ephemeral_1h_input_tokens"], "source_file": F.col("file"), "session_id": F.col("j.sessionId"),
+    }
+
+
+_IS_CALL = "j.type = 'assistant' and j.message.id is not null and j.message.usage is not null"
+
+
 def call_records(spark: SparkSession, paths: str | list[str], source: str = "claude") -> DataFrame:
     """Message logs: one record for each API call, also where one message took several. With seq, for keep-max merging:
     a message that is logged while it grows appears again with more output."""
-    rows = parsed(json_lines(spark, paths), CALLS).filter("j.type = 'assistant' and j.message.id is not null and j.message.usage is not null")
-    key = F.concat_ws(":", F.lit(source), F.col("j.message.id"), F.col("j.requestId"))
-    several = F.size("j.message.usage.iterations") > 1
-    whole = F.struct(F.col("j.message.model").alias("model"), *[F.col(f"j.message.usage.{c}").alias(c) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "cache_creation")])
-    calls = rows.select("file", "place", "j", key.alias("key"), F.posexplode(F.when(several, F.col("j.message.usage.iterations")).otherwise(F.array(whole))).alias("i", "u"), several.alias("several"))
-    return ledger_rows(
-        calls, source, dedup_key=F.when(F.col("several"), F.concat("key", F.lit("#it"), F.col("i").cast("string"))).otherwise(F.col("key")),
-        timestamp=iso_epoch(F.col("j.timestamp")), model=F.nullif(F.coalesce("u.model", "j.message.model"), F.lit("<synthetic>")), project=absolute_project(F.col("j.cwd")),
-        input_tokens=F.col("u.input_tokens"), output_tokens=F.col("u.output_tokens"), cache_read_tokens=F.col("u.cache_read_input_tokens"),
-        cache_write_5m_tokens=F.when(F.col("u.cache_creation").isNull(), F.col("u.cache_creation_input_tokens")).otherwise(F.col("u.cache_creation.ephemeral_5m_input_tokens")),
-        cache_write_1h_tokens=F.col("u.cache_creation.ephemeral_1h_input_tokens"), source_file=F.col("file"), session_id=F.col("j.sessionId"), seq=F.struct("file", "place"),
-    )
+    return call_rows(json_lines(spark, paths), source)
+
+
+def call_rows(lines: DataFrame, source: str = "claude") -> DataFrame:
+    """`call_records` of lines(file, place, line)."""
+    usages, several = _usages()
+    calls = parsed(lines, CALLS).filter(_IS_CALL).select("file", "place", "j", F.posexplode(usages).alias("i", "u"), several.alias("several"))
+    return ledger_rows(calls, source, **_call_columns(source, F.col("several"), F.col("i"), F.col("u")), seq=F.struct("file", "place"))
+
+
+def with_calls(lines: DataFrame, source: str = "claude") -> DataFrame:
+    """lines(file, place, line, ..) with j, the line, and calls, an array of the records it books: i and the ledger's columns."""
+    usages, several = _usages()
+    rows = parsed(lines, CALLS)
+    each = F.transform(usages, lambda u, i: F.struct(i.alias("i"), *ledger_columns(source, **_call_columns(source, several, i, u))))
+    told = F.filter(each, lambda r: (sum((r[c] for c in TOKENS[1:]), r[TOKENS[0]]) > 0) & r["dedup_key"].isNotNull() & r["timestamp"].isNotNull())
+    return rows.withColumn("calls", F.when(F.expr(_IS_CALL), told))
 
 
 ROLLOUT = "timestamp string, type string, payload struct<cwd: string, forked_from_id: string, parent_thread_id: string, thread_source: string, model: string, type: string, info: struct<total_token_usage: struct<input_tokens: bigint, cached_input_tokens: bigint, cache_write_input_tokens: bigint, output_tokens: bigint, reasoning_output_tokens: bigint>>>"
+COUNTED = ("input", "output", "cached", "written", "reasoning")
 _STEPS = "file string, offset long, timestamp long, model string, cwd string, input long, output long, cached long, written long, reasoning long"
 
 
+class Totals:
+    """What a log of running totals said last."""
+
+    def __init__(self, last: dict | None = None, model: str | None = None, cwd: str | None = None, replay: bool = False, started: bool = False):
+        self.last, self.model, self.cwd, self.replay, self.started = last or dict.fromkeys(COUNTED, 0), model, cwd, replay, started
+
+    def step(self, r: dict) -> tuple | None:
+        """(timestamp, model, cwd, input, output, cached, written, reasoning) if the line books something."""
+        if r["type"] == "session_meta":
+            self.cwd, self.replay = r["cwd"] or self.cwd, self.replay or bool(r["fork"]) and not self.started
+            return None
+        if r["type"] == "turn_context":
+            if r["model"] is not None:
+                self.model = r["model"] if r["model"].strip() and r["model"].lower() != "unknown" else None
+            self.replay, self.started = False, True
+            return None
+        last = self.last
+        # A total that is not named stays at what it was.
+        now = {c: last[c] if r[c] is None and c in ("written", "reasoning") else int(r[c] or 0) for c in COUNTED}
+        step = {c: max(0, now[c] - last[c]) for c in COUNTED}
+        if step["cached"] + step["written"] > step["input"]:
+            return None
+        booked = step["input"] or step["output"]
+        self.last = {**now, "reasoning": now["reasoning"] if booked else last["reasoning"]}
+        if not booked or self.replay:
+            return None
+        return (r["timestamp"], self.model, self.cwd, step["input"] - step["cached"] - step["written"], step["output"], step["cached"], step["written"], None if r["reasoning"] is None else step["reasoning"])
+
+
 def rollout_records(spark: SparkSession, paths: str | list[str], source: str = "codex") -> DataFrame:
     """Logs of running totals: a record is the step between two totals. Totals that go down count as no step, a step whose
     cache is larger than its input is left out and keeps the older totals, and what a forked or subagent's log replays is not
@@ -75,30 +133,17 @@ def rollout_records(spark: SparkSession, paths: str | list[str], source: str = "
         "file", "offset", F.col("j.type").alias("type"), iso_epoch(F.col("j.timestamp")).alias("timestamp"), F.col("j.payload.model").alias("model"), F.col("j.payload.cwd").alias("cwd"), (F.col("j.payload.forked_from_id").isNotNull() | F.col("j.payload.parent_thread_id").isNotNull() | (F.col("j.payload.thread_source") == "subagent")).alias("fork"),
         *[F.col(f"{t}.{c}").alias(n) for c, n in (("input_tokens", "input"), ("output_tokens", "output"), ("cached_input_tokens", "cached"), ("cache_write_input_tokens", "written"), ("reasoning_output_tokens", "reasoning"))],
     )
-    names, counters = [x.split()[0] for x in _STEPS.split(", ")], ("input", "output", "cached", "written", "reasoning")
+    names = [x.split()[0] for x in _STEPS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, last, model, cwd, replay, started = None, {}, None, None, False, False
+        file, totals = None, Totals()
         for frame in frames:
             out = []
             for r in frame.astype(object).where(frame.notna(), None).to_dict("records"):
                 if r["file"] != file:
-                    file, last, model, cwd, replay, started = r["file"], dict.fromkeys(counters, 0), None, None, False, False
-                if r["type"] == "session_meta":
-                    cwd, replay = r["cwd"] or cwd, replay or bool(r["fork"]) and not started
-                elif r["type"] == "turn_context":
-                    if r["model"] is not None:
-                        model = r["model"] if r["model"].strip() and r["model"].lower() != "unknown" else None
-                    replay, started = False, True
-                else:
-                    # A total that is not named stays at what it was.
-                    now = {c: last[c] if r[c] is None and c in ("written", "reasoning") else int(r[c] or 0) for c in counters}
-                    step = {c: max(0, now[c] - last[c]) for c in counters}
-                    if step["cached"] + step["written"] <= step["input"]:
-                        booked = step["input"] or step["output"]
-                        last = {**now, "reasoning": now["reasoning"] if booked else last["reasoning"]}
-                        if booked and not replay:
-                            out.append((file, r["offset"], r["timestamp"], model, cwd, step["input"] - step["cached"] - step["written"], step["output"], step["cached"], step["written"], None if r["reasoning"] is None else step["reasoning"]))
+                    file, totals = r["file"], Totals()
+                if (step := totals.step(r)) is not None:
+                    out.append((file, r["offset"], *step))
             if out:
                 made = pd.DataFrame(out, columns=names)
                 yield made.astype({"reasoning": "Int64"})

@@ -86,7 +86,7 @@ READERS: dict[str, Reader] = {
     "opencode": _each(artifacts.opencode_records), "kilo": _each(sqlite.kilo_records), "zed": _each(artifacts.zed_records), "pi": artifacts.pi_records, "omp": lambda spark, paths: artifacts.pi_records(spark, paths, "omp"),
     "workbuddy": records.line_records, "codebuddy": lambda spark, paths: records.line_records(spark, paths, "codebuddy"), "qoder": _each(artifacts.qoder_records),
 }
-#: Sources whose records come again with more output; of the others the last one read stays.
+#: Sources whose records come again with more output, each column by its rule; of the others the last one read stays.
 GROWING = ("claude", "pi", "omp", "workbuddy", "codebuddy")
 
 
@@ -103,9 +103,9 @@ def run(spark: SparkSession, home: str, environment: dict[str, str] | None = Non
         try:
             rows = read(spark, roots(source, home, environment, (overlays or {}).get(source.key)))
             if source.key in GROWING:
-                from ledgerloom.streaming.ledger import latest
+                from ledgerloom.streaming.ledger import merged
 
-                rows = latest(rows).drop("seq")
+                rows = merged(rows).drop("seq")
             elif "seq" in rows.columns:
                 rows = merge.replace(rows)
             found = rows.count()
