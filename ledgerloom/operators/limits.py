@@ -241,6 +241,24 @@ def _evaluated(epochs: list[dict], at: int) -> tuple[float | None, list[dict], i
     return (median(ranges[i][0] for i in core) if core else None), some, span, why
 
 
+def answer(current: dict, epochs: list[dict], at: int) -> tuple[str, float | None, int, str | None, int | None]:
+    """(state, tokens a percent, candidates, reason, next_evaluation_at) of one limit at an instant. current: its newest reading;
+    epochs(epoch, window_minutes, tokens, movement, ratio): what its windows up to then have shown."""
+    lacks = next((why for field, why in MISSING if current[field] is None), None)
+    if current["resets_at"] <= at:
+        lacks = "no-current-reading"
+    elif lacks is None and (current["covered_from"] is None or current["covered_from"] != current["covered_from"]):
+        lacks = "unproven-source-completeness"
+    if lacks:
+        return "blocked", None, 0, lacks, None
+    value, some, span, why = _evaluated(epochs, at)
+    state = "ready" if value is not None else "unstable" if len(some) >= REQUIRED else "gathering"
+    if state == "gathering" and any(_evaluated(epochs, e["epoch"])[0] is not None for e in epochs if e["epoch"] <= at):
+        state, why = "stale", "historical-core-aged-out"
+    due = min(t for t in (current["resets_at"], *(e["epoch"] + span + 1 for e in some)) if t > at)
+    return state, value, len(some), why, due
+
+
 ESTIMATE = ", ".join(f"{c} string" for c in SERIES) + ", window_key string, state string, tokens_per_pct double, candidates int, reason string, next_evaluation_at long"
 
 
@@ -258,20 +276,7 @@ def estimates(epochs: DataFrame, current: DataFrame, evaluated_at: int) -> DataF
             rows = []
             for r in frame.to_dict("records"):
                 es = [{k: (None if v is None or v != v else v) for k, v in dict(e).items()} for e in (r["es"] if r["es"] is not None else [])]
-                lacks = next((why for field, why in MISSING if r[field] is None), None)
-                if r["resets_at"] <= evaluated_at:
-                    lacks = "no-current-reading"
-                elif lacks is None and (r["covered_from"] is None or r["covered_from"] != r["covered_from"]):
-                    lacks = "unproven-source-completeness"
-                if lacks:
-                    rows.append((*[r[k] for k in keys], "blocked", None, 0, lacks, None))
-                    continue
-                value, some, span, why = _evaluated(es, evaluated_at)
-                state = "ready" if value is not None else "unstable" if len(some) >= REQUIRED else "gathering"
-                if state == "gathering" and any(_evaluated(es, e["epoch"])[0] is not None for e in es):
-                    state, why = "stale", "historical-core-aged-out"
-                due = min(t for t in (r["resets_at"], *(e["epoch"] + span + 1 for e in some)) if t > evaluated_at)
-                rows.append((*[r[k] for k in keys], state, value, len(some), why, due))
+                rows.append((*[r[k] for k in keys], *answer(r, es, evaluated_at)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in ESTIMATE.split(", ")])
 
     return joined.mapInPandas(run, ESTIMATE)
@@ -282,7 +287,7 @@ def current_readings(readings: DataFrame, evaluated_at: int) -> DataFrame:
     proven = F.lit(True)
     for field, _ in MISSING:
         proven = proven & F.col(field).isNotNull()
-    rest = F.struct("account_id", "plan", "metering_regime", "limit_id", "model_scope", "resets_at", "covered_from", "used_pct")
+    rest = F.struct("account_id", "plan", "metering_regime", "limit_id", "model_scope", "resets_at", "covered_from", "used_pct", "observed_at")
     rows = readings.filter(F.col("observed_at") <= evaluated_at)
     return rows.groupBy("source", "window_key").agg(F.max_by(rest, F.struct(proven, "observed_at", "resets_at", "used_pct")).alias("r")).select("source", "window_key", "r.*")
 

@@ -217,15 +217,19 @@ def signals(spark: SparkSession, table: str, since: int = -1) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def usage_of(spark: SparkSession, table: str, sources: DataFrame) -> DataFrame:
+    """(source, account_id, timestamp, model, tokens) of the ledger's records of sources(source)."""
+    rows = stored(spark, table).join(sources, "source", "left_semi")
+    account = F.col("account_id") if "account_id" in rows.columns else F.lit(None).cast("string")
+    return rows.select("source", account.alias("account_id"), "timestamp", "model", usage.total_tokens().alias("tokens"))
+
+
 def answers(spark: SparkSession, table: str, readings: DataFrame, at: int, since: int = -1) -> DataFrame:
     """What a percent of each limit is worth at an instant, derived anew for the limits of sources whose records changed after
     revision `since`, and with the newest revision. The answers of all other limits stand."""
     moved = signals(spark, table, since).select("source").distinct()
-    ledger = stored(spark, table).join(moved, "source", "left_semi")
     some = readings.join(moved, "source", "left_semi")
-    account = F.col("account_id") if "account_id" in ledger.columns else F.lit(None).cast("string")
-    used = ledger.select("source", account.alias("account_id"), "timestamp", "model", usage.total_tokens().alias("tokens"))
-    found = limits.representatives(limits.runs(limits.intervals(some, used).filter("reason is null")))
+    found = limits.representatives(limits.runs(limits.intervals(some, usage_of(spark, table, moved)).filter("reason is null")))
     return limits.estimates(found, limits.current_readings(some, at), at).withColumn("revision", F.lit(committed(spark, table)).cast("long"))
 
 

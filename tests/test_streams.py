@@ -6,12 +6,15 @@ import glob
 import json
 import os
 import random
+import time
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import limits
 from ledgerloom.sources import growing, records
-from ledgerloom.streaming import ledger, sessions
+from ledgerloom.streaming import clock, ledger, sessions
 
 
 def drain(frame, path, checkpoint) -> None:
@@ -294,3 +297,50 @@ def test_growing_logs_fill_the_ledger(spark, tmp_path):
     whole = ledger.merged(records.call_ledger(spark, str(log.parent)))
     assert sums(ledger.stored(spark, table).select(columns)) == sums(whole.select(columns))
     check_series(spark, table)
+
+
+# --- the clock
+def told_by_clock(spark, path) -> list:
+    try:
+        return sorted(spark.read.schema(clock.ANSWERS).parquet(str(path)).collect(), key=lambda r: (r.window_key, r.evaluated_at, r.by_timer))
+    except AnalysisException:
+        return []
+
+
+def run_until(spark, tmp_path, enough, seconds=60, fresh="1"):
+    stream = clock.clock(spark.readStream.schema(clock.EVIDENCE).parquet(str(tmp_path / "evidence")))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + seconds
+        while time.time() < end and not enough(told_by_clock(spark, tmp_path / "out")):
+            if query.exception():
+                raise query.exception()
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    return told_by_clock(spark, tmp_path / "out")
+
+
+def test_answers_change_when_their_time_comes(spark, tmp_path):
+    now = int(time.time())
+    series = {"source": "s", "account_id": "a", "plan": "p", "metering_regime": "r", "limit_id": "l", "model_scope": "all", "revision": 0}
+    blank = {f.split()[0]: None for f in clock.EVIDENCE.split(", ")}
+    reading = lambda key, resets_at, **x: blank | series | {"kind": "reading", "window_key": key, "resets_at": resets_at, "covered_from": 0, "used_pct": 10.0, "observed_at": now} | x
+    epoch = lambda key, at, tokens, **x: blank | series | {"kind": "epoch", "window_key": key, "epoch": at, "window_minutes": 300, "tokens": tokens, "movement": 20.0, "ratio": tokens / 20} | x
+    span = limits.horizon(300)
+    rows = [reading("resets", now + 25), *[epoch("resets", now - 10_000 * i, 2000.0 + i) for i in (1, 2, 3)]]
+    rows += [reading("ages", now + 90_000), *[epoch("ages", now - 10_000 * i, 2000.0) for i in (1, 2)], epoch("ages", now + 24 - span, 2000.0)]  # one of three is soon too old
+    rows += [reading("ages", now + 5, plan=None, observed_at=now + 9)]  # newer, but proves nothing
+    spark.createDataFrame(rows, clock.EVIDENCE).write.mode("append").parquet(str(tmp_path / "evidence"))
+    first = run_until(spark, tmp_path, lambda got: len(got) >= 2)  # then the stream is stopped, and begins again
+    assert [(r.window_key, r.state, r.by_timer) for r in first[:2]] == [("ages", "ready", False), ("resets", "ready", False)]
+    assert {r.window_key: r.next_evaluation_at for r in first} == {"resets": now + 25, "ages": now + 25} and {r.tokens_per_pct for r in first} == {100.0, 100.1}
+    got = run_until(spark, tmp_path, lambda got: len(got) >= 4)
+    by = {r.window_key: r for r in got if r.by_timer}
+    assert (by["resets"].state, by["resets"].reason, by["resets"].next_evaluation_at) == ("blocked", "no-current-reading", None)
+    assert (by["ages"].state, by["ages"].candidates) == ("stale", 2) and all(r.evaluated_at >= now + 25 for r in by.values())
+    spark.createDataFrame([epoch("ages", now - 30_000, 6000.0, revision=1), epoch("ages", now - 20_000, 1.0, revision=-1)], clock.EVIDENCE).write.mode("append").parquet(str(tmp_path / "evidence"))
+    last = run_until(spark, tmp_path, lambda got: len(got) >= 5)[-1]
+    assert len(told_by_clock(spark, tmp_path / "out")) == 5
+    new = max((r for r in told_by_clock(spark, tmp_path / "out") if r.window_key == "ages"), key=lambda r: r.evaluated_at)
+    assert (new.state, new.candidates, new.by_timer) == ("unstable", 3, False) and last is not None
