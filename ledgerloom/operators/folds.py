@@ -3,18 +3,17 @@
 A transcript's composition is a running sum: content adds to messages (tool calls, servers and skills are parts of it),
 thinking to reasoning until the user's next turn, and a compaction starts the content anew. So the fold is window sums over
 one session of one file, in the order of its lines: nothing is carried row by row. Sizes are estimates, a token for four bytes.
-Trees, whose context is what lies on an entry's own path, are folded file by file.
+Trees, whose context is what lies on an entry's own path, are folded by pointer doubling.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ledgerloom.functions.formats import SKILL_BODY, estimate, iso_epoch, skill_name
+from ledgerloom.session import cut
 
 PARTS = ("msg", "tool", "mcp", "skill", "reas")
 _BLOCK = "array<struct<type: string, text: string, thinking: string, id: string, name: string, input: string, content: string, tool_use_id: string>>"
@@ -183,52 +182,88 @@ def rollout_contexts(lines: DataFrame, records: DataFrame) -> DataFrame:
     return attributed(sums.withColumn("mcp", none).withColumn("skill", none).withColumn("sys", none).withColumn("tainted", F.col("billed") <= 0), observed=())
 
 
-TREE = "file string, id string, at string, model string, msg long, tool long, reas long, hooked boolean"
-
-
 def tree_contexts(entries: DataFrame) -> DataFrame:
     """entries(file, place, id, parent, kind, at, model, msg, tool, reas, kept, hooked) of tree logs, kind one of user, assistant,
-    tool, model and compaction, the parts what an entry adds -> (TREE) for each entry: the model in force on its path and the
-    composition before it. A user's entry clears the reasoning; below a compaction stand its summary and the entries from
-    `kept` on; an entry without id follows the entry before it. A file is one session and is folded whole."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        nothing = (0, 0, 0)
-
-        def add(base: tuple, row) -> tuple:
-            return base[0] + row.msg, base[1] + row.tool, (0 if row.kind == "user" else base[2]) + row.reas
-
-        after, parent, model, added, out, last = {}, {}, {}, {}, [], nothing
-        for row in rows.sort_values("place").itertuples(index=False):
-            base = after.get(row.parent, nothing) if row.parent is not None else nothing if row.id is not None else last
-            active, at = row.model, row.parent
-            while active is None and at is not None:
-                active, at = model.get(at), parent.get(at)
-            hooked = bool(row.hooked) and row.kind == "compaction"
-            shown = nothing if hooked else base
-            out.append((row.file, row.id, row.at, None if hooked or row.kind == "tool" else active, *shown, hooked))
-            if row.kind == "compaction":
-                chain, at = [], row.parent
-                while at is not None and (not chain or chain[-1] != row.kept):
-                    chain.append(at)
-                    at = parent.get(at)
-                last = nothing
-                for one in reversed(chain if row.kept is not None and chain and chain[-1] == row.kept else []):
-                    last = add(last, added[one])
-                last = (last[0] + row.msg, last[1], last[2])
-                entry = row._replace(msg=0, tool=0, reas=0, kind="none")
-            else:
-                last, entry = add(base, row), row
-            if row.id is not None:
-                after[row.id], parent[row.id], added[row.id] = last, row.parent, entry
-                if row.model is not None:
-                    model[row.id] = row.model
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold(rows.astype(object).where(rows.notna(), None))
-
-    return entries.groupBy("file").applyInPandas(run, TREE)
+    tool, model and compaction, the parts what an entry adds -> (file, id, at, model, msg, tool, reas, hooked) for each entry: the
+    model in force on its path and the composition before it. A user's entry clears the reasoning; below a compaction stand its
+    summary and the entries from `kept` on; an entry without id follows the entry before it. A parent is the last entry before with
+    that id.
+
+    Everything is a sum or the nearest of something along the path to the root, so paths are folded by pointer doubling: in each
+    round, an entry takes over what the entry at its pointer has folded, and that entry's pointer. A file of any shape takes the
+    logarithm of its depth in rounds, and no file is gathered anywhere."""
+    rows = _linked(entries)
+    paths, jumps = _doubled(rows)
+    after = _after(rows, paths, jumps)
+    below = after.select("file", F.col("node").alias("up"), *[F.col(c).alias(f"b_{c}") for c in ("msg", "tool", "reas")])
+    out = rows.join(paths.select("file", "node", "active"), ["file", "node"]).join(below, ["file", "up"], "left")
+    hooked = (F.col("kind") == "compaction") & F.coalesce("hooked", F.lit(False))
+    part = lambda c: F.when(hooked, 0).otherwise(F.coalesce(f"b_{c}", F.lit(0))).cast("long").alias(c)
+    active = F.when(~hooked & (F.col("kind") != "tool"), F.when(F.col("follows"), F.col("model")).otherwise(F.col("active")))
+    return out.select("file", "id", "at", active.alias("model"), part("msg"), part("tool"), part("reas"), hooked.alias("hooked"))
+
+
+def _linked(entries: DataFrame) -> DataFrame:
+    """Entries with node (their place), up (the place of the entry they hang on), from (that of the kept one) and follows."""
+    rows = entries.withColumn("node", F.col("place")).withColumn("follows", F.col("id").isNull() & F.col("parent").isNull())
+    ask = lambda ref, what: rows.filter(F.col(ref).isNotNull()).select("file", F.col(ref).alias("ref"), "place", F.lit(what).alias("what"))
+    named = ask("id", 2).unionByName(ask("parent", 0)).unionByName(ask("kept", 1))
+    before = W.Window.partitionBy("file", "ref").orderBy("place", "what").rowsBetween(W.Window.unboundedPreceding, -1)
+    found = named.withColumn("to", F.last(F.when(F.col("what") == 2, F.col("place")), ignorenulls=True).over(before)).filter("what < 2")
+    links = found.groupBy("file", F.col("place").alias("node")).agg(F.max(F.when(F.col("what") == 0, F.col("to"))).alias("up"), F.max(F.when(F.col("what") == 1, F.col("to"))).alias("from"))
+    rows = rows.join(links, ["file", "node"], "left")
+    if not rows.filter("follows").isEmpty():  # logs without such entries need no order within their files
+        rows = rows.withColumn("up", F.when(F.col("follows"), F.lag("node").over(W.Window.partitionBy("file").orderBy("place"))).otherwise(F.col("up")))
+    return cut(rows)
+
+
+def _doubled(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(paths, jumps). paths(file, node, msg, tool, reas, depth, active, said, since, cutter): sums over the path, its model, the
+    reasoning down from the nearest user's entry with how many entries below that this is, and the nearest compaction. jumps[k](file,
+    node, to): the 2^k-th entry up."""
+    adds = lambda c: F.when(F.col("kind") == "compaction", 0).otherwise(F.col(c)).cast("long").alias(c)
+    user = F.col("kind") == "user"
+    state = cut(rows.select(
+        "file", "node", F.col("up").alias("to"), adds("msg"), adds("tool"), adds("reas"), F.lit(1).cast("long").alias("depth"), F.col("model").alias("active"), F.when(user, F.col("reas")).cast("long").alias("said"),
+        F.when(user, 0).cast("long").alias("since"), F.when(F.col("kind") == "compaction", F.col("node")).alias("cutter"),
+    ))
+    done, jumps, names = None, [], state.columns
+    while True:
+        closed = state.filter(F.col("to").isNull())
+        done = closed if done is None else done.unionByName(closed)
+        going = state.filter(F.col("to").isNotNull())
+        jumps.append(going.select("file", "node", "to"))
+        if going.isEmpty():
+            return cut(done.drop("to")), jumps
+        there = done.unionByName(going).select([F.col(c).alias(c if c == "file" else f"u_{c}") for c in names])
+        both = going.join(there.withColumnRenamed("u_node", "to_"), (going.file == there.file) & (F.col("to") == F.col("to_"))).drop(there.file)
+        state = cut(both.select(
+            "file", "node", F.col("u_to").alias("to"), *[(F.col(c) + F.col(f"u_{c}")).alias(c) for c in ("msg", "tool", "reas", "depth")], F.coalesce("active", "u_active").alias("active"),
+            F.coalesce("said", F.col("reas") + F.col("u_said")).alias("said"), F.coalesce("since", F.col("depth") + F.col("u_since")).alias("since"), F.coalesce("cutter", "u_cutter").alias("cutter"),
+        ))
+        done = cut(done)
+
+
+def _after(rows: DataFrame, paths: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(file, node, msg, tool, reas): the composition behind each entry."""
+    at = lambda prefix, key: paths.select("file", F.col("node").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in ("msg", "tool", "reas", "depth", "said", "since")])
+    cuts = rows.filter("kind = 'compaction'").select("file", "node", "up", "from", F.col("msg").alias("summary"))
+    cuts = cuts.join(at("p", "up"), ["file", "up"], "left").join(at("k", "from"), ["file", "from"], "left")
+    kept = rows.select("file", F.col("node").alias("from"), *[F.when(F.col("kind") == "compaction", 0).otherwise(F.col(c)).alias(f"own_{c}") for c in ("msg", "tool", "reas")])
+    cuts = cuts.join(kept, ["file", "from"], "left").withColumn("far", F.col("p_depth") - F.col("k_depth")).withColumn("here", F.col("up"))
+    if not cuts.filter("far >= 0").isEmpty():
+        for k, jump in enumerate(jumps):  # the entry that lies `far` above the parent
+            step = jump.select("file", F.col("node").alias("here"), F.col("to").alias("there"))
+            cuts = cuts.join(step, ["file", "here"], "left").withColumn("here", F.when(F.expr(f"far >= 0 and (far & {1 << k}) <> 0"), F.col("there")).otherwise(F.col("here"))).drop("there")
+    on_path = F.coalesce((F.col("far") >= 0) & (F.col("here") == F.col("from")), F.lit(False))
+    span = lambda c: F.when(on_path, F.col(f"p_{c}") - F.col(f"k_{c}") + F.col(f"own_{c}")).otherwise(0)
+    thought = F.when(on_path & F.coalesce(F.col("p_since") <= F.col("far"), F.lit(False)), F.col("p_said")).otherwise(span("reas"))
+    cuts = cuts.select("file", F.col("node").alias("cutter"), (span("msg") + F.col("summary")).alias("c_msg"), span("tool").alias("c_tool"), thought.alias("c_reas"))
+    whole = paths.select("file", F.col("node").alias("cutter"), *[F.col(c).alias(f"w_{c}") for c in ("msg", "tool", "reas", "depth")])
+    every = paths.join(cut(cuts.join(whole, ["file", "cutter"])), ["file", "cutter"], "left")
+    beyond = lambda c: F.when(F.col("cutter").isNull(), F.col(c)).otherwise(F.col(c) - F.col(f"w_{c}") + F.col(f"c_{c}"))
+    fresh = F.coalesce(F.col("since") < F.col("depth") - F.coalesce("w_depth", F.lit(0)), F.lit(False))
+    return every.select("file", "node", beyond("msg").alias("msg"), beyond("tool").alias("tool"), F.when(fresh, F.col("said")).otherwise(beyond("reas")).alias("reas"))
 
 
 def owned(rows: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -41,3 +42,22 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(name)
     atexit.register(lambda: os.path.exists(name) and os.remove(name))
     _shipped.add(app)
+
+
+_own: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, by a reliable checkpoint in the folder that spark.checkpoint.dir names. A local session without one
+    (tests) gets a temporary folder; on a cluster that would not be shared, so it is an error."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named and context.applicationId not in _own:
+            _own[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+            atexit.register(shutil.rmtree, _own[context.applicationId], True)
+        context.setCheckpointDir(named or _own[context.applicationId])
+    return df.checkpoint()
