@@ -6,7 +6,7 @@ ever read for its distinct models. Rates are null where a catalog says nothing;
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -170,3 +170,29 @@ def ordered(models: DataFrame, column: str, descending: bool = True) -> DataFram
     else:
         order = [F.desc_nulls_last(column) if descending else F.asc_nulls_last(column), newest]
     return models.withColumn("place", F.row_number().over(W.Window.partitionBy(F.lit(0)).orderBy(*order)))  # a table of models
+
+
+def frozen(observed: DataFrame) -> DataFrame:
+    """observed(model, day, priced, RATES): what a model's price was found to be on each day -> (model, day, priced, RATES) as the daily
+    freeze leaves them: a day's own price stays; a day without one takes the first later price, and keeps it."""
+    later = W.Window.partitionBy("model").orderBy("day").rowsBetween(W.Window.currentRow, W.Window.unboundedFollowing)
+    held = F.first(F.when(F.col("priced"), F.struct(*RATES)), ignorenulls=True).over(later)
+    return observed.withColumn("held", held).select("model", "day", F.col("held").isNotNull().alias("priced"), *[F.coalesce(F.col(f"held.{r}"), F.lit(0)).alias(r) for r in RATES])
+
+
+def freeze_price(spark: SparkSession, table: str, current: DataFrame, day: str, model: str) -> None:
+    """Write a day's price of one model, once or again, to the history at `table`, partitioned by day: current(model, RATES) is what
+    resolves now. If there is a price, earlier days without one take it; no other day is ever changed."""
+    rates = current.filter(F.col("model") == model).select(*RATES).head(1)  # one row
+    now = tuple(rates[0]) if rates else (0,) * len(RATES)
+    schema = "model string, day string, priced boolean, " + ", ".join(f"{r} {current.schema[r].dataType.simpleString()}" for r in RATES)
+    rows = [(model, day, bool(rates), *now)]
+    if rates and _exists(spark, table):
+        known = spark.read.schema(schema).parquet(table).filter((F.col("model") == model) & ~F.col("priced") & (F.col("day") < day))
+        rows += [(model, r.day, True, *now) for r in known.select("day").collect()]  # at most a row a day
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "day").parquet(table)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -47,17 +47,24 @@ def ship_package(spark: SparkSession) -> None:
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a reliable checkpoint in the folder that spark.checkpoint.dir names. A local session without one
-    (tests) gets a temporary folder; on a cluster that would not be shared, so it is an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local session without one (tests) gets a temporary folder; on a cluster that
+    would not be shared, so it is an error."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], True)
+    return _own[context.applicationId]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not named and context.applicationId not in _own:
-            _own[context.applicationId] = tempfile.mkdtemp(prefix="ledgerloom-")
-            atexit.register(shutil.rmtree, _own[context.applicationId], True)
-        context.setCheckpointDir(named or _own[context.applicationId])
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -44,7 +44,7 @@ def _mapped(name: Column, names: dict[str, str], other: Column) -> Column:
 
 def routed_model(name: Column) -> Column:
     """The model behind a routing plugin's name: its prefix and its variant go; a name that is not known stays as it is."""
-    base = F.regexp_replace(F.regexp_replace(name, "^antigravity-", ""), "(-thinking)?(-(minimal|low|medium|high))?$", "")
+    base = F.regexp_replace(F.regexp_replace(name, "^antigravity-", ""), "(-thinking(-.*)?|-(minimal|low|medium|high|max))$", "")
     return F.when(name.startswith("antigravity-"), _mapped(base, ROUTED, name)).otherwise(name)
 
 
@@ -110,9 +110,10 @@ def opencode_legacy(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return messages, sessions
 
 
-def chat_rows(messages: DataFrame, sessions: DataFrame, source: str = "qoder", discovered: Column | None = None) -> DataFrame:
+def chat_rows(messages: DataFrame, sessions: DataFrame, source: str = "qoder", discovered: Column | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """messages(file, id, session_id, token_info, model_info, gmt_create ms) and sessions(session_id, parent_session_id): the
-    input holds what was cached; a session whose messages name no model takes its parent's first."""
+    input holds what was cached; a session whose messages name no model takes its parent's first. aliases(chinese, alias,
+    model): what the editions' own logs say, see `discovery.model_aliases`; it goes before what is known."""
     rows = messages.filter("token_info is not null and token_info <> '' and gmt_create > 0").withColumn("t", F.from_json("token_info", "prompt_tokens bigint, completion_tokens bigint, cached_tokens bigint")).filter("t is not null")
     named = F.nullif(F.get_json_object("model_info", "$.model_key"), F.lit(""))
     rows = rows.withColumn("named", named).withColumn("session", F.nullif(F.trim("session_id"), F.lit("")))
@@ -120,15 +121,21 @@ def chat_rows(messages: DataFrame, sessions: DataFrame, source: str = "qoder", d
     parents = sessions.filter("parent_session_id <> ''").select(F.col("session_id").alias("c_id"), "parent_session_id").dropDuplicates(["c_id"]).join(first, F.col("parent_session_id") == F.col("p_id")).select("c_id", "p_named")
     rows = rows.join(parents, F.col("session") == F.col("c_id"), "left")
     cached = zero(F.col("t.cached_tokens"))
+    chinese, named = F.lower("file").rlike("/(qodercn|[.]qoder-cn)/"), F.coalesce("named", "p_named")
+    model = chat_model(named, chinese, discovered)
+    if aliases is not None:
+        told = aliases.select(F.col("chinese").alias("a_chinese"), F.col("alias").alias("a_alias"), F.col("model").alias("a_model"))
+        rows = rows.join(told, (chinese == F.col("a_chinese")) & (named == F.col("a_alias")), "left")
+        model = F.coalesce("a_model", model)
     return ledger_rows(
-        rows, source, dedup_key=F.concat(F.lit(f"{source}:"), F.col("id")), timestamp=epoch(F.col("gmt_create")), model=chat_model(F.coalesce("named", "p_named"), F.lower("file").contains("qodercn"), discovered), input_tokens=zero(F.col("t.prompt_tokens")) - cached,
+        rows, source, dedup_key=F.concat(F.lit(f"{source}:"), F.col("id")), timestamp=epoch(F.col("gmt_create")), model=model, input_tokens=zero(F.col("t.prompt_tokens")) - cached,
         output_tokens=F.col("t.completion_tokens"), cache_read_tokens=cached, source_file="file", session_id="session",
     )
 
 
-def qoder_records(spark: SparkSession, path: str) -> DataFrame:
+def qoder_records(spark: SparkSession, path: str, aliases: DataFrame | None = None) -> DataFrame:
     messages = sqlite_rows(spark, path, "SELECT id, session_id, token_info, model_info, gmt_create FROM chat_message", "file string, id string, session_id string, token_info string, model_info string, gmt_create bigint")
-    return chat_rows(messages, sqlite_rows(spark, path, "SELECT session_id, parent_session_id FROM chat_session", "session_id string, parent_session_id string"))
+    return chat_rows(messages, sqlite_rows(spark, path, "SELECT session_id, parent_session_id FROM chat_session", "session_id string, parent_session_id string"), aliases=aliases)
 
 
 def unbooked_calls(lines: DataFrame, booked: DataFrame, source: str = "qoder") -> DataFrame:
@@ -308,24 +315,25 @@ def wire_fields(data: bytes) -> dict[int, int | bytes]:
     return out
 
 
-_GENERATION = "input long, output long, read long, reasoning long, at long, model string, response string"
+_GENERATION = "input long, output long, read long, reasoning long, at long, model string, response string, write long, number long, planner string"
 
 
 def _generation(data: bytes | None) -> tuple:
     inner = lambda m, f: wire_fields(m[f]) if isinstance(m.get(f), bytes) else {}
     count = lambda m, f: min(m[f], (1 << 63) - 1) if isinstance(m.get(f), int) else None
     text = lambda m, f: m[f].decode("utf-8", "ignore").strip() or None if isinstance(m.get(f), bytes) else None
-    chat = inner(wire_fields(bytes(data or b"")), 1)
+    entry = wire_fields(bytes(data or b""))
+    chat = inner(entry, 1)
     used = inner(chat, 4)
     reasoning, response = count(used, 9) or 0, count(used, 10) or 0
     whole = count(used, 3)
-    return count(used, 2) or 0, reasoning + response if whole is None else whole, count(used, 5) or 0, reasoning, count(inner(inner(chat, 9), 4), 1), text(chat, 19), text(used, 11)
+    return count(used, 2) or 0, reasoning + response if whole is None else whole, count(used, 5) or 0, reasoning, count(inner(inner(chat, 9), 4), 1), text(chat, 19), text(used, 11), count(used, 4) or 0, count(chat, 3), text(inner(entry, 3), 28)
 
 
 def _generations(data: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in _GENERATION.split(", ")]
     for some in data:
-        yield pd.DataFrame([_generation(x) for x in some], columns=names).astype({c: "Int64" for c in names[:5]})
+        yield pd.DataFrame([_generation(x) for x in some], columns=names).astype({c: "Int64" for c in [*names[:5], "write", "number"]})
 
 
 def generation_rows(blobs: DataFrame, source: str = "antigravity") -> DataFrame:
@@ -339,6 +347,28 @@ def generation_rows(blobs: DataFrame, source: str = "antigravity") -> DataFrame:
     )
 
 
+def conversation_exports(blobs: DataFrame) -> DataFrame:
+    """blobs(session, idx, data, project) -> documents(name, text), one for each conversation, as `exported_rows` reads them: its
+    generations that did any work, and the first name of a model that it was planned with."""
+    rows = blobs.select("session", "idx", "project", pandas_udf(_GENERATION)(_generations)("data").alias("g"))
+    work = (F.col("g.input") != 0) | (F.col("g.output") != 0) | (F.col("g.read") != 0) | (F.col("g.write") != 0)
+    one = F.struct(
+        F.col("g.response").alias("response_id"), F.coalesce("g.at", F.lit(0)).alias("ts"), F.col("g.number").alias("model_enum"), F.col("g.model").alias("model_alias"), F.col("g.input").alias("input"), F.col("g.output").alias("output"), F.col("g.read").alias("cache_read"), F.col("g.write").alias("cache_write"), F.col("g.reasoning").alias("thinking"),
+    )
+    each = rows.groupBy("session").agg(F.min_by(F.col("g.planner"), F.when(F.col("g.planner").isNotNull(), F.col("idx"))).alias("model"), F.max("project").alias("project"), F.sort_array(F.collect_list(F.when(work, F.struct("idx", one.alias("g"))))).alias("gs"))
+    document = F.struct(F.lit(1).alias("schema"), F.col("session").alias("conversation_id"), "model", "project", F.transform("gs", lambda x: x["g"]).alias("generations"))
+    return each.select(F.concat("session", F.lit(".json")).alias("name"), F.to_json(document).alias("text"))
+
+
+def limit_documents(readings: DataFrame) -> DataFrame:
+    """Readings -> documents(name, text), one for each source, of its newest readings, as `records.limit_exports` reads them."""
+    newest = readings.groupBy("source").agg(F.max("observed_at").alias("at")).select(F.col("source").alias("n_source"), "at")
+    rows = readings.join(newest, (F.col("source") == F.col("n_source")) & (F.col("observed_at") == F.col("at")))
+    window = F.struct(F.col("window_key").alias("key"), "window_minutes", "used_pct", "resets_at", F.struct("limit_id", "model_scope").alias("evidence"))
+    each = rows.groupBy("source").agg(F.max("at").alias("fetched_at"), *[F.max(c).alias(c) for c in ("plan", "metering_regime", "account_id")], F.sort_array(F.collect_list(window)).alias("windows"))
+    return each.select(F.concat("source", F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit(4).alias("schema"), "source", "fetched_at", "plan", "metering_regime", "account_id", "windows")).alias("text"))
+
+
 _EXPORTED = "schema int, conversation_id string, model string, project string, generations array<struct<response_id: string, ts: bigint, model_enum: bigint, model_alias: string, input: bigint, output: bigint, cache_read: bigint, cache_write: bigint, thinking: bigint>>"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ledgerloom.functions.formats import absolute_project, epoch, iso_epoch, nonnegative
+from ledgerloom.functions.formats import absolute_project, epoch, estimate, iso_epoch, nonnegative
 from ledgerloom.operators import folds
 from ledgerloom.operators.usage import TOKENS, total_tokens
 from ledgerloom.sources.lines import json_lines, parsed, stem, with_offsets, zero
@@ -172,19 +172,54 @@ def chat_records(spark: SparkSession, paths: str | list[str], source: str = "gem
     return made.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "seq")
 
 
-TURNS = "timestamp bigint, method string, params struct<sessionId: string, update: struct<sessionUpdate: string, prompt_id: string, usage: struct<inputTokens: bigint, outputTokens: bigint, cachedReadTokens: bigint, cacheCreationTokens: bigint, reasoningTokens: bigint, modelCalls: bigint>>>"
+#: The updates whose lines are understood.
+UPDATES = ("agent_message_chunk", "agent_thought_chunk", "auto_compact_completed", "auto_compact_started", "compaction_checkpoint", "current_mode_update", "hook_execution", "image_compressed", "image_dropped", "plan", "retry_state", "session_recap", "subagent_finished", "subagent_spawned", "task_backgrounded", "task_completed", "tool_call", "tool_call_update", "turn_completed", "user_message_chunk")
 
 
 def turn_records(spark: SparkSession, paths: str | list[str], source: str = "grok") -> DataFrame:
-    """Update logs: a record for each completed turn. A file with a turn whose cache is larger than its input is left out whole."""
-    rows = parsed(json_lines(spark, paths, "updates.jsonl"), TURNS).select("file", F.col("j.timestamp").alias("t"), F.col("j.params.sessionId").alias("session"), F.col("j.params.update").alias("u")).filter("u.sessionUpdate = 'turn_completed' and u.usage is not null")
-    cached, written = zero(F.col("u.usage.cachedReadTokens")), zero(F.col("u.usage.cacheCreationTokens"))
-    plain = zero(F.col("u.usage.inputTokens")) - cached - written
-    wrong = rows.filter(plain < 0).select("file").distinct()
-    return ledger_rows(
-        rows.join(wrong, "file", "left_anti"), source, dedup_key=F.concat_ws(":", F.lit(source), "session", "u.prompt_id"), timestamp=epoch(F.col("t")), api_calls=F.greatest(zero(F.col("u.usage.modelCalls")), F.lit(1)),
-        input_tokens=plain, output_tokens=F.col("u.usage.outputTokens"), cache_read_tokens=cached, cache_write_5m_tokens=written, source_file=F.col("file"), session_id=F.col("session"), reasoning_tokens=F.col("u.usage.reasoningTokens"),
+    """`turn_rows` of the update logs below paths."""
+    return turn_rows(json_lines(spark, paths, "updates.jsonl"), source)
+
+
+def turn_rows(lines: DataFrame, source: str = "grok") -> DataFrame:
+    """lines(file, place, line) of update logs: a record for each completed turn, with ctx_ columns: what was billed is divided by what
+    the chunks since the turn before weigh, thoughts against all else. Updates of other kinds are left out. A file with a line
+    that is no JSON, an update without a time, or a turn whose usage contradicts itself is left out whole."""
+    v, u = F.col("v"), "$.params.update"
+    text = lambda p: F.get_json_object("line", p)
+    kind_of = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    count = lambda p: F.when(kind_of(p) == "BIGINT", F.try_variant_get(v, p, "bigint"))
+    rows = lines.filter(F.trim("line") != "").select("file", "place", "line", F.try_parse_json("line").alias("v"))
+    known = text("$.method").isin("session/update", "_x.ai/session/update") & (F.coalesce(text("$.params.sessionId"), F.lit("")) != "") & text(f"{u}.sessionUpdate").isin(*UPDATES)
+    size = lambda p: F.coalesce(estimate(F.octet_length(text(p))), F.lit(0))
+    counters = {"input": "inputTokens", "calls": "modelCalls", "output": "outputTokens", "cached": "cachedReadTokens", "written": "cacheCreationTokens", "reasoning": "reasoningTokens"}
+    rows = rows.select(
+        "file", "place", v.isNull().alias("broken"), F.coalesce(known, F.lit(False)).alias("known"), text(f"{u}.sessionUpdate").alias("kind"), count("$.timestamp").alias("t"), text("$.params.sessionId").alias("session"), F.nullif(text(f"{u}.prompt_id"), F.lit("")).alias("prompt"),
+        text(f"{u}.usage").isNotNull().alias("billed"), *[text(f"{u}.usage.{c}").isNotNull().alias(f"has_{n}") for n, c in counters.items()], *[count(f"{u}.usage.{c}").alias(n) for n, c in counters.items()],
+        size(f"{u}.content.text").alias("text_size"), (size(f"{u}.rawInput") + size(f"{u}.rawOutput") + size(f"{u}.content")).alias("tool_size"),
+    )
+    ends = F.col("kind") == "turn_completed"
+    odd = F.lit(False)
+    for n in counters:
+        odd = odd | (F.col(f"has_{n}") & (F.col(n).isNull() | (F.col(n) < 0)))
+    odd = odd | ~F.col("has_input") | ~F.col("has_calls") | (F.coalesce("cached", F.lit(0)) + F.coalesce("written", F.lit(0)) > F.col("input")) | (F.col("reasoning") > F.coalesce("output", F.lit(0))) | (F.col("calls") < 1)
+    empty = (F.col("input") == 0) & (F.coalesce("output", F.lit(0)) == 0)
+    wrong = F.col("broken") | F.col("known") & (F.col("t").isNull() | (F.col("t") <= 0) | ends & F.col("billed") & (F.coalesce(odd, F.lit(True)) | ~empty & F.col("prompt").isNull()))
+    bad = rows.groupBy("file").agg(F.bool_or(F.coalesce(wrong, F.lit(False))).alias("bad")).filter("bad").select("file")
+    message = F.when(F.col("kind").isin("user_message_chunk", "agent_message_chunk"), F.col("text_size")).when(F.col("kind").isin("tool_call", "tool_call_update"), F.col("tool_size")).otherwise(0)
+    thought = F.when(F.col("kind") == "agent_thought_chunk", F.col("text_size")).otherwise(0)
+    before = W.Window.partitionBy("file").orderBy("place").rowsBetween(W.Window.unboundedPreceding, -1)
+    turns = rows.filter("known").join(bad, "file", "left_anti").withColumn("turn", F.coalesce(F.count_if(ends).over(before), F.lit(0))).withColumn("msg", message).withColumn("reas", thought)
+    sums = turns.groupBy("file", "turn").agg(F.sum("msg").alias("w_msg"), F.sum("reas").alias("w_reas"), F.max_by(F.struct("t", "session", "prompt", "billed", *counters), F.when(ends, F.col("place"))).alias("e")).filter("e.billed")
+    rows = sums.select("file", F.col("w_msg").alias("msg"), F.col("w_reas").alias("reas"), "e.*")
+    none = F.lit(0).cast("long")
+    shown = folds.attributed(rows.withColumn("billed", F.col("input")).select("*", *[none.alias(c) for c in ("tool", "mcp", "skill", "sys")], (F.col("input") <= 0).alias("tainted")), observed=())
+    made = ledger_columns(
+        source, dedup_key=F.concat_ws(":", F.lit(source), "session", "prompt"), timestamp=epoch(F.col("t")), api_calls=F.col("calls"), input_tokens=F.col("input") - zero(F.col("cached")) - zero(F.col("written")), output_tokens=F.col("output"), cache_read_tokens=F.col("cached"), cache_write_5m_tokens=F.col("written"),
+        source_file=F.col("file"), session_id=F.col("session"), reasoning_tokens=F.col("reasoning"),
     )
+    parts = ["ctx_messages", "ctx_system", "ctx_reasoning", F.lit(None).cast("long").alias("ctx_toolcalls"), "ctx_agents", "ctx_mcp", "ctx_skills"]
+    return shown.select(*made, *parts).filter((total_tokens() > 0) & F.col("timestamp").isNotNull())
 
 
 LINES = "type string, id string, sessionId string, timestamp bigint, cwd string, providerData struct<requestModelId: string, model: string, usage: struct<requests: bigint, inputTokens: bigint, outputTokens: bigint>, rawUsage: struct<prompt_cache_hit_tokens: bigint, cache_read_input_tokens: bigint, cache_creation_input_tokens: bigint, prompt_cache_write_tokens: bigint, completion_thinking_tokens: bigint>>"

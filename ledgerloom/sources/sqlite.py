@@ -102,9 +102,32 @@ def copilot_records(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def goose_records(spark: SparkSession, path: str) -> DataFrame:
+#: Fixed value: versions of the session store that are understood.
+GOOSE_VERSIONS = range(1, 16)
+
+
+def goose_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name): the tables of each store."""
+    return sqlite_rows(spark, path, "SELECT name FROM sqlite_master WHERE type = 'table'", "file string, name string")
+
+
+def goose_store(spark: SparkSession, path: str) -> DataFrame:
+    """`goose_records` of one store, after a look at its schema: an unknown version, or none of its sessions, is an error; the usage
+    ledger may be missing."""
+    names = {r.name for r in goose_tables(spark, path).collect()}  # a row a table
+    if "schema_version" in names:
+        version = sqlite_rows(spark, path, "SELECT max(version) AS version FROM schema_version", "version bigint").first().version
+        if version not in GOOSE_VERSIONS:
+            raise ValueError(f"goose: schema version {version} is not known ({GOOSE_VERSIONS[0]} to {GOOSE_VERSIONS[-1]} are)")
+    if "sessions" not in names:
+        raise ValueError("goose: the store has no sessions")
+    return goose_records(spark, path, "usage_ledger" in names)
+
+
+def goose_records(spark: SparkSession, path: str, has_ledger: bool = True) -> DataFrame:
     """Rows of the usage ledger with their session's folder; sessions without such rows count by their own sums."""
-    booked = sqlite_rows(spark, path, "SELECT u.id, u.session_id, u.created_timestamp, u.model, u.input_tokens, u.output_tokens, u.cache_read_tokens, u.cache_write_tokens, s.working_dir FROM usage_ledger u LEFT JOIN sessions s ON s.id = u.session_id", "file string, id bigint, session_id string, created_timestamp bigint, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, working_dir string")
+    none = "SELECT NULL id, NULL session_id, NULL created_timestamp, NULL model, NULL input_tokens, NULL output_tokens, NULL cache_read_tokens, NULL cache_write_tokens, NULL working_dir LIMIT 0"
+    booked = sqlite_rows(spark, path, none if not has_ledger else "SELECT u.id, u.session_id, u.created_timestamp, u.model, u.input_tokens, u.output_tokens, u.cache_read_tokens, u.cache_write_tokens, s.working_dir FROM usage_ledger u LEFT JOIN sessions s ON s.id = u.session_id", "file string, id bigint, session_id string, created_timestamp bigint, model string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, working_dir string")
     counters = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
     sums = ", ".join(f"COALESCE(NULLIF(accumulated_{c}, 0), {c}, 0) {c}" for c in counters)
     alone = sqlite_rows(spark, path, f"SELECT id, working_dir, COALESCE(updated_at, created_at) at, {sums} FROM sessions", "file string, id string, working_dir string, at string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint")
