@@ -390,6 +390,17 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 LABELS_SQL = """SELECT n_nationkey, ['Max 5x', 'Plus', 'Pro Plus', 'claude', NULL, 'Team Annual'][n_nationkey % 6 + 1] AS plan, CASE WHEN n_nationkey % 9 = 7 THEN 'gemini' END AS pool,
   CASE n_nationkey % 9 WHEN 0 THEN 'session' WHEN 1 THEN 'session' WHEN 2 THEN 'weekly' WHEN 3 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'weekly credits' ELSE 'weekly' END WHEN 4 THEN 'Opus 4' WHEN 5 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'monthly credits' ELSE '43200 min' END WHEN 6 THEN '77 min' WHEN 7 THEN 'session' ELSE 'Premium requests' END AS label FROM nation"""
 
+def _catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The tools of the catalog with their records, where each user's events stand for one tool's."""
+    used = _events(spark, sf).groupBy((F.col("u") % len(scan.CATALOG)).cast("int").alias("place")).agg(F.count("*").alias("records"), F.sum("k").alias("tokens"))
+    return scan.catalog(spark).join(used, "place", "left")
+
+
+def _catalog_sql() -> str:
+    rows = ", ".join(f"({i}, '{s.key}', '{s.label}', {repr(s.limits) if s.limits else 'NULL'})" for i, s in enumerate(scan.CATALOG))
+    return f"WITH {EVENTS_SQL}, r AS (SELECT u % {len(scan.CATALOG)} AS place, count(*) AS records, sum(k)::BIGINT AS tokens FROM e GROUP BY 1) SELECT v.place::INT AS place, key, label, limits, records, tokens FROM (VALUES {rows}) v(place, key, label, limits) LEFT JOIN r ON r.place = v.place"
+
+
 QUERIES = {
     "ctx_fold_claude": (_claude_fold, CLAUDE_SQL),
     "ctx_fold_tools": (_claude_tools, CLAUDE_TOOLS_SQL),
@@ -414,5 +425,5 @@ QUERIES = {
     "limit_cards": (_cards, _cards_sql()),
     "limits_page": (_limits_page, _limits_page_sql()),
     "limit_labels": (_labels, LABELS_SQL),
-    "source_catalog": (lambda spark, sf: scan.catalog(spark), "SELECT place::INT AS place, key, label, limits FROM (VALUES " + ", ".join(f"({i}, '{s.key}', '{s.label}', {repr(s.limits) if s.limits else 'NULL'})" for i, s in enumerate(scan.CATALOG)) + ") v(place, key, label, limits)"),
+    "source_catalog": (_catalog, _catalog_sql()),
 }

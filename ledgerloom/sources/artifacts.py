@@ -11,12 +11,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 from pyspark.sql.functions import pandas_udf
 
 from ledgerloom.functions.formats import absolute_project, epoch, iso_epoch, nonnegative, window_key
 from ledgerloom.operators import folds
 from ledgerloom.operators.usage import total_tokens
-from ledgerloom.sources.lines import json_lines, zero
+from ledgerloom.sources.lines import json_lines, stem, zero
 from ledgerloom.sources.records import ledger_rows
 from ledgerloom.sources.sqlite import sqlite_rows
 
@@ -173,8 +174,6 @@ def task_rows(files: DataFrame, source: str = "cline") -> DataFrame:
     at = F.coalesce(iso_epoch(stamp), epoch(stamp.try_cast("bigint")))
     ident = F.coalesce(*[F.nullif(F.col(f"{o}.{k}"), F.lit("")) for o in ("m", "t") for k in ("requestId", "request_id", "id")], F.concat(F.lit("ts:"), at.cast("string")))
     rows = rows.filter("input + output + read + write > 0").withColumn("at", at).filter("at is not null").withColumn("ident", ident).withColumn("started", F.col("m.say") == "api_req_started")
-    from pyspark.sql import window as W
-
     rows = rows.withColumn("index", F.row_number().over(W.Window.partitionBy("file", "started").orderBy("n")) - 1)
     one = rows.groupBy("file", "session", "index").agg(F.min_by(F.struct("ident", "at", "input", "output", "read", "write", F.coalesce("m.model", "t.model", "h_model").alias("model"), F.coalesce("m.cwd", "h_project").alias("project")), F.when(F.col("started"), 0).otherwise(1)).alias("r")).select("file", "session", "index", "r.*")
     key = F.concat(F.lit(f"{source}:session:"), F.col("session"), F.lit(":request:"), F.coalesce("ident", F.concat(F.lit("index:"), F.col("index").cast("string"))))
@@ -343,10 +342,34 @@ def generation_rows(blobs: DataFrame, source: str = "antigravity") -> DataFrame:
     at = F.coalesce(F.when(F.col("g.at") > 0, F.col("g.at")), "created")
     return ledger_rows(
         rows, source, dedup_key=F.concat_ws(":", F.lit(source), "session", F.coalesce("g.response", F.col("idx").cast("string"))), timestamp=at, model=generated_model(F.coalesce("g.model", F.lit("unknown")), at), project="project",
-        input_tokens=F.col("g.input"), output_tokens=F.col("g.output"), cache_read_tokens=F.col("g.read"), source_file="file", session_id="session", reasoning_tokens=F.col("g.reasoning"),
+        input_tokens=F.col("g.input"), output_tokens=F.col("g.output"), cache_read_tokens=F.col("g.read"), source_file="file", session_id="session", reasoning_tokens=F.col("g.reasoning"), seq=F.struct("file", F.col("idx").cast("long").alias("n")),
     )
 
 
+def _about(data: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    from urllib.parse import unquote
+
+    for some in data:
+        rows = []
+        for blob in some:
+            told = wire_fields(bytes(blob or b""))
+            inner = lambda f: wire_fields(told[f]) if isinstance(told.get(f), bytes) else {}  # noqa: B023, E731
+            created, folder = inner(2).get(1), inner(1).get(1)
+            uri = folder.decode("utf-8", "ignore") if isinstance(folder, bytes) else ""
+            rows.append((created if isinstance(created, int) and created > 0 else None, unquote(uri.removeprefix("file://")) if uri.startswith("file://") else None))
+        yield pd.DataFrame(rows, columns=["created", "project"]).astype({"created": "Int64"})
+
+
+def conversation_blobs(generations: DataFrame, files: DataFrame) -> DataFrame:
+    """generations(file, idx, data, about) of conversations' stores and files(path, modified) -> blobs for `generation_rows`: counted
+    within their conversation, with its folder and the time when it began, else that of its file."""
+    about = generations.select("file", "about").dropDuplicates(["file"]).select("file", pandas_udf("created long, project string")(_about)("about").alias("a"))
+    times = files.select(F.col("path").alias("file"), F.unix_timestamp("modified").alias("at"))
+    place = F.row_number().over(W.Window.partitionBy("file").orderBy("idx")) - 1
+    rows = generations.select("file", "data", place.alias("idx")).join(about, "file").join(times, "file", "left")
+    return rows.select("file", stem(F.col("file")).alias("session"), "idx", "data", F.coalesce("a.created", "at").alias("created"), F.col("a.project").alias("project"))
+
+
 def conversation_exports(blobs: DataFrame) -> DataFrame:
     """blobs(session, idx, data, project) -> documents(name, text), one for each conversation, as `exported_rows` reads them: its
     generations that did any work, and the first name of a model that it was planned with."""
@@ -379,7 +402,7 @@ def exported_rows(files: DataFrame, source: str = "antigravity") -> DataFrame:
     model = F.coalesce(generated_model(F.nullif(F.col("g.model_alias"), F.lit("")), at), numbered_model(F.col("g.model_enum"), at), F.nullif(F.col("j.model"), F.lit("")), F.lit("unknown"))
     return ledger_rows(
         rows, source, dedup_key=F.concat_ws(":", F.lit(source), F.col("j.conversation_id"), F.coalesce(F.nullif(F.col("g.response_id"), F.lit("")), F.col("n").cast("string"))), timestamp=at, model=model, project=F.col("j.project"), input_tokens=F.col("g.input"), output_tokens=F.col("g.output"),
-        cache_read_tokens=F.col("g.cache_read"), cache_write_5m_tokens=F.col("g.cache_write"), source_file="file", session_id=F.col("j.conversation_id"), reasoning_tokens=F.col("g.thinking"),
+        cache_read_tokens=F.col("g.cache_read"), cache_write_5m_tokens=F.col("g.cache_write"), source_file="file", session_id=F.col("j.conversation_id"), reasoning_tokens=F.col("g.thinking"), seq=F.struct("file", F.col("n").cast("long").alias("n")),
     )
 
 

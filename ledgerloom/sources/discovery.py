@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources.lines import stem
+from ledgerloom.sources.lines import plain_path, stem
 
 #: The places of artifacts, by the path below the root where a search begins; the first that fits counts.
 PLACES = (
@@ -46,15 +46,20 @@ def listing(spark: SparkSession, roots: list[str]) -> DataFrame:
     return out
 
 
-def artifacts_of(files: DataFrame, source: str) -> DataFrame:
-    """files(path, below, ..) of a tool with kind; files of no known place are left out, and a path that several roots hold counts
-    once."""
+def kind_of(below: Column, source: str) -> Column:
+    """What a file at this place below a root is to a tool; null: nothing."""
     kind = F.lit(None).cast("string")
     for tool, name, place in reversed(PLACES):
         if tool == source:
-            kind = F.when(F.col("below").rlike(place), name).otherwise(kind)
+            kind = F.when(below.rlike(place), name).otherwise(kind)
+    return kind
+
+
+def artifacts_of(files: DataFrame, source: str) -> DataFrame:
+    """files(path, below, ..) of a tool with kind; files of no known place are left out, and a path that several roots hold counts
+    once."""
     rest = [c for c in files.columns if c != "path"]
-    return files.withColumn("kind", kind).filter("kind is not null").groupBy("path").agg(*[F.min_by(c, "below").alias(c) for c in (*rest, "kind")])
+    return files.withColumn("kind", kind_of(F.col("below"), source)).filter("kind is not null").groupBy("path").agg(*[F.min_by(c, "below").alias(c) for c in (*rest, "kind")])
 
 
 def task_id(path: Column) -> Column:
@@ -93,7 +98,7 @@ def model_aliases(lines: DataFrame) -> DataFrame:
 def logs_with_times(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, place, line, modified) of text logs."""
     text = spark.read.option("lineSep", "\n").text(paths)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("modified"))
+    return text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
 # --- older stores beside newer ones

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ledgerloom.sources.lines import plain_path
+
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
@@ -93,4 +95,4 @@ def write_documents(documents: DataFrame, folder: str, replace: bool = False) ->
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(file, text) of the documents in a folder."""
-    return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))

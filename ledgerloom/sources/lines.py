@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as it is called: Spark gives it with percent signs."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def json_lines(spark: SparkSession, paths: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """(file, place, line) of every file below paths; place orders the lines of a file. Files are split as Spark splits
     text, so a long log is read by many tasks."""
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", "\n").text(paths)
     block = F.col("_metadata.file_block_start")
-    return text.select(F.col("_metadata.file_path").alias("file"), F.struct(block.alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_size").alias("file_size"))
+    return text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.struct(block.alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"), F.col("value").alias("line"), F.col("_metadata.file_size").alias("file_size"))
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:

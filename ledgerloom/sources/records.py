@@ -16,7 +16,7 @@ from pyspark.sql import window as W
 from ledgerloom.functions.formats import absolute_project, epoch, estimate, iso_epoch, nonnegative
 from ledgerloom.operators import folds
 from ledgerloom.operators.usage import TOKENS, total_tokens
-from ledgerloom.sources.lines import json_lines, parsed, stem, with_offsets, zero
+from ledgerloom.sources.lines import json_lines, parsed, plain_path, stem, with_offsets, zero
 
 COLUMNS = ["dedup_key", "source", "timestamp", "model", "project", "api_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens", "source_file", "session_id", "reasoning_tokens"]
 
@@ -159,10 +159,15 @@ CHAT = "sessionId string, messages array<struct<id: string, timestamp: string, m
 
 
 def chat_records(spark: SparkSession, paths: str | list[str], source: str = "gemini") -> DataFrame:
-    """Chat files, one JSON object each: the input holds what was cached, the output lacks the thoughts. The first of
-    equal message ids counts."""
+    """`chat_rows` of the chat files below paths."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", CHAT).alias("j")).filter("j.messages is not null").select("file", F.col("j.sessionId").alias("session"), F.posexplode("j.messages").alias("n", "m"))
+    return chat_rows(files.select(plain_path(F.col("_metadata.file_path")).alias("file"), "value"), source)
+
+
+def chat_rows(files: DataFrame, source: str = "gemini") -> DataFrame:
+    """files(file, value), a JSON object each: the input holds what was cached, the output lacks the thoughts. The first of
+    equal message ids counts."""
+    rows = files.select("file", F.from_json("value", CHAT).alias("j")).filter("j.messages is not null").select("file", F.col("j.sessionId").alias("session"), F.posexplode("j.messages").alias("n", "m"))
     made = ledger_rows(
         rows.filter("m.id is not null and m.tokens is not null"), source, dedup_key=F.concat_ws(":", F.lit(source), "session", "m.id"), timestamp=iso_epoch(F.col("m.timestamp")), model=F.col("m.model"),
         input_tokens=zero(F.col("m.tokens.input")) - zero(F.col("m.tokens.cached")), output_tokens=zero(F.col("m.tokens.output")) + zero(F.col("m.tokens.thoughts")), cache_read_tokens=F.col("m.tokens.cached"),
@@ -201,10 +206,10 @@ def turn_rows(lines: DataFrame, source: str = "grok") -> DataFrame:
     ends = F.col("kind") == "turn_completed"
     odd = F.lit(False)
     for n in counters:
-        odd = odd | (F.col(f"has_{n}") & (F.col(n).isNull() | (F.col(n) < 0)))
-    odd = odd | ~F.col("has_input") | ~F.col("has_calls") | (F.coalesce("cached", F.lit(0)) + F.coalesce("written", F.lit(0)) > F.col("input")) | (F.col("reasoning") > F.coalesce("output", F.lit(0))) | (F.col("calls") < 1)
-    empty = (F.col("input") == 0) & (F.coalesce("output", F.lit(0)) == 0)
-    wrong = F.col("broken") | F.col("known") & (F.col("t").isNull() | (F.col("t") <= 0) | ends & F.col("billed") & (F.coalesce(odd, F.lit(True)) | ~empty & F.col("prompt").isNull()))
+        odd = odd | (F.col(f"has_{n}") & (F.coalesce(F.col(n), F.lit(-1)) < 0))
+    odd = odd | ~F.col("has_input") | ~F.col("has_calls") | (zero(F.col("cached")) + zero(F.col("written")) > zero(F.col("input"))) | (zero(F.col("reasoning")) > zero(F.col("output"))) | (zero(F.col("calls")) < 1)
+    empty = (zero(F.col("input")) == 0) & (zero(F.col("output")) == 0)
+    wrong = F.col("broken") | F.col("known") & ((zero(F.col("t")) <= 0) | ends & F.col("billed") & (odd | ~empty & F.col("prompt").isNull()))
     bad = rows.groupBy("file").agg(F.bool_or(F.coalesce(wrong, F.lit(False))).alias("bad")).filter("bad").select("file")
     message = F.when(F.col("kind").isin("user_message_chunk", "agent_message_chunk"), F.col("text_size")).when(F.col("kind").isin("tool_call", "tool_call_update"), F.col("tool_size")).otherwise(0)
     thought = F.when(F.col("kind") == "agent_thought_chunk", F.col("text_size")).otherwise(0)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -12,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import merge
-from ledgerloom.sources import artifacts, records, sqlite
+from ledgerloom.session import cut
+from ledgerloom.sources.readers import READERS, Reader, limit_readings
+from ledgerloom.streaming.ledger import merged
 
 
 @dataclass(frozen=True)
@@ -74,18 +75,6 @@ def roots(source: Source, home: str, environment: dict[str, str] | None = None,
     return list(dict.fromkeys(map(tidy, found)))
 
 
-Reader = Callable[[SparkSession, list[str]], DataFrame]
-
-
-def _each(one: Callable[[SparkSession, str], DataFrame]) -> Reader:
-    return lambda spark, paths: one(spark, ",".join(paths))
-
-
-READERS: dict[str, Reader] = {
-    "claude": records.call_ledger, "codex": records.rollout_ledger, "copilot": _each(sqlite.copilot_records), "gemini": records.chat_records, "hermes": _each(sqlite.hermes_records), "grok": records.turn_records, "goose": _each(sqlite.goose_records),
-    "opencode": _each(artifacts.opencode_records), "kilo": _each(sqlite.kilo_records), "zed": _each(artifacts.zed_records), "pi": artifacts.pi_records, "omp": lambda spark, paths: artifacts.pi_records(spark, paths, "omp"),
-    "workbuddy": records.line_records, "codebuddy": lambda spark, paths: records.line_records(spark, paths, "codebuddy"), "qoder": _each(artifacts.qoder_records),
-}
 #: Sources whose records come again with more output, each column by its rule; of the others the last one read stays.
 GROWING = ("claude", "pi", "omp", "workbuddy", "codebuddy")
 
@@ -98,16 +87,15 @@ def run(spark: SparkSession, home: str, environment: dict[str, str] | None = Non
     for source in CATALOG:
         read = readers.get(source.key)
         if read is None:
-            said.append((source.key, 0, None))
+            said.append((source.key, 0, "no reader for its logs"))
             continue
         try:
             rows = read(spark, roots(source, home, environment, (overlays or {}).get(source.key)))
             if source.key in GROWING:
-                from ledgerloom.streaming.ledger import merged
-
                 rows = merged(rows).drop("seq")
             elif "seq" in rows.columns:
                 rows = merge.replace(rows)
+            rows = cut(rows)  # logs are parsed once
             found = rows.count()
         except (PySparkException, OSError, ValueError) as wrong:
             said.append((source.key, 0, str(wrong).splitlines()[0][:200]))
@@ -117,6 +105,11 @@ def run(spark: SparkSession, home: str, environment: dict[str, str] | None = Non
     return out, spark.createDataFrame(said, "source string, records long, error string")
 
 
+def readings(spark: SparkSession, home: str, environment: dict[str, str] | None = None, overlays: dict[str, str] | None = None, exports: list[str] = ()) -> DataFrame:
+    """The limit readings of all tools' logs and of exports."""
+    return limit_readings(spark, {s.key: roots(s, home, environment, (overlays or {}).get(s.key)) for s in CATALOG}, exports)
+
+
 def changes(status: DataFrame) -> DataFrame:
     """What a scan changed, for those who wait for it: records that were read and tools that failed."""
     return status.agg(F.sum("records").alias("records"), F.count_if(F.col("error").isNotNull()).alias("failed"))
