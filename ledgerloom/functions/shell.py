@@ -1,22 +1,16 @@
-"""What a shell command line runs: its words, executable, signature and kind.
+"""What a shell command line runs: its words, executable, signature and kind, all as expressions.
 
-Cutting a line into words needs a scan that knows quotes, a small helper that tasks run over Arrow batches; everything
-else is expressions over the words.
+Patterns that know quotes cut a line into words and a word into its parts, of which each loses its own quotes.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-_QUOTED = r"""\"((?:\\.|[^\"\\])*)(?:\"|\\?$)|'([^']*)(?:'|$)"""
-_WORD = re.compile(rf"""(?:{_QUOTED.replace('(', '(?:').replace('(?:?:', '(?:')}|[^\s\"'])+""", re.S)
-_PART = re.compile(_QUOTED, re.S)
+_DOUBLE, _SINGLE = r"""\"(?:\\.|[^\"\\])*(?:\"|\\?\z)""", r"""'[^']*(?:'|\z)"""
+_WORD = rf"""(?sU)(?:{_DOUBLE}|{_SINGLE}|[^\s\"'])+"""
+_PART = rf"""(?s){_DOUBLE}|{_SINGLE}|[^\"']+"""
 #: Shells whose -lc argument is the command, and words that only stand before one.
 SHELLS, BEFORE = ("bash", "sh", "zsh", "fish"), ("rtk", "env", "command", "xcrun")
 #: Kinds of commands in the order in which they are tried, as patterns over the words, each between commas.
@@ -43,34 +37,31 @@ KINDS = (
 ASSIGNMENT = "^[A-Z_][A-Z0-9_]*="
 
 
-def split_words(line: str) -> list[str]:
+def _without_quotes(part: Column) -> Column:
+    double = F.regexp_replace(F.regexp_extract(part, r"""(?s)^\"((?:\\.|[^\"\\])*)""", 1), r"(?s)\\(.)", "$1")
+    return F.when(part.startswith('"'), double).when(part.startswith("'"), F.regexp_extract(part, "(?s)^'([^']*)", 1)).otherwise(part)
+
+
+def words(line: Column) -> Column:
     """Words between blanks; quotes of either kind hold blanks together and go, a backslash takes the next character
     inside double quotes. An open quote reaches to the end. Empty words are none."""
-    plain = lambda q: re.sub(r"\\(.)", r"\1", q[1], flags=re.S) if q[1] is not None else q[2]
-    return [w for m in _WORD.finditer(line) if (w := _PART.sub(plain, m[0]))]
+    whole = F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(_WORD), F.lit(0))
+    plain = F.transform(whole, lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(_PART), F.lit(0)), _without_quotes), ""))
+    return F.filter(plain, lambda w: w != "")
 
 
-def run_words(line: str) -> list[str]:
+def run(found: Column) -> Column:
     """The words of what is run in the end: behind a shell's -lc, and behind words that only stand before a command."""
-    found = split_words(line)
-    while len(found) >= 2:
-        if len(found) >= 3 and found[0] in SHELLS and found[1] == "-lc":
-            return split_words(" ".join(found[2:]))
-        if found[0] not in BEFORE:
-            break
-        found = found[1:]
-    return found
-
-
-def _cut(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for some in lines:
-        some = some.fillna("")
-        yield pd.DataFrame({"words": some.map(lambda x: split_words(x.strip())), "run": some.map(run_words)})
+    n, first = F.size(found), F.array_position(F.transform(found, lambda w: w.isin(*BEFORE)), False)
+    skip = F.greatest(F.least(F.when(first == 0, n).otherwise(first - 1), n - 1), F.lit(0)).cast("int")
+    rest = F.slice(found, skip + 1, F.greatest(n, F.lit(1)))
+    shell = (F.size(rest) >= 3) & F.get(rest, F.lit(0)).isin(*SHELLS) & (F.get(rest, F.lit(1)) == "-lc")
+    return F.when(shell, words(F.array_join(F.slice(rest, 3, F.greatest(n, F.lit(1))), " "))).otherwise(rest)
 
 
 def cut(line: Column) -> Column:
-    """struct(words, run) of a command line; use it once and refer to its fields."""
-    return pandas_udf("struct<words:array<string>,run:array<string>>")(_cut)(line)
+    """struct(words, run) of a command line."""
+    return F.struct(words(F.trim(line)).alias("words"), run(words(line)).alias("run"))
 
 
 def _name(word: Column) -> Column:
@@ -89,9 +80,9 @@ def signature(run: Column) -> Column:
     return F.when(F.size(run) == 0, "unknown").otherwise(F.concat_ws(" ", first, second))
 
 
-def kind(line: Column, words: Column) -> Column:
+def kind(line: Column, found: Column) -> Column:
     """The first of KINDS that fits; a line with several commands that fits none is compound."""
-    marked = F.concat(F.lit(","), F.array_join(F.transform(words, lambda w: F.replace(F.regexp_replace(w, "[;&|]+$", ""), F.lit(","), F.lit(" "))), ","), F.lit(","))
+    marked = F.concat(F.lit(","), F.array_join(F.transform(found, lambda w: F.replace(F.regexp_replace(w, "[;&|]+$", ""), F.lit(","), F.lit(" "))), ","), F.lit(","))
     out = F.when(line.rlike("[;&|]"), "compound").otherwise("unknown")
     for name, pattern in reversed(KINDS):
         out = F.when(marked.rlike(pattern), name).otherwise(out)

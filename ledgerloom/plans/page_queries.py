@@ -144,6 +144,20 @@ def _exec_rows(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("source", shell.kind(F.col("line"), F.col("cut.words")).alias("kind"), shell.executable(F.col("cut.run")).alias("exe"), shell.signature(F.col("cut.run")).alias("cmd"), F.col("est").alias("est_tokens"), F.lit(1).cast("long").alias("calls"))
 
 
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with quotes of both kinds, escapes within and without, empty words and quotes that stay open."""
+    docs = fixtures.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("l"), F.col("source").alias("s"))
+    text = F.format_string('run  "a \\"%s\\" b"\tx=\'c %s\' \'\' k\\ \'"\'"\'"', "l", "s")
+    line = F.concat(text, F.when(F.col("doc_id") % 3 == 0, " 'to the end ").otherwise(" end"))
+    inner = F.format_string("env bash -lc '%s -x \"%s y\"'", "s", "l")
+    return docs.select("doc_id", F.array_join(shell.words(line), "|").alias("words"), F.array_join(shell.run(shell.words(inner)), "|").alias("run"))
+
+
+WORDS_SQL = (
+    "SELECT doc_id, 'run|a \"' || lang || '\" b|x=c ' || source || '|k\\|\"''' || CASE WHEN doc_id % 3 = 0 THEN '|to the end ' ELSE '|end' END AS words, source || '|-x|' || lang || ' y' AS run FROM documents"
+)
+
+
 def _exec_weights(spark: SparkSession, sf: str) -> DataFrame:
     return _exec_rows(spark, sf).groupBy("source", "kind", "exe", "cmd").agg(F.sum("est_tokens").alias("est_tokens"), F.sum("calls").alias("calls"))
 
@@ -527,6 +541,7 @@ QUERIES = {
     "pricing_table": (_pricing_table, _pricing_table_sql()),
     "pricing_search": (_pricing_search, f"WITH {_SHOWN_SQL} SELECT model, source, state, overall FROM shown WHERE state = 'ok' AND (contains(lower(model), 'brand#1') OR contains(lower(source), 'brand#1'))"),
     "pricing_chips": (lambda spark, sf: prices.chips(_pricing_rows(spark, sf)), f"WITH {_SHOWN_SQL} SELECT count(*)::BIGINT AS \"all\", count(*) FILTER (state = 'unpriced')::BIGINT AS unpriced, count(*) FILTER (state = 'override')::BIGINT AS override, count(*) FILTER (state = 'est')::BIGINT AS est FROM shown"),
+    "shell_words": (_words, WORDS_SQL),
     "ctx_exec": (_exec_weights, f"WITH {_exec_sql()} SELECT * FROM ec"),
     "exec_facets": (_facets, _facets_sql()),
     "exec_signatures": (_signatures, _signatures_sql()),
