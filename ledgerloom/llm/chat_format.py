@@ -180,7 +180,7 @@ def write_chats(conversations: DataFrame, path: str, tokenizer: str | None = Non
         if out:
             yield batch_of(out)
 
-    ranged.mapInArrow(run, STORED.format(id=conversations.schema["conv_id"].dataType.simpleString())).write.mode("overwrite").parquet(path)
+    ranged.mapInArrow(run, STORED.format(id=conversations.schema["conv_id"].dataType.simpleString())).write.mode("overwrite").option("compression", "zstd").parquet(path)
     return path
 
 
