@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import ledger_queries, page_queries, source_queries, store_queries, stream_queries, usage_queries
+from ledgerloom.plans import ledger_queries, limit_queries, page_queries, source_queries, store_queries, stream_queries, usage_queries
 from ledgerloom.plans.usage_queries import Query
 from ledgerloom.session import ship_package
 
-_ALL: dict[str, tuple[Query, str | None]] = {**usage_queries.QUERIES, **ledger_queries.QUERIES, **page_queries.QUERIES, **source_queries.QUERIES, **store_queries.QUERIES, **stream_queries.QUERIES}
+_ALL: dict[str, tuple[Query, str | None]] = {**usage_queries.QUERIES, **ledger_queries.QUERIES, **page_queries.QUERIES, **source_queries.QUERIES, **store_queries.QUERIES, **stream_queries.QUERIES, **limit_queries.QUERIES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
