@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ledgerloom.operators import prices, usage
-from ledgerloom.plans import fixtures
+from ledgerloom.operators import limits, merge, prices, usage
+from ledgerloom.plans import fixtures, ledger_queries
 from ledgerloom.plans.fixtures import USAGE_SQL
 from ledgerloom.plans.source_queries import _BOOKED, EVENTS_SQL, _events
 from ledgerloom.plans.usage_queries import DAY_SQL
@@ -239,6 +239,48 @@ def _alias_price(spark: SparkSession, sf: str) -> DataFrame:
 ALIAS_PRICE_SQL = f"""WITH {USAGE_SQL}, {fixtures.RATES_SQL}, m AS (SELECT CASE WHEN model = 'Brand#5' THEN 'codex-auto-review' ELSE model END AS model, CASE WHEN model = 'Brand#5' THEN 'Brand#7' WHEN model <> 'Brand#7' THEN model END AS priced_as, sum(input_tokens)::BIGINT AS input_tokens FROM usage GROUP BY ALL)
   SELECT m.model, m.input_tokens, input::BIGINT AS input, output::BIGINT AS output, origin FROM m LEFT JOIN rates ON rates.model = priced_as"""
 
+# --- rates of a catalog whose fields are numbers, strings, missing or null
+def _catalog_rates(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    value = F.when(k % 5 == 0, F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"'))).when(k % 5 == 1, "null").when(k % 5 == 2, F.col("p_size").cast("string")).when(k % 5 == 3, F.concat(F.col("p_size").cast("string"), F.lit(".5")))
+    entry = F.parse_json(F.when(value.isNull(), '{"other":1}').otherwise(F.concat(F.lit('{"rate":'), value, F.lit("}"))))
+    return fixtures.table(spark, sf, "part").select("p_partkey", prices.number_field(entry, "rate").alias("rate"))
+
+
+CATALOG_RATES_SQL = "SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN p_size::DOUBLE WHEN 3 THEN p_size + 0.5::DOUBLE END AS rate FROM part"
+
+
+# --- sessions that a tool knows of but has no transcript of any more
+def _pruned(spark: SparkSession, sf: str) -> DataFrame:
+    known = fixtures.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("session_id"), F.concat(F.lit("/w/"), F.col("o_custkey").cast("string")).alias("cwd"), F.col("o_orderpriority").alias("title"), F.lit(1).alias("created_at"), F.lit(2).alias("updated_at"), F.when(F.col("o_orderkey") % 7 == 0, 5).alias("deleted_at")
+    )
+    transcripts = fixtures.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("session_id"))
+    return records.pruned_sessions(known, transcripts).groupBy("title").agg(F.count("*").alias("sessions"), F.max("cwd").alias("last"))
+
+
+PRUNED_SQL = "SELECT o_orderpriority AS title, count(*) AS sessions, max('/w/' || o_custkey) AS last FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1"
+
+
+# --- message records of sessions whose older rows were sums of whole sessions
+def _superseded(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf)
+    sums = e.groupBy("session").agg(F.sum("k").alias("input_tokens")).select(F.concat(F.lit("opencode:session:"), "session", F.lit(":sum")).alias("dedup_key"), F.col("session").alias("session_id"), "input_tokens", F.lit(0).cast("long").alias("seq"))
+    new = e.filter("u % 3 = 0").select(F.concat(F.lit("opencode:session:"), "session", F.lit(":message:"), "id").alias("dedup_key"), F.col("session").alias("session_id"), F.col("k").alias("input_tokens"), F.lit(1).cast("long").alias("seq"))
+    return merge.supersede(sums, new, prefixes=artifacts.superseded_prefixes(new)).select("dedup_key", "session_id", "input_tokens")
+
+
+SUPERSEDED_SQL = f"""WITH {EVENTS_SQL} SELECT 'opencode:session:' || u || ':sum' AS dedup_key, u::VARCHAR AS session_id, sum(k)::BIGINT AS input_tokens FROM e WHERE u % 3 <> 0 GROUP BY u
+  UNION ALL SELECT 'opencode:session:' || u || ':message:' || n, u::VARCHAR, k FROM e WHERE u % 3 = 0"""
+
+
+# --- when time alone changes the next answer
+def _next_due(spark: SparkSession, sf: str) -> DataFrame:
+    return limits.next_due(ledger_queries._estimate(spark, sf), ledger_queries.EVALUATED)
+
+
+NEXT_DUE_SQL = f"SELECT min(next_evaluation_at) FILTER (next_evaluation_at > {ledger_queries.EVALUATED}) AS due FROM ({ledger_queries.ESTIMATE_SQL})"
+
 QUERIES = {
     "ctx_fold_grok": (_grok, GROK_SQL),
     "ledger_daily": (_ledger_daily, LEDGER_DAILY_SQL),
@@ -252,4 +294,8 @@ QUERIES = {
     "price_frozen": (_frozen, FROZEN_SQL),
     "price_frozen_days": (_priced_days, PRICED_DAYS_SQL),
     "price_alias": (_alias_price, ALIAS_PRICE_SQL),
+    "price_fields": (_catalog_rates, CATALOG_RATES_SQL),
+    "pruned_sessions": (_pruned, PRUNED_SQL),
+    "superseded_sums": (_superseded, SUPERSEDED_SQL),
+    "limit_next_due": (_next_due, NEXT_DUE_SQL),
 }

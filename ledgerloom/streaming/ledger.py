@@ -90,12 +90,17 @@ def _paths(table: str, parts: list) -> list[str]:
     return [f"{table}/rows/batch={p.batch}/bits={p.bits}/value={p.value}" for p in parts if p.rows]
 
 
+def cadence(seconds: int) -> int:
+    """Seconds between batches: 10 to 14,400; 0 is the longest."""
+    return min(max(seconds, 10), 14_400) if seconds else 14_400
+
+
 def ingest(records: DataFrame, table: str, checkpoint: str, seconds: int | None = None) -> StreamingQuery:
     """Merge a stream of ledger rows with seq, their order of arrival, into the ledger at `table`; read it with `stored`. Rows may
-    have supersedes, a key that goes. seconds: how often (10 to 14,400; none: all there is, once)."""
+    have supersedes, a key that goes. seconds: how often (10 to 14,400, which 0 stands for; none: all there is, once)."""
     if "seq" not in records.columns:
         raise ValueError("records need seq, their order of arrival")
-    interval = {"availableNow": True} if seconds is None else {"processingTime": f"{min(max(seconds, 10), 14_400)} seconds"}
+    interval = {"availableNow": True} if seconds is None else {"processingTime": f"{cadence(seconds)} seconds"}
     return records.writeStream.foreachBatch(lambda batch, number: put(batch, number, table)).option("checkpointLocation", checkpoint).trigger(**interval).start()
 
 

@@ -266,6 +266,10 @@ def test_a_small_batch_touches_few_parts_and_old_versions_go(spark, tmp_path, mo
     check_series(spark, table)
 
 
+def test_cadence():
+    assert [ledger.cadence(s) for s in (0, 1, 10, 77, 99_999)] == [14_400, 10, 10, 77, 14_400]
+
+
 def test_late_records_change_the_answers_of_their_source_only(spark, tmp_path):
     table, hour = str(tmp_path / "table"), 3600
     reading = "source string, window_key string, window_minutes long, used_pct double, resets_at long, observed_at long, account_id string, plan string, metering_regime string, limit_id string, model_scope string, covered_from long, external_activity string, source_order long"
