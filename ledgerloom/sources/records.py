@@ -188,14 +188,14 @@ def turn_records(spark: SparkSession, paths: str | list[str], source: str = "gro
 
 def turn_rows(lines: DataFrame, source: str = "grok") -> DataFrame:
     """lines(file, place, line) of update logs: a record for each completed turn, with ctx_ columns: what was billed is divided by what
-    the chunks since the turn before weigh, thoughts against all else. Updates of other kinds are left out. A file with a line
+    the chunks since the turn before weigh, thoughts against all else. Updates of other kinds or methods are left out. A file with a line
     that is no JSON, an update without a time, or a turn whose usage contradicts itself is left out whole."""
     v, u = F.col("v"), "$.params.update"
     text = lambda p: F.get_json_object("line", p)
     kind_of = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
     count = lambda p: F.when(kind_of(p) == "BIGINT", F.try_variant_get(v, p, "bigint"))
     rows = lines.filter(F.trim("line") != "").select("file", "place", "line", F.try_parse_json("line").alias("v"))
-    known = text("$.method").isin("session/update", "_x.ai/session/update") & (F.coalesce(text("$.params.sessionId"), F.lit("")) != "") & text(f"{u}.sessionUpdate").isin(*UPDATES)
+    known = F.coalesce(text("$.method").isin("session/update", "_x.ai/session/update"), F.lit(True)) & (F.coalesce(text("$.params.sessionId"), F.lit("")) != "") & text(f"{u}.sessionUpdate").isin(*UPDATES)
     size = lambda p: F.coalesce(estimate(F.octet_length(text(p))), F.lit(0))
     counters = {"input": "inputTokens", "calls": "modelCalls", "output": "outputTokens", "cached": "cachedReadTokens", "written": "cacheCreationTokens", "reasoning": "reasoningTokens"}
     rows = rows.select(
