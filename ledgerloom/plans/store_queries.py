@@ -105,8 +105,7 @@ DISCOVERED_SQL = """WITH d AS (SELECT doc_id::VARCHAR AS i, doc_id % 10 AS k, n_
     UNION ALL SELECT 'opencode', CASE k WHEN 4 THEN 'database' WHEN 5 THEN 'legacy_session' ELSE 'legacy_message' END, CASE k WHEN 4 THEN 'h' WHEN 5 THEN 'g' ELSE 's' || i END, n_chars FROM d WHERE k IN (4, 5, 6)
     UNION ALL SELECT 'goose', 'legacy', 'h', n_chars FROM d WHERE k = 7
     UNION ALL SELECT 'qoder', CASE WHEN k < 9 THEN 'transcript' ELSE 'log' END, CASE k WHEN 7 THEN 'h' WHEN 8 THEN 'sub' ELSE 'logs' END, n_chars FROM d WHERE k IN (7, 8, 9))
-  SELECT tool, kind, count(*) AS files, sum(n_chars)::BIGINT AS size, max(task) AS last_task FROM x
-  WHERE tool <> 'cline' OR kind <> 'session' OR true GROUP BY ALL"""
+  SELECT tool, kind, count(*) AS files, sum(n_chars)::BIGINT AS size, max(task) AS last_task FROM x GROUP BY ALL"""
 
 
 def _transcripts(spark: SparkSession, sf: str) -> DataFrame:
