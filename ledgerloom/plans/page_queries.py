@@ -450,10 +450,10 @@ def _bucket_bounds_sql() -> str:
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("o_orderkey")
+    n, now = F.col("o_orderkey").cast("long"), F.lit(1 << 48)  # later than any key, as an instant up to 0 stands for no scan at all
     via = F.when(n % 2 == 0, "live").otherwise("logs")
     rows = fixtures.table(spark, sf, "orders").select("o_orderkey").distinct()
-    return rows.select("o_orderkey", dates.duration(n * 7).alias("lasts"), dates.freshness(via, F.when(n % 5 != 0, F.lit(1_000_000) - n * 13), F.lit(1_000_000)).alias("fresh"), dates.since(F.when(n % 3 == 0, 0).otherwise(1_000_000 - n), F.lit(1_000_000)).alias("scanned"))
+    return rows.select("o_orderkey", dates.duration(n * 7).alias("lasts"), dates.freshness(via, F.when(n % 5 != 0, now - n * 13), now).alias("fresh"), dates.since(F.when(n % 3 == 0, 0).otherwise(now - n), now).alias("scanned"))
 
 
 SPANS_SQL = """WITH o AS (SELECT DISTINCT o_orderkey, o_orderkey * 7 AS m FROM orders) SELECT o_orderkey,
