@@ -18,38 +18,41 @@ def _epoch(column: str):
     return F.unix_seconds(F.col(column).cast("timestamp"))
 
 
-def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One usage record for each line item, in USAGE_SCHEMA's columns plus `seq`, its order of arrival."""
+def usage(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """One usage record for each line item, in USAGE_SCHEMA's columns; ordered: and `seq`, its order of arrival.
+
+    Line items are shuffled twice, by part and by order; orders, a quarter as many, find their customer's place first. What a
+    record counts is worked out before that, so that small whole numbers are shuffled and not prices, unless `seq` has those."""
+    long = lambda c: c.cast("long")
+    num = F.col("l_linenumber")
+    counts = {
+        "timestamp": _epoch("l_shipdate"), "api_calls": long(num % 3 + 1), "input_tokens": long(F.floor(F.col("l_quantity") * 100)), "output_tokens": long(F.floor(F.col("l_extendedprice") / 100)),
+        "cache_read_tokens": long(F.round(F.col("l_discount") * 1000)), "cache_write_5m_tokens": long(F.round(F.col("l_tax") * 1000)), "cache_write_1h_tokens": long(num % 3),
+        "reasoning_tokens": F.when(F.col("l_returnflag") != "R", long(F.floor(F.col("l_extendedprice") / 1000))),
+    }
     line = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    if not ordered:
+        line = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", *[c.alias(n) for n, c in counts.items()])
+        counts = {n: F.col(n) for n in counts}
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") != 1, F.col("p_brand")).alias("model"))
     place = (
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", "n_name", "r_name")
+        .select("c_custkey", F.when(F.col("n_name") != "NATION_7", F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))).alias("project"))
     )
-    joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey).join(place, F.col("o_custkey") == F.col("c_custkey"))
-    long = lambda c: c.cast("long")
-    num = F.col("l_linenumber")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "P").alias("partial"), F.lower("o_orderpriority").alias("source"))
+    orders = orders.join(place, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    joined = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # Ties are rows that are equal in every column a query reads.
+    seq = F.struct(counts["timestamp"].alias("t"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus").alias("seq")
     return joined.select(
-        F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), num.cast("string")).alias("dedup_key"),
-        F.lower("o_orderpriority").alias("source"),
-        _epoch("l_shipdate").alias("timestamp"),
-        F.when(F.col("p_size") != 1, F.col("p_brand")).alias("model"),
-        F.when(F.col("n_name") != "NATION_7", F.concat(F.lit("/"), F.col("r_name"), F.lit("/"), F.col("n_name"))).alias("project"),
-        long(num % 3 + 1).alias("api_calls"),
-        long(F.floor(F.col("l_quantity") * 100)).alias("input_tokens"),
-        long(F.floor(F.col("l_extendedprice") / 100)).alias("output_tokens"),
-        long(F.round(F.col("l_discount") * 1000)).alias("cache_read_tokens"),
-        long(F.round(F.col("l_tax") * 1000)).alias("cache_write_5m_tokens"),
-        long(num % 3).alias("cache_write_1h_tokens"),
+        F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), num.cast("string")).alias("dedup_key"), "source", counts["timestamp"].alias("timestamp"), "model", "project",
+        *[counts[c].alias(c) for c in ("api_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")],
         F.concat("l_linestatus", F.lit("/"), F.col("l_suppkey").cast("string")).alias("source_file"),
-        F.when(~((F.col("o_orderstatus") == "P") & (num == 7)), F.col("l_orderkey").cast("string")).alias("session_id"),
-        F.when(F.col("l_returnflag") != "R", long(F.floor(F.col("l_extendedprice") / 1000))).alias("reasoning_tokens"),
-        # Ties are rows that are equal in every column a query reads.
-        F.struct(_epoch("l_shipdate").alias("t"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), F.col("l_returnflag"), F.col("l_linestatus")).alias("seq"),
-    )
+        F.when(~(F.col("partial") & (num == 7)), F.col("l_orderkey").cast("string")).alias("session_id"),
+        counts["reasoning_tokens"].alias("reasoning_tokens"), *([seq] if ordered else []),
+    )
 
 
 USAGE_SQL = """usage AS (

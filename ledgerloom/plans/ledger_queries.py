@@ -21,15 +21,15 @@ def insert_sql(rows: str = "r", order: str = "rn") -> str:
 
 
 def _insert(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.insert(fixtures.usage(spark, sf)).select(*_SHOWN)
+    return merge.insert(fixtures.usage(spark, sf, ordered=True).select(*_SHOWN, "seq")).select(*_SHOWN)
 
 
 def _replace(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.replace(fixtures.usage(spark, sf)).select(*_SHOWN)
+    return merge.replace(fixtures.usage(spark, sf, ordered=True).select(*_SHOWN, "seq")).select(*_SHOWN)
 
 
 def _keep_max(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.usage(spark, sf).drop("ctx_messages")
+    rows = fixtures.usage(spark, sf, ordered=True).drop("ctx_messages")
     return merge.keep_max_output(rows, ["source", "timestamp", "input_tokens"], ["project", "session_id"], ["reasoning_tokens"], ["model"])
 
 
@@ -42,8 +42,8 @@ KEEP_MAX_SQL = f"""WITH {_RN}, h AS (SELECT *, max(output_tokens) OVER (PARTITIO
 
 def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Old rows are of status O, new ones of status F."""
-    rows = fixtures.usage(spark, sf)
-    return rows.filter(F.col("source_file").startswith("O")), rows.filter(F.col("source_file").startswith("F"))
+    rows = fixtures.usage(spark, sf, ordered=True)
+    return tuple(rows.filter(F.col("source_file").startswith(status)).select(*_SHOWN, "seq") for status in "OF")
 
 
 def _supersede(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +59,7 @@ SUPERSEDE_SQL = f"""WITH {_RN}, o AS (SELECT * FROM r WHERE source_file LIKE 'O%
 
 
 def _replace_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.usage(spark, sf)
+    rows = fixtures.usage(spark, sf, ordered=True).select(*_SHOWN, "source_file", "seq")
     return merge.replace_files(rows.filter("timestamp < 883612800"), rows.filter("timestamp >= 978307200")).select(*_SHOWN)
 
 
@@ -89,7 +89,7 @@ def _additive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sessions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fixtures.usage(spark, sf).filter("session_id is not null").select("source", "session_id", "project", "model", F.col("timestamp").alias("updated_at"), "seq")
+    rows = fixtures.usage(spark, sf, ordered=True).filter("session_id is not null").select("source", "session_id", "project", "model", F.col("timestamp").alias("updated_at"), "seq")
     return merge.latest_known(rows.withColumn("seq", F.struct("seq", "model")), ["source", "session_id"]).select("source", "session_id", "project", "updated_at")
 
 
