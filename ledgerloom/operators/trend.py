@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ledgerloom.operators.usage import Filters, bucket, total_tokens
+from ledgerloom.session import cut
 
 MORE, UNATTRIBUTED = "more", "unattributed"
 
@@ -74,6 +75,8 @@ def granularity(days: Column) -> Column:
 
 def trend(rows: DataFrame, unit: str, fill: bool = True) -> DataFrame:
     """(bucket, source, tokens) by hour, day, week or month; with fill, every key between the ends has every source."""
+    if fill:  # asked three times, and the ledger is read once: a few rows a day
+        rows = cut(rows.groupBy("bucket", "source").agg(F.sum("tokens").alias("tokens")))
     sums = rows.groupBy(coarser(F.col("bucket"), unit).alias("bucket"), "source").agg(F.sum("tokens").alias("tokens"))
     if not fill:
         return sums
