@@ -36,8 +36,8 @@ def merged(rows: DataFrame) -> DataFrame:
     """One row for each key, by `merge.keep_max_output`; seq is that of the newest row of the key."""
     rest = [c for c in rows.columns if c not in ("dedup_key", "seq", "output_tokens", *_ASIDE, *FIRST, *HYBRID, *LATEST)]
     kept = [[c for c in some if c in rows.columns] for some in (FIRST, HYBRID, LATEST)]
-    newest = rows.groupBy("dedup_key").agg(F.max("seq").alias("seq"))
-    return merge.keep_max_output(rows, rest, *kept).join(newest, "dedup_key").select(*[c for c in rows.columns if c not in _ASIDE])
+    told = rows.withColumn("newest", F.max("seq").over(W.Window.partitionBy("dedup_key")))
+    return merge.keep_max_output(told, [*rest, "newest"], *kept).withColumnRenamed("newest", "seq").select(*[c for c in rows.columns if c not in _ASIDE])
 
 
 # --- the folders of a table

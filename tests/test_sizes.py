@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import catalog
+from ledgerloom.plans import fixtures
+from ledgerloom.streaming import ledger
 
 
 def against_sql(spark, folder, name: str, tables: list[str]) -> None:
@@ -21,3 +26,25 @@ def against_sql(spark, folder, name: str, tables: list[str]) -> None:
 def test_spans_of_large_keys(spark, tmp_path, first):
     spark.range(first, first + 40).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
     against_sql(spark, tmp_path, "date_spans", ["orders"])
+
+
+def test_line_items_are_shuffled_twice(spark, small):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.usage(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"Exchange hashpartitioning\(l_(?:order|part)key", plan)) == 2 and "Exchange hashpartitioning(o_custkey" in plan and "Exchange hashpartitioning(l_orderkey#" in plan
+
+
+@pytest.mark.parametrize("unit", ["day", "week", "month"])
+def test_a_filled_trend_reads_the_ledger_once(spark, small, unit):
+    filled = catalog.queries()[f"trend_{unit}"](spark, small)
+    assert "lineitem" not in filled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_merge_reads_its_rows_once(spark):
+    rows = spark.range(8).select(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("dedup_key"), "id", F.col("id").alias("seq"), (F.col("id") % 4).alias("output_tokens"), F.lit("s").alias("source"))
+    found = ledger.merged(rows.drop("id"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
+    assert sorted((r.dedup_key, r.output_tokens, r.seq) for r in found.collect()) == [("k0", 3, 6), ("k1", 3, 7), ("k2", 2, 5)]
