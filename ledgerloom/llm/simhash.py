@@ -36,8 +36,8 @@ SHINGLE = 4
 #: What `keep_one` takes for near copies: shingles of so many words, and a Jaccard similarity of their sets.
 COPY_SHINGLE, SIMILAR = 5, 0.8
 #: Keys by which texts are brought together for that, and shingles that make a key: of two texts that are just similar enough
-#: all keys differ with a chance of 2 in 10^4.
-BANDS, ROWS = 16, 4
+#: all keys differ with a chance of 2 in 10^9.
+BANDS, ROWS = 28, 3
 MAX_BITS = 4
 #: Cells with more fingerprints than this are cut by blocks of bits.
 CELL_ROWS = 8192
@@ -302,27 +302,41 @@ def _similar(pairs: DataFrame, similar: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, prints: DataFrame, width: int, similar: float) -> DataFrame:
-    """prints(digest, fp, bands) of docs(digest, text) -> links (u, v) of fingerprints whose texts have a Jaccard similarity of
-    at least `similar`. A fingerprint stands for one of its texts. Texts with a key in common meet at the least of their
-    fingerprints and are compared with it by their whole sets, never with each other, so no group makes pairs; tables on
-    both sides of the joins let adaptive execution split a common key or text."""
-    one = prints.groupBy("fp").agg(F.min(F.struct("digest", "bands")).alias("o")).select("fp", "o.*")
-    keys = materialize(one.select("fp", "digest", F.explode("bands").alias("band")), "bands")
-    heads = materialize(keys.groupBy("band").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v"), "heads")
-    pairs = materialize(keys.join(heads, "band").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct(), "pairs")
-    asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    texts = keys.select("fp", "digest").distinct().join(asked, "fp", "left_semi")
+    """prints(digest, fp, bands) of docs(digest, text) -> links (u, v) of fingerprints that connect all whose texts share a key and
+    have a Jaccard similarity of at least `similar`. Every different text is asked, also where several have one fingerprint. Texts
+    with a key in common are first compared with the least of them; then all pairs of them that are still in two components are, by
+    their whole sets, if their sizes allow it. So a group of copies makes no pairs, and no link between different components is left
+    out. Tables on both sides of the joins let adaptive execution split a common key or text."""
+    one = prints.groupBy("digest", "fp").agg(F.first("bands").alias("bands"))
+    keys = materialize(one.select("digest", "fp", F.explode("bands").alias("band")), "bands")
+    shared = keys.groupBy("band").agg(F.min("digest").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v")
+    met = materialize(keys.join(shared, "band"), "met")  # (band, digest, fp, v): keys that no other text has are gone
+    texts = met.select("digest", "fp").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "shingles"])
-
-    wanted = docs.join(texts, "digest").dropDuplicates(["fp"]).select("fp", "text")
-    sets = materialize(wanted.mapInArrow(run, "fp long, shingles binary"), "sets")
-    left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
-    both = materialize(left, "compared").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    return materialize(_similar(both, similar), "near-copies")
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["digest", "fp", "size", "shingles"])
+
+    wanted = docs.join(texts, "digest").dropDuplicates(["digest"]).select("digest", "fp", "text")
+    sets = materialize(wanted.mapInArrow(run, "digest long, fp long, size long, shingles binary"), "sets")
+
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(x, y) of digests -> links of their fingerprints."""
+        side = lambda d, fp, s: sets.select(F.col("digest").alias(d), F.col("fp").alias(fp), F.col("shingles").alias(s))
+        left = materialize(pairs.join(side("x", "u", "a"), "x"), f"{name}-left")
+        return materialize(_similar(left.join(side("y", "v", "b"), "y"), similar), name)
+
+    first = compared(met.filter("digest <> v").select(F.col("digest").alias("x"), F.col("v").alias("y")).distinct(), "near-heads")
+    roots = components(first)
+    placed = met.join(sets.select("digest", "size"), "digest").join(roots, F.col("fp") == F.col("node"), "left").select("band", "digest", "size", F.coalesce("root", "fp").alias("root"))
+    apart = materialize(placed, "placed")
+    many = apart.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    apart = materialize(apart.join(many, "band"), "apart")
+    x, y = (apart.select("band", F.col("digest").alias(d), F.col("size").alias(f"{d}_size"), F.col("root").alias(f"{d}_root")) for d in "xy")
+    near = (F.least("x_size", "y_size") >= F.lit(similar) * F.greatest("x_size", "y_size")) & (F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root"))
+    rest = compared(materialize(x.join(y, "band").filter(near).select("x", "y").distinct(), "pairs"), "near-rest")
+    return first.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, width: int = COPY_SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS, similar: float | None = SIMILAR) -> DataFrame:

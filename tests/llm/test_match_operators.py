@@ -384,3 +384,14 @@ def test_kept_digest_of_the_query(spark, small):
     got = {r["doc_id"]: r for r in rows_of(substring_dedup.op4_suffix_dedup(spark, small))}
     whole = {r["doc_id"]: bytes(r["kept"]) for r in rows_of(substring_dedup.remove_repeats(frame(spark, documents(spark, small))))}
     assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(k).hexdigest() for i, k in whole.items()}
+
+
+def test_a_head_hides_no_pair(spark):
+    """The least of the texts that share a key is like none of them, and a fingerprint's other text has a copy of its own."""
+    words = [f"w{i}" for i in range(100)]
+    a, b, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(100))
+    docs = spark.createDataFrame([(1, other), (2, a), (3, b)], "digest long, text string")
+    prints = spark.createDataFrame([(1, 10, [7]), (2, 20, [7]), (3, 30, [7])], "digest long, fp long, bands array<long>")
+    assert {tuple(sorted(r)) for r in simhash.near_copies(docs, prints, 5, 0.8).collect()} == {(20, 30)}
+    prints = spark.createDataFrame([(1, 20, [5]), (2, 20, [7]), (3, 30, [7])], "digest long, fp long, bands array<long>")
+    assert {tuple(sorted(r)) for r in simhash.near_copies(docs, prints, 5, 0.8).collect()} == {(20, 30)}
