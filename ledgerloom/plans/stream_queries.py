@@ -15,6 +15,8 @@ from ledgerloom.streaming import sessions
 
 #: Bytes of a log that one batch reads: small, so that logs take several batches and their state has to be carried.
 FEW = 6000
+#: Batches, about, that the longest log takes if that makes more bytes: their number must not grow with it.
+BATCHES = 8
 
 
 def _as_files(lines: DataFrame, folder: str, tail: str = "") -> str:
@@ -41,8 +43,9 @@ OFFSETS_SQL = """WITH l AS (SELECT conv_id, turn, role, 15 + length(turn::VARCHA
 def _streamed(spark: SparkSession, logs: str, stream_of) -> DataFrame:
     """What a stream makes of logs, run after run, each with a state that the run before has left."""
     out, state, mark, before = _fresh(spark, "streamed"), _fresh(spark, "state"), _fresh(spark, "checkpoint"), -1
+    longest = spark.read.format("binaryFile").load(logs).agg(F.max("length")).first()[0] or 0
     while True:
-        stream = stream_of(growing_lines(spark, logs, state, max_bytes=FEW))
+        stream = stream_of(growing_lines(spark, logs, state, max_bytes=max(FEW, longest // BATCHES)))
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
         rows = spark.read.parquet(out)
         count = rows.count()

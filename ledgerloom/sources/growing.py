@@ -7,7 +7,7 @@ of the parser is read anew, as its next generation. The plan, a row a file that
 becomes the offset of the stream: a batch that is run again reads the same bytes, and a restart goes on with the last plan.
 `state` belongs beside the stream's checkpoint, where a new driver finds it.
 
-A file gives at most `max_bytes` a batch (cut at a line end), and a long range is read by many tasks, a piece each. Files have to lie
+A file gives at most `max_bytes` a batch (cut at a line end), and a long range is read by many tasks, a piece each; short ones are put together for a task. Files have to lie
 where the executors can open them: paths, or addresses that pyarrow knows (of stores without links, where a name is a file).
 """
 
@@ -17,6 +17,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 LINES = "identity string, file string, generation int, since long, place long, line string"
 #: Bytes of a task, of a block in the search for line ends, and of a file's beginning that is remembered; plans between snapshots.
 PIECE, BLOCK, HEAD, SNAPSHOT = 32 << 20, 1 << 16, 256, 50
+#: How small pieces are put together for a task (see `packed`), and threads that plan.
+SHARE, LEAST, SMALL, THREADS = 64, 1 << 20, 1 << 14, 16
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -59,24 +62,22 @@ def _found(path: str, glob: str) -> list[tuple[str, str, int, int]]:
     return list(out.values())
 
 
-def _bytes(path: str, start: int, end: int) -> bytes:
-    store, name = _store(path)
-    with store.open_input_file(name) as f:
-        f.seek(start)
-        return f.read(end - start)
+def _bytes(f, start: int, end: int) -> bytes:
+    f.seek(start)
+    return f.read(end - start)
 
 
-def line_end(path: str, start: int, end: int, size: int) -> int:
-    """Behind the last line end in [start, end), or behind the first one from there on; start if there is none up to size."""
+def line_end(f, start: int, end: int, size: int) -> int:
+    """Behind the last line end in [start, end) of an open file, or behind the first one from there on; start if there is none up to size."""
     at = end
     while at > start:
-        block = _bytes(path, max(start, at - BLOCK), at)
+        block = _bytes(f, max(start, at - BLOCK), at)
         if (found := block.rfind(b"\n")) >= 0:
             return max(start, at - BLOCK) + found + 1
         at = max(start, at - BLOCK)
     at = end
     while at < size:
-        block = _bytes(path, at, min(size, at + BLOCK))
+        block = _bytes(f, at, min(size, at + BLOCK))
         if (found := block.find(b"\n")) >= 0:
             return at + found + 1
         at += BLOCK
@@ -91,6 +92,27 @@ class _Piece(InputPartition):
         self.since, self.first, self.last, self.end = since, first, last, end
 
 
+class _Pack(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, pieces: list[_Piece]):
+        self.pieces = pieces
+
+
+def packed(pieces: list[_Piece]) -> list[_Pack]:
+    """Pieces in their order, dealt to tasks: a SHARE of all bytes each, but LEAST at least and PIECE at most, so that a small log is no
+    task of its own. A file counts for SMALL bytes at least, as it has to be opened."""
+    sizes = [max(SMALL, p.last - p.first) for p in pieces]
+    room, packs, held = min(PIECE, max(LEAST, sum(sizes) // SHARE)), [], PIECE
+    for piece, size in zip(pieces, sizes, strict=True):
+        if held + size > room:
+            packs.append(_Pack([]))
+            held = 0
+        packs[-1].pieces.append(piece)
+        held += size
+    return packs
+
+
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.roots, self.glob = options["path"].split(","), options.get("glob", "*.jsonl")
@@ -137,19 +159,17 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         self._load()
-        changed = []
+        changed, asked = [], []
         for identity, path, size, mtime in (x for root in self.roots for x in _found(root, self.glob)):
             f = self.files.get(identity)
-            if f and not f["stale"] and (f["size"], f["mtime"]) == (size, mtime) and f["end"] == f["whole"]:
-                continue
-            try:
-                new = self._planned(f, identity, path, size, mtime)
-            except OSError:  # gone since it was listed
-                continue
-            if new:
-                self.files[identity] = new
-                if new["end"] > new["since"] or new["since"] == 0:
-                    changed.append(new)
+            if not (f and not f["stale"] and (f["size"], f["mtime"]) == (size, mtime) and f["end"] == f["whole"]):
+                asked.append((f, identity, path, size, mtime))
+        with ThreadPoolExecutor(THREADS) as some:
+            for new in some.map(lambda x: self._planned(*x), asked):
+                if new:
+                    self.files[new["identity"]] = new
+                    if new["end"] > new["since"] or new["since"] == 0:
+                        changed.append(new)
         if changed:
             self.n += 1
             self._write(self._name("plan", self.n), changed)
@@ -158,25 +178,33 @@ class GrowingReader(DataSourceStreamReader):
         return {"n": self.n}
 
     def _planned(self, f: dict | None, identity: str, path: str, size: int, mtime: int) -> dict | None:
-        again = f is not None and (f["stale"] or size < f["end"] or zlib.crc32(_bytes(path, 0, f["head"][0])) != f["head"][1])
+        try:
+            store, name = _store(path)
+            with store.open_input_file(name) as opened:
+                return self._next(opened, f, identity, path, size, mtime)
+        except OSError:  # gone since it was listed
+            return None
+
+    def _next(self, opened, f: dict | None, identity: str, path: str, size: int, mtime: int) -> dict | None:
+        again = f is not None and (f["stale"] or size < f["end"] or zlib.crc32(_bytes(opened, 0, f["head"][0])) != f["head"][1])
         since = 0 if f is None or again else f["end"]
         generation = 0 if f is None else f["generation"] + again
-        whole = line_end(path, since, size, size)
-        end = whole if whole - since <= self.most else line_end(path, since, since + self.most, size)
+        whole = line_end(opened, since, size, size)
+        end = whole if whole - since <= self.most else line_end(opened, since, since + self.most, size)
         if end == since and f is not None and not again:
             return f | {"size": size, "mtime": mtime, "whole": whole, "path": path, "since": since}
         if end == 0 and f is None:
             return None  # nothing whole yet
-        head = _bytes(path, 0, min(HEAD, end))
+        head = _bytes(opened, 0, min(HEAD, end))
         return {"identity": identity, "file": f["file"] if f else path, "path": path, "generation": generation, "since": since, "end": end, "whole": whole, "size": size, "mtime": mtime, "head": [len(head), zlib.crc32(head)], "stale": False}
 
-    def partitions(self, start: dict, end: dict) -> list[_Piece]:
+    def partitions(self, start: dict, end: dict) -> list[_Pack]:
         pieces = []
         for n in range(start["n"] + 1, end["n"] + 1):
             for f in self._read(self._name("plan", n))["files"]:
                 for a in range(f["since"], f["end"], PIECE):
                     pieces.append(_Piece(f["identity"], f["file"], f["path"], f["generation"], f["since"], a, min(a + PIECE, f["end"]), f["end"]))
-        return pieces
+        return packed(pieces)
 
     def commit(self, end: dict) -> None:
         """Plans that a snapshot holds and whose batches are done are not needed again."""
@@ -185,7 +213,11 @@ class GrowingReader(DataSourceStreamReader):
             if snaps and n <= snaps[-1]:
                 self.state.delete_file(self._name("plan", n))
 
-    def read(self, piece: _Piece) -> Iterator[pa.RecordBatch]:
+    def read(self, pack: _Pack) -> Iterator[pa.RecordBatch]:
+        for piece in pack.pieces:
+            yield from self._lines(piece)
+
+    def _lines(self, piece: _Piece) -> Iterator[pa.RecordBatch]:
         store, name = _store(piece.path)
         try:
             f = store.open_input_file(name)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import catalog
 from ledgerloom.plans import fixtures
+from ledgerloom.sources import growing
 from ledgerloom.streaming import ledger
 
 
@@ -48,3 +49,14 @@ def test_a_merge_reads_its_rows_once(spark):
     found = ledger.merged(rows.drop("id"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1
     assert sorted((r.dedup_key, r.output_tokens, r.seq) for r in found.collect()) == [("k0", 3, 6), ("k1", 3, 7), ("k2", 2, 5)]
+
+
+def test_small_logs_share_a_task(tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n:03}.jsonl").write_bytes(b'{"n":%d}\n' % n * 3)
+    reader = growing.GrowingReader({"path": str(tmp_path), "state": str(tmp_path / "s")})
+    packs = reader.partitions({"n": 0}, reader.latestOffset())
+    got = [line for p in packs for b in reader.read(p) for line in b.column(5).to_pylist()]
+    assert len(packs) <= growing.SHARE and got == [f'{{"n":{n}}}' for n in range(300) for _ in range(3)]
+    large = growing.packed([growing._Piece("i", "f", "f", 0, 0, a, a + growing.PIECE, 1 << 40) for a in range(0, 10 * growing.PIECE, growing.PIECE)])
+    assert [len(p.pieces) for p in large] == [1] * 10  # no task reads more than before
