@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"  # fixed value: what separates words everywhere in this subpackage
 
 _own: dict[str, str] = {}
+#: What the open `scratch` blocks, the innermost last, have written.
+_scratch: ContextVar[tuple[dict[str, DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +45,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _scratch.get():
+        _scratch.get()[-1][path] = out
     return out
 
 
@@ -49,6 +56,27 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `materialize` writes inside are deleted at the end, but those given to the function that this yields: they
+    belong to the block around this one, if there is one."""
+    around, made = _scratch.get(), {}
+    token = _scratch.set((*around, made))
+
+    def keep(df: DataFrame) -> DataFrame:
+        made.pop(df.written_at)
+        if around:
+            around[-1][df.written_at] = df
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for df in made.values():
+            forget(df)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

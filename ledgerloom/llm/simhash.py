@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import documents, materialize, text_or_empty, whole_row
+from ledgerloom.llm.common import documents, materialize, scratch, text_or_empty, whole_row
 from ledgerloom.llm.components import components
 
 SEED = 42
@@ -293,7 +293,7 @@ def _similar(pairs: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             ok = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(c.as_py(), "<u8") for c in (a, b))
+                x, y = a.values.to_numpy(), b.values.to_numpy()
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared >= similar * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["u", "v"])
@@ -301,42 +301,77 @@ def _similar(pairs: DataFrame, similar: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _mixed(rows: DataFrame, key: str) -> DataFrame:
+    """Keys (and their n rows) that texts of more than one component have."""
+    return rows.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select(key, "n")
+
+
+def _apart(sets: DataFrame, similar: float) -> DataFrame:
+    """sets(digest, root, size, shingles) -> pairs (x, y) of different roots, among them all that are similar enough.
+
+    Shingles get one order: first those that a single root has, then by the number of texts that have them. Two texts similar enough
+    share so many that the first they share is among the first size - similar * size + 1 of both, and that behind it enough are left.
+    The first they share is in two roots, so the others are counted only."""
+    shingles = sets.select("digest", "root", "size", F.explode("shingles").alias("shingle"))
+    ranked = shingles.join(_mixed(shingles, "shingle"), "shingle").groupBy("digest", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    first = (F.col("size") - F.size("ranked")).alias("first")
+    reach = F.greatest(F.size("ranked") + 1 - F.ceil(similar * F.col("size") - 1e-6), F.lit(0)).cast("int")
+    heads = ranked.select("digest", "root", "size", first, F.posexplode(F.slice("ranked", F.lit(1), reach)).alias("at", "head"))
+    heads = materialize(heads.select("digest", "root", F.col("head.shingle").alias("shingle"), "size", (F.col("size") - F.col("first") - F.col("at")).alias("left")), "heads")
+    heads = materialize(heads.join(_mixed(heads, "shingle").select("shingle"), "shingle"), "mixed-heads")
+    x, y = (heads.select("shingle", F.col("digest").alias(d), *[F.col(c).alias(f"{d}_{c}") for c in ("root", "size", "left")]) for d in "xy")
+    enough = _can_be_similar(F.least("x_left", "y_left"), F.col("x_size") + F.col("y_size"), similar)
+    return x.join(y, "shingle").filter((F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root")) & enough).select("x", "y").distinct()
+
+
+def _can_be_similar(shared: Column, sizes: Column, similar: float) -> Column:
+    """Whether sets whose sizes add up to `sizes` and that share so many at most can be similar enough; the slack is for rounding."""
+    return shared * (1 + similar) >= similar * sizes - 1e-6
+
+
 def near_copies(docs: DataFrame, prints: DataFrame, width: int, similar: float) -> DataFrame:
     """prints(digest, fp, bands) of docs(digest, text) -> links (u, v) of fingerprints that connect all whose texts share a key and
-    have a Jaccard similarity of at least `similar`. Every different text is asked, also where several have one fingerprint. Texts
-    with a key in common are first compared with the least of them; then all pairs of them that are still in two components are, by
-    their whole sets, if their sizes allow it. So a group of copies makes no pairs, and no link between different components is left
-    out. Tables on both sides of the joins let adaptive execution split a common key or text."""
-    one = prints.groupBy("digest", "fp").agg(F.first("bands").alias("bands"))
-    keys = materialize(one.select("digest", "fp", F.explode("bands").alias("band")), "bands")
-    shared = keys.groupBy("band").agg(F.min("digest").alias("v"), F.count("*").alias("n")).filter("n > 1").select("band", "v")
-    met = materialize(keys.join(shared, "band"), "met")  # (band, digest, fp, v): keys that no other text has are gone
-    texts = met.select("digest", "fp").distinct()
+    have a Jaccard similarity of at least `similar`. Every different text is asked, also where several have one fingerprint.
+
+    A shingle that only one text has is shared with none, so texts with too many of those have no near copy and go. The others are
+    compared with one text of each key, that with the fewest such shingles, to which most of a group of copies are alike; then those
+    of a key that are still in two components, with all that their rare shingles leave possible (`_apart`). All of these are bounds
+    that no similar pair can fail, so nothing is left out. Tables on both sides of the joins let adaptive execution split a common key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["digest", "fp", "size", "shingles"])
-
-    wanted = docs.join(texts, "digest").dropDuplicates(["digest"]).select("digest", "fp", "text")
-    sets = materialize(wanted.mapInArrow(run, "digest long, fp long, size long, shingles binary"), "sets")
+            sets = [np.unique(np.array(shingle_hashes(t.as_py(), width), np.uint64)).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "fp", "size", "shingles"])
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """pairs(x, y) of digests -> links of their fingerprints."""
         side = lambda d, fp, s: sets.select(F.col("digest").alias(d), F.col("fp").alias(fp), F.col("shingles").alias(s))
-        left = materialize(pairs.join(side("x", "u", "a"), "x"), f"{name}-left")
-        return materialize(_similar(left.join(side("y", "v", "b"), "y"), similar), name)
-
-    first = compared(met.filter("digest <> v").select(F.col("digest").alias("x"), F.col("v").alias("y")).distinct(), "near-heads")
-    roots = components(first)
-    placed = met.join(sets.select("digest", "size"), "digest").join(roots, F.col("fp") == F.col("node"), "left").select("band", "digest", "size", F.coalesce("root", "fp").alias("root"))
-    apart = materialize(placed, "placed")
-    many = apart.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    apart = materialize(apart.join(many, "band"), "apart")
-    x, y = (apart.select("band", F.col("digest").alias(d), F.col("size").alias(f"{d}_size"), F.col("root").alias(f"{d}_root")) for d in "xy")
-    near = (F.least("x_size", "y_size") >= F.lit(similar) * F.greatest("x_size", "y_size")) & (F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root"))
-    rest = compared(materialize(x.join(y, "band").filter(near).select("x", "y").distinct(), "pairs"), "near-rest")
-    return first.unionByName(rest)
+        return materialize(_similar(pairs.join(side("x", "u", "a"), "x").join(side("y", "v", "b"), "y"), similar), name)
+
+    with scratch() as keep:
+        one = materialize(prints.groupBy("digest", "fp").agg(F.first("bands").alias("bands")), "bands")
+        keys = one.select("digest", F.explode("bands").alias("band"))
+        shared = keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+        met = materialize(keys.join(shared, "band"), "met")  # keys that no other text has are gone
+        texts = one.select("digest", "fp").join(met.select("digest").distinct(), "digest")
+        wanted = docs.join(texts, "digest").dropDuplicates(["digest"]).select("digest", "fp", "text")
+        sets = materialize(wanted.mapInArrow(run, "digest long, fp long, size long, shingles array<long>"), "sets")
+
+        counted = sets.select("digest", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("digest").alias("digest"), F.count("*").alias("n"))
+        own = counted.filter("n = 1").groupBy("digest").agg(F.count("*").alias("own"))
+        able = sets.select("digest", "fp", "size").join(own, "digest", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
+        able = able.filter(F.col("common") >= similar * F.col("size") - 1e-6).select("digest", "fp", "size", "common")
+        met = materialize(met.join(able, "digest"), "able")
+        head = F.min(F.struct((1 - F.col("common") / F.col("size")).alias("own"), F.col("digest").alias("y"), F.col("size").alias("y_size"), F.col("common").alias("y_common")))
+        heads = met.groupBy("band").agg(head.alias("head"), F.count("*").alias("n")).filter("n > 1").select("band", "head.*")
+        near = (F.col("digest") != F.col("y")) & _can_be_similar(F.least("common", "y_common"), F.col("size") + F.col("y_size"), similar)
+        first = compared(met.join(heads, "band").filter(near).select(F.col("digest").alias("x"), "y").distinct(), "near-heads")
+
+        roots = components(first)
+        placed = materialize(met.join(roots, F.col("fp") == F.col("node"), "left").select("band", "digest", F.coalesce("root", "fp").alias("root")), "placed")
+        still = placed.join(_mixed(placed, "band").select("band"), "band").select("digest", "root").distinct()
+        rest = compared(_apart(materialize(sets.join(still, "digest"), "still"), similar), "near-rest")
+        return keep(first).unionByName(keep(rest))
 
 
 def keep_one(docs: DataFrame, width: int = COPY_SHINGLE, bits: int = MAX_BITS, cell_rows: int = CELL_ROWS, similar: float | None = SIMILAR) -> DataFrame:
@@ -346,11 +381,12 @@ def keep_one(docs: DataFrame, width: int = COPY_SHINGLE, bits: int = MAX_BITS, c
     which 64 bits don't tell: at a similarity of 0.8 some ten of them differ."""
     digest = F.xxhash64(text_or_empty())
     keyed = docs.select(F.struct("doc_id", digest.alias("digest")).alias("key"), "text")
-    prints = materialize(_sketches(keyed, width).select("key.doc_id", "key.digest", "fp", "bands"), "fingerprints")
-    more = None if similar is None else near_copies(docs.select(digest.alias("digest"), text_or_empty().alias("text")), prints, width, similar)
-    named = _named(prints.select("doc_id", "fp"), bits, cell_rows, more).select("fp", "root")
-    best = prints.filter("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
-    best = materialize(best.select(F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g")), "kept")
+    with scratch() as keep:
+        prints = materialize(_sketches(keyed, width).select("key.doc_id", "key.digest", "fp", "bands"), "fingerprints")
+        more = None if similar is None else near_copies(docs.select(digest.alias("digest"), text_or_empty().alias("text")), prints, width, similar)
+        named = _named(prints.select("doc_id", "fp"), bits, cell_rows, more).select("fp", "root")
+        best = prints.filter("doc_id is not null").join(named, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("o"))
+        best = keep(materialize(best.select(F.col("o.doc_id").alias("d"), F.col("o.digest").alias("g")), "kept"))
     # Whole rows are shuffled once: equal rows meet where they are kept.
     rows = docs.filter("doc_id is not null").select(whole_row(docs).alias("row"), "doc_id", digest.alias("digest"))
     kept = rows.join(best, (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")), "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")

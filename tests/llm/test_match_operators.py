@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from ledgerloom.llm import components, decontaminate, license_scan, pieces, simhash, substring_dedup
+from ledgerloom.llm import common, components, decontaminate, license_scan, pieces, simhash, substring_dedup
 from tests.llm.helpers import awkward, documents, frame, lower, rows_of, words
 
 
@@ -395,3 +396,28 @@ def test_a_head_hides_no_pair(spark):
     assert {tuple(sorted(r)) for r in simhash.near_copies(docs, prints, 5, 0.8).collect()} == {(20, 30)}
     prints = spark.createDataFrame([(1, 20, [5]), (2, 20, [7]), (3, 30, [7])], "digest long, fp long, bands array<long>")
     assert {tuple(sorted(r)) for r in simhash.near_copies(docs, prints, 5, 0.8).collect()} == {(20, 30)}
+
+
+def test_edited_copies_are_linked_without_comparing_all_pairs(spark, monkeypatch):
+    """Copies edited lightly and heavily, with edits in common: the links of brute force from few comparisons, and no table stays."""
+    rng = random.Random(33)
+    base, texts = [f"w{rng.randrange(3000)}" for _ in range(150)], {}
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, 10])):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(20)}"
+        texts[i] = " ".join(words)
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in texts.items()}
+    edges = [(i, j) for i, j in combinations(texts, 2) if (k := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - k)]
+    asked, similar = [], simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, least: (asked.append(pairs.count()), similar(pairs, least))[1])
+    docs = spark.createDataFrame(list(texts.items()), "digest long, text string")
+    prints = [(i, i, simhash._band_keys(np.array(sorted(s), np.uint64))) for i, s in sets.items()]
+    found = simhash.near_copies(docs, spark.createDataFrame(prints, "digest long, fp long, bands array<long>"), 5, 0.8)
+    roots = lambda e: {r.node: r.root for r in components.components(e).collect()}
+    assert roots(found) == roots(spark.createDataFrame(edges, "u long, v long")) and len(set(texts) - {i for e in edges for i in e}) > 20
+    assert sum(asked) < 3 * len(texts)
+    folder = common.shared_dir(spark)
+    before = set(os.listdir(folder))
+    assert len(rows_of(simhash.keep_one(frame(spark, list(texts.items()))))) < len(texts)
+    assert [n.split("-")[0] for n in set(os.listdir(folder)) - before] == ["kept"]
