@@ -20,9 +20,10 @@ MORE, UNATTRIBUTED = "more", "unattributed"
 
 
 def points(ledger: DataFrame, filters: Filters = Filters(), hourly: bool = False, tz: str = "UTC") -> DataFrame:
-    """(bucket, source, model, tokens): the grain that every derivation starts from."""
+    """(bucket, source, model, tokens): the grain that every derivation starts from. A ledger may bring its total as `tokens`."""
+    total = F.col("tokens") if "tokens" in ledger.columns else total_tokens()
     rows = filters.apply(ledger).groupBy(bucket(F.col("timestamp"), tz, hourly).alias("bucket"), "source", "model")
-    return rows.agg(F.sum(total_tokens()).alias("tokens"))
+    return rows.agg(F.sum(total).alias("tokens"))
 
 
 def in_window(rows: DataFrame, first: str, last: str) -> DataFrame:

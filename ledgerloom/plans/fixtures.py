@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ledgerloom.operators.usage import TOKENS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +20,13 @@ def _epoch(column: str):
     return F.unix_seconds(F.col(column).cast("timestamp"))
 
 
-def usage(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
-    """One usage record for each line item, in USAGE_SCHEMA's columns; ordered: and `seq`, its order of arrival.
+def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(timestamp, source, model, tokens) of the usage records: their total is worked out before the line items are shuffled."""
+    return usage(spark, sf_dir, total=True).select("timestamp", "source", "model", "tokens")
+
+
+def usage(spark: SparkSession, sf_dir: str, ordered: bool = False, total: bool = False) -> DataFrame:
+    """One usage record for each line item, in USAGE_SCHEMA's columns; ordered: and `seq`, its order of arrival; total: and `tokens`.
 
     Line items are shuffled twice, by part and by order; orders, a quarter as many, find their customer's place first. What a
     record counts is worked out before that, so that small whole numbers are shuffled and not prices, unless `seq` has those."""
@@ -30,6 +37,8 @@ def usage(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
         "cache_read_tokens": long(F.round(F.col("l_discount") * 1000)), "cache_write_5m_tokens": long(F.round(F.col("l_tax") * 1000)), "cache_write_1h_tokens": long(num % 3),
         "reasoning_tokens": F.when(F.col("l_returnflag") != "R", long(F.floor(F.col("l_extendedprice") / 1000))),
     }
+    if total:
+        counts["tokens"] = sum((counts[c] for c in TOKENS[1:]), counts[TOKENS[0]])
     line = table(spark, sf_dir, "lineitem")
     if not ordered:
         line = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", *[c.alias(n) for n, c in counts.items()])
@@ -51,7 +60,7 @@ def usage(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
         *[counts[c].alias(c) for c in ("api_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens")],
         F.concat("l_linestatus", F.lit("/"), F.col("l_suppkey").cast("string")).alias("source_file"),
         F.when(~(F.col("partial") & (num == 7)), F.col("l_orderkey").cast("string")).alias("session_id"),
-        counts["reasoning_tokens"].alias("reasoning_tokens"), *([seq] if ordered else []),
+        counts["reasoning_tokens"].alias("reasoning_tokens"), *([seq] if ordered else []), *([counts["tokens"].alias("tokens")] if total else []),
     )
 
 

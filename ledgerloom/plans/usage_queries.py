@@ -119,7 +119,7 @@ POINTS_SQL = f"{USAGE_SQL}, pts AS (SELECT {DAY_SQL} AS bucket, source, model, s
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    return trend.points(fixtures.usage(spark, sf))
+    return trend.points(fixtures.totals(spark, sf))
 
 
 def _ctx_buckets(spark: SparkSession, sf: str) -> DataFrame:

@@ -60,3 +60,10 @@ def test_small_logs_share_a_task(tmp_path):
     assert len(packs) <= growing.SHARE and got == [f'{{"n":{n}}}' for n in range(300) for _ in range(3)]
     large = growing.packed([growing._Piece("i", "f", "f", 0, 0, a, a + growing.PIECE, 1 << 40) for a in range(0, 10 * growing.PIECE, growing.PIECE)])
     assert [len(p.pieces) for p in large] == [1] * 10  # no task reads more than before
+
+
+@pytest.mark.parametrize("name", ["heatmap_days", "heatmap_levels", "heat_streak", "peak_day", "profile", "bucket_rank", "model_split", "split_topn", "bucket_csv"])
+def test_days_and_models_shuffle_totals_only(spark, small, name):
+    plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" in plan or "l_orderkey" in plan
+    assert not re.search("cache_read_tokens|output_tokens", plan)
