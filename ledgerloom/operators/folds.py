@@ -269,5 +269,7 @@ def _after(rows: DataFrame, paths: DataFrame, jumps: list[DataFrame]) -> DataFra
 def owned(rows: DataFrame) -> DataFrame:
     """rows(ident, file, ..): of entries that copies of a file repeat, those of the file that has them first, by name; entries
     without an identity all stay."""
-    first = rows.filter("ident is not null").groupBy("ident").agg(F.min("file").alias("owner"))
-    return rows.join(first, "ident", "left").filter("owner is null or owner = file").drop("owner")
+    # Rows are read and shuffled once; those without an identity are dealt out by all they hold. An identity has a row for each copy.
+    one = rows.withColumn("alone", F.when(F.col("ident").isNull(), F.xxhash64(*rows.columns)))
+    owner = F.when(F.col("ident").isNotNull(), F.min("file").over(W.Window.partitionBy("ident", "alone")))
+    return one.withColumn("owner", owner).filter("owner is null or owner = file").drop("owner", "alone")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import catalog
+from ledgerloom.operators import folds
 from ledgerloom.plans import fixtures
 from ledgerloom.sources import growing
 from ledgerloom.streaming import ledger
@@ -67,3 +68,11 @@ def test_days_and_models_shuffle_totals_only(spark, small, name):
     plan = catalog.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" in plan or "l_orderkey" in plan
     assert not re.search("cache_read_tokens|output_tokens", plan)
+
+
+def test_ownership_reads_the_ledger_once(spark, small):
+    plan = catalog.queries()["tool_ownership"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[[^\]]*l_linestatus", plan)) == 1
+    rows = [("a", "f2", 1), ("a", "f1", 2), ("a", "f1", 2), ("b", "f3", 4), (None, "f1", 8), (None, "f1", 8), (None, None, 16), ("c", None, 32)]
+    got = folds.owned(spark.createDataFrame(rows, "ident string, file string, n long")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows[1:]))
