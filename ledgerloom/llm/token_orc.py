@@ -8,8 +8,9 @@ needs the files' totals only (as many rows as files) to place any document in th
 be read in parallel.
 
 Where the tokenizer lower-cases and never looks across white space (its own description is asked), words are encoded once
-and remembered: the marks behind a word of letters are a word of their own to it, and words of letters are encoded many at
-a time. Any other tokenizer gets whole texts. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
+and remembered by number, so that a text is a list of numbers and its ids are gathered for many texts at a time: the marks
+behind a word of letters are a word of their own to it, and words of letters need none of its normalising and splitting, so
+the library's model gets many of them at a time. Any other tokenizer gets whole texts. Edge cases: null and empty texts get the end id alone. Repeated rows are written one by
 one; equal doc_ids are ordered by their text, null doc_ids come first. Extra columns are ignored. An empty table
 gives files without rows and an empty result.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import zlib
 from array import array
@@ -36,10 +38,11 @@ from ledgerloom.llm.common import documents, fresh_path, text_or_empty
 END = 2
 #: Words that a worker remembers before it starts anew.
 WORDS = 800_000
-#: Documents that are encoded at once.
-ROWS = 256
+#: Documents, and characters of them if there are more than one, that are encoded at once.
+ROWS, CHARS = 256, 1 << 20
 #: Characters at which Python splits words and the tokenizers' patterns don't.
 _NO_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_WORD = re.compile(r"[\S\x1c-\x1f]+")
 #: Marks that may stand behind a word of letters.
 _MARKS = string.punctuation
 #: Up to this letter, lower case and the kinds of letters are the same to Python and to the tokenizers.
@@ -66,13 +69,31 @@ def _lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
+def _words(text: str) -> list[str]:
+    text = _lower(text)
+    return _WORD.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
+
+
+class _Numbers(dict):
+    """The numbers of words. A new word gets the next number and waits in `new` for its ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
+        self._forget()
         said = json.loads(self.tokenizer.to_str())
         #: Whether words between white space can be encoded apart and lower-cased; other tokenizers get whole texts.
         self.by_word = (
@@ -85,52 +106,109 @@ class Encoder:
         if said["model"].get("end_of_word_suffix") == _END_OF_WORD:
             self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.last[[i for t, i in said["model"]["vocab"].items() if t.endswith(_END_OF_WORD)]] = True
+        #: The same model behind a split at blanks alone: letters that are lower-cased and in its alphabet of bytes need no more.
+        self.plain = None
+        if self.by_word and self.last is not None and not any(t["content"].isalpha() for t in said["added_tokens"]):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.in_bytes = {c: in_bytes(chr(c))[0][0] for c in range(128, ord(_LAST_LETTER) + 1) if chr(c).isalpha()}
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        #: The ids of all words one behind the other, how many of them are in use; where a number's ids begin, and how many they are.
+        self.pool, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stems(self, stems: list[str]) -> list[bytes]:
-        """The ids of words of letters: encoded as one text, cut behind the tokens that end a word."""
-        if self.last is None:
-            return self._ids(stems)
-        out: list[bytes] = []
-        for at in range(0, len(stems), JOINED):
-            part = stems[at : at + JOINED]
-            ids = np.frombuffer(self._ids([" ".join(part)])[0], "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+    def _put(self, numbers: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        end = self.used + len(ids)
+        while end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while len(self.numbers) > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.count))
+        self.pool[self.used : end] = ids
+        self.count[numbers] = counts
+        self.start[numbers] = self.used + np.cumsum(counts) - counts
+        self.used = end
+
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and where each word's end."""
+        counts = self.count[numbers]
+        ends = np.cumsum(counts)
+        return self.pool[np.repeat(self.start[numbers] - ends + counts, counts) + np.arange(counts.sum())], ends
+
+    def _whole(self, numbers: list[int], texts: list[str]) -> None:
+        rows = self._ids(texts)
+        self._put(numbers, np.frombuffer(b"".join(rows), "<u4"), np.array([len(r) // 4 for r in rows], np.int64))
+
+    def _letters(self, numbers: list[int], words: list[str]) -> None:
+        """Words of letters: encoded as one text, cut behind the tokens that end a word."""
+        if self.plain is None:
+            return self._whole(numbers, words)
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            text = " ".join(part)
+            [got] = self.plain.encode_batch_fast([text if text.isascii() else text.translate(self.in_bytes)], add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the tokenizer's ends of words do not fit its words")
-            out += [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-        return out
+            self._put(numbers[at : at + JOINED], ids, np.diff(ends, prepend=0))
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self) -> None:
         """Ids of new words. Letters and the marks behind them are separate words to the tokenizer."""
-        known, parts, odd = self.words, {}, []
-        for w in new:
+        new, number = self.numbers.new, self.numbers.__getitem__
+        first, plain, accented, odd, marked, parts = len(self.numbers) - len(new), [], [], [], [], array("q")
+        for n, w in enumerate(new, first):  # grows by the letters and the marks of its words
+            if w.isalpha() and w.isascii():
+                plain.append(n)
+                continue
             stem = w.rstrip(_MARKS)
             low = stem if stem.isascii() else stem.lower()
-            if low.isalpha() and (low.isascii() or max(low) <= _LAST_LETTER):
-                parts[w] = (low, w[len(stem) :])
+            if not low.isalpha() or not low.isascii() and max(low) > _LAST_LETTER:
+                odd.append(n)
+            elif low == w:
+                accented.append(n)
             else:
-                odd.append(w)
-        known.update(zip(odd, self._ids(odd), strict=True))
-        stems = list({low for low, _ in parts.values()}.difference(known))
-        known.update(zip(stems, self._stems(stems), strict=True))
-        marks = list({m for _, m in parts.values() if m}.difference(known))
-        known.update(zip(marks, self._ids(marks), strict=True))
-        for w, (low, mark) in parts.items():
-            known[w] = known[low] + known[mark] if mark else known[low]
+                marked.append(n)
+                parts.append(number(low))
+                parts.append(number(w[len(stem) :]))
+        for learn, some in ((self._letters, plain), (self._letters, accented), (self._whole, odd)):
+            if some:
+                learn(some, [new[n - first] for n in some])
+        if marked:
+            ids, ends = self._gathered(np.frombuffer(parts, np.int64))
+            self._put(marked, ids, np.diff(ends[1::2], prepend=0))
+        new.clear()
+
+    def flat(self, texts: list[str], tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with those of tail behind it, one behind the other, and where each text's end."""
+        if not self.by_word:
+            rows = [ids + tail for ids in self._ids(texts)]
+            return np.frombuffer(b"".join(rows), "<u4"), np.cumsum([len(r) // 4 for r in rows], dtype=np.int64)
+        if len(self.numbers) > WORDS:
+            self._forget()
+        if tail not in self.numbers:  # bytes are no word of a text
+            self.numbers[tail] = len(self.numbers)
+            self._put([self.numbers[tail]], np.frombuffer(tail, "<u4"), np.array([len(tail) // 4]))
+        number, last, numbers, ends = self.numbers.__getitem__, self.numbers[tail], array("q"), []
+        for t in texts:
+            numbers.extend(map(number, _words(t)))
+            numbers.append(last)
+            ends.append(len(numbers) - 1)
+        self._learn()
+        ids, word_ends = self._gathered(np.frombuffer(numbers, np.int64))
+        return ids, word_ends[ends]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if not self.by_word:
-            return self._ids(texts)
-        split = [None if any(c in t for c in _NO_SPACE) else _lower(t).split() for t in texts]
-        if len(self.words) > WORDS:
-            self.words.clear()
-        self._learn(set().union(*filter(None, split)).difference(self.words))
-        known = self.words.__getitem__
-        return [self._ids([t])[0] if words is None else b"".join(map(known, words)) for t, words in zip(texts, split, strict=True)]
+        if not texts:
+            return []
+        ids, ends = self.flat(texts)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
 
 
 @lru_cache(maxsize=2)
@@ -138,9 +216,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _ids_column(rows: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))]))
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch's rows with their texts, as many as are encoded at once."""
+    for at in range(0, batch.num_rows, ROWS):
+        part = batch.slice(at, ROWS)
+        texts, begin, held = part.column(1).to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            if i > begin and held + len(t) > CHARS:
+                yield part.slice(begin, i - begin), texts[begin:i]
+                begin, held = i, 0
+            held += len(t)
+        yield part.slice(begin), texts[begin:]
+
+
+def _ids_column(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, files: int | None = None) -> str:
@@ -151,16 +241,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, file, place, first = encoder(name), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                rows = [ids + tail for ids in e.encode(part.column(1).to_pylist())]
-                n = np.array([len(r) // 4 for r in rows], np.int64)
-                before = first + np.cumsum(n) - n
+            for part, texts in _pieces(batch):
+                ids, ends = e.flat(texts, tail)
+                n = np.diff(ends, prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(rows), file, np.int32)), pa.array(place + np.arange(len(rows), dtype=np.int64)), pa.array(before), pa.array(n), _ids_column(rows)],
+                    [part.column(0), pa.array(np.full(len(n), file, np.int32)), pa.array(place + np.arange(len(n))), pa.array(first + ends - n), pa.array(n), _ids_column(ids, ends)],
                     names=["doc_id", "file", "place", "first", "n_tokens", "ids"],
                 )
-                place, first = place + len(rows), first + int(n.sum())
+                place, first = place + len(n), first + int(ends[-1])
 
     text = docs.select("doc_id", text_or_empty().alias("text"))
     ranged = text.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")

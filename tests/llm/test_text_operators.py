@@ -8,6 +8,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import lm_score, quality_classifier, quality_rules, queries, secret_scan, token_orc
@@ -355,6 +357,31 @@ def test_words_apart_are_the_tokenizers_whole_texts():
         assert e.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_words_of_letters_are_not_normalised_and_split_again(monkeypatch):
+    e = token_orc.Encoder(token_orc.default_tokenizer())
+    whole, rows = [], e._ids
+    monkeypatch.setattr(e, "_ids", lambda texts: whole.extend(texts) or rows(texts))
+    texts = ["Größe, alpha (beta) Alpha. x.y 12 größe", "", "ÉTÉ été, alpha alpha\x1cb", "don't stop, don't"]
+    want = [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for _ in range(2):
+        ids, ends = e.flat(texts, (2).to_bytes(4, "little"))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    assert sorted(whole) == sorted([",", ".", "(beta)", "x.y", "12", "", "alpha\x1cb", "don't"])  # once each; letters by the model alone
+
+
+def test_few_characters_are_encoded_at_once_and_words_forgotten(monkeypatch):
+    monkeypatch.setattr(token_orc, "CHARS", 50)
+    monkeypatch.setattr(token_orc, "ROWS", 4)
+    monkeypatch.setattr(token_orc, "WORDS", 3)
+    texts = ["a" * 30, "b c " * 5, "d" * 200, "", "e, f", "g " * 40, "h", "a b, c"]
+    parts = list(token_orc._pieces(pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])))
+    assert [t for _, p in parts for t in p] == texts and [part.column(0).to_pylist() for part, _ in parts] == [[0, 1], [2], [3], [4], [5], [6, 7]]
+    e = token_orc.Encoder(token_orc.default_tokenizer())
+    for _, p in parts:
+        assert e.encode(p) == [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in p]
+    assert len(e.numbers) < 10 and e.encode([]) == []
+
+
 def scanned(df) -> int:
     """Rows that the scan of df hands on."""
     df.collect()
