@@ -23,7 +23,7 @@ import re
 import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -69,9 +69,12 @@ def _lower(text: str) -> str:
     return text.lower() if text.isascii() else text.encode().lower().decode()
 
 
-def _words(text: str) -> list[str]:
-    text = _lower(text)
-    return _WORD.findall(text) if any(c in text for c in _NO_SPACE) else text.split()
+def _words(text: str, added: Sequence[str] = ()) -> list[str]:
+    """A text's words in lower case. Added tokens are found before the tokenizer lower-cases: words that only then hold one stay as they are."""
+    low = _lower(text)
+    if any(a in low for a in added):
+        return [w if any(a in x for a in added) else x for w in _WORD.findall(text) for x in (_lower(w),)]
+    return _WORD.findall(low) if any(c in low for c in _NO_SPACE) else low.split()
 
 
 class _Numbers(dict):
@@ -101,6 +104,7 @@ class Encoder:
             and [(n["type"], n.get("pattern")) for n in (said["pre_tokenizer"] or {}).get("pretokenizers", [])] == _SPLITTERS
             and not any(t["content"].split() != [t["content"]] or t["normalized"] or t["lstrip"] or t["rstrip"] for t in said["added_tokens"])
         )
+        self.added = [_lower(t["content"]) for t in said["added_tokens"]]
         #: Tokens that end a word of letters, where the model marks them.
         self.last = None
         if said["model"].get("end_of_word_suffix") == _END_OF_WORD:
@@ -196,7 +200,7 @@ class Encoder:
             self._put([self.numbers[tail]], np.frombuffer(tail, "<u4"), np.array([len(tail) // 4]))
         number, last, numbers, ends = self.numbers.__getitem__, self.numbers[tail], array("q"), []
         for t in texts:
-            numbers.extend(map(number, _words(t)))
+            numbers.extend(map(number, _words(t, self.added)))
             numbers.append(last)
             ends.append(len(numbers) - 1)
         self._learn()

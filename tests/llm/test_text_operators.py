@@ -369,6 +369,13 @@ def test_words_of_letters_are_not_normalised_and_split_again(monkeypatch):
     assert sorted(whole) == sorted([",", ".", "(beta)", "x.y", "12", "", "alpha\x1cb", "don't"])  # once each; letters by the model alone
 
 
+def test_added_tokens_are_found_before_letters_are_lower_cased():
+    e = token_orc.Encoder(token_orc.default_tokenizer())
+    texts = ["A <|ENDOFTEXT|> b", "<|endoftext|>", "X<|EndOfText|>, Y<|endoftext|>Z <|STARTOFTEXT|>\x1cQ", "the <|endoftext|> END"]
+    assert e.encode(texts) == [b"".join(i.to_bytes(4, "little") for i in e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert e.tokenizer.token_to_id("<|endoftext|>") in np.frombuffer(e.encode(texts)[2], "<u4")
+
+
 def test_few_characters_are_encoded_at_once_and_words_forgotten(monkeypatch):
     monkeypatch.setattr(token_orc, "CHARS", 50)
     monkeypatch.setattr(token_orc, "ROWS", 4)
