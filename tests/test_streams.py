@@ -348,3 +348,18 @@ def test_answers_change_when_their_time_comes(spark, tmp_path):
     assert len(told_by_clock(spark, tmp_path / "out")) == 5
     new = max((r for r in told_by_clock(spark, tmp_path / "out") if r.window_key == "ages"), key=lambda r: r.evaluated_at)
     assert (new.state, new.candidates, new.by_timer) == ("unstable", 3, False) and last is not None
+
+
+def test_timers_fire_in_a_stream_that_ended_between_batches(spark, tmp_path):
+    now = int(time.time())
+    blank = {f.split()[0]: None for f in clock.EVIDENCE.split(", ")}
+    row = blank | {"kind": "reading", "source": "s", "account_id": "a", "plan": "p", "metering_regime": "r", "limit_id": "l", "model_scope": "all", "window_key": "w", "revision": 0, "resets_at": now + 30, "covered_from": 0, "used_pct": 10.0, "observed_at": now}
+    spark.createDataFrame([row], clock.EVIDENCE).write.parquet(str(tmp_path / "evidence"))
+    stream = clock.clock(spark.readStream.schema(clock.EVIDENCE).parquet(str(tmp_path / "evidence")))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 hour").start()
+    while not query.exception() and (not told_by_clock(spark, tmp_path / "out") or query.status["isTriggerActive"]):
+        time.sleep(0.2)
+    query.stop()  # no batch is begun and not ended
+    assert [(r.next_evaluation_at, r.by_timer) for r in told_by_clock(spark, tmp_path / "out")] == [(now + 30, False)]
+    got = run_until(spark, tmp_path, lambda got: len(got) >= 2)
+    assert [(r.state, r.reason, r.by_timer) for r in got[1:]] == [("blocked", "no-current-reading", True)] and got[1].evaluated_at >= now + 30
